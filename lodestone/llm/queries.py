@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, topk, urlfilter
+from . import chat, jaccard, lattice, mixing, quality, tokenbin, topk, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +25,30 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_chats(rows))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.digest(_table(spark, sf_dir, "documents"), lattice.load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,13 +59,15 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op6_url_filters, op9_mixing, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_warc, op4_token_binary, op5_sentencepiece, op6_url_filters, op7_ngram_jaccard, op9_mixing, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
     rows = f"(SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{HOSTILE}'), (-7, 1, 'assistant', '{HOSTILE}')))"
     return {
         "op1_chat_formatting": chat.digest_sql(rows),
+        "op2_quality_rules": quality.judge_sql(),
+        "op3_warc": warc.pages_sql(),
         "op6_url_filters": urlfilter.judge_sql("pages"),
         "op9_mixing": mixing.mix_sql("documents"),
         "op10_exact_topk": topk.top_k_sql("embeddings"),
