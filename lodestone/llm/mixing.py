@@ -24,7 +24,7 @@ from .common import WORD, saved
 #: Ranges of finish time; the budget runs out in one of them.
 TIME_BINS = 8192
 #: Documents in a hash range of a source, about.
-ROWS_PER_BIN = 4096
+ROWS_PER_BIN = 512
 
 
 def words_in(text: Column) -> Column:
