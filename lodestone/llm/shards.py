@@ -50,7 +50,7 @@ class Committed:
         self.fs, root = filesystem(uri)
         self.name, self.final, self.temporary = name, f"{root}/{name}", f"{root}/_temporary/{uuid.uuid4().hex}-{name}"
         self.fs.create_dir(f"{root}/_temporary", recursive=True)
-        self.out = self.fs.open_output_stream(self.temporary)
+        self.out = self.fs.open_output_stream(self.temporary, compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> None:

@@ -158,7 +158,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name in batch.column("file").to_pylist():
                 rows = []
-                with fs.open_input_stream(f"{root}/{name}") as stream:
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for h, block in _records(stream):
                         if h["WARC-Block-Digest"] != f"sha1:{digest(block)}":
                             raise ValueError(f"{name}: {h['WARC-Record-ID']}: block digest differs")
