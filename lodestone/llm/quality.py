@@ -3,7 +3,10 @@
 Words and word pairs fall in a fixed number of buckets. The raw multinomial counts every n-gram of every document; the
 target multinomial counts those of the trusted documents. A document's score is the sum of its n-grams' log ratios
 log(p_target / p_raw), divided by their number; it is kept when the base rules pass and the score reaches the threshold.
-Ratios are fixed-point integers (1 / SCALE nats), so a score does not depend on the order of summation.
+A document's own n-grams are left out of both multinomials when it is scored, so a document is not judged by itself; the
+target is shrunk towards the raw corpus by PRIOR n-grams per bucket, and a bucket without other n-grams counts 0: with
+little evidence scores go to 0. Ratios are fixed-point integers (1 / SCALE nats), so a score does not depend on the order of
+summation.
 
 Trusted documents are labelled rows (quality 1, not toxic, no contradicting label): at most `max_trusted` of them, drawn by
 a hash of the id. That bound is a parameter; all raw counts and all verdicts cover every document.
@@ -16,6 +19,8 @@ result; other columns are ignored. Very long texts are handled one at a time.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +30,10 @@ from pyspark.sql import functions as F
 from .common import BLOCKS, blocks_batch, packed_blocks, pieces, summed_arrays, to_bytes
 
 BUCKETS = 1 << 16
+PRIOR = 8
 SCALE = 1 << 16
 #: Mean log ratio (nats per n-gram) from which a document is kept.
-THRESHOLD = -0.12
+THRESHOLD = -0.08
 MAX_TRUSTED = 20_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
@@ -97,8 +103,42 @@ def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> np.ndarray:
     return np.sort(np.array([r["doc_id"] for r in rows], np.int64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, m: int = BUCKETS, limit: int = MAX_TRUSTED) -> np.ndarray:
-    """Fixed-point log ratios of all buckets. The model has m entries, whatever the corpus."""
+@dataclass(frozen=True)
+class Model:
+    """Counts of all buckets and the trusted ids: a fixed size, whatever the corpus."""
+
+    raw: np.ndarray
+    target: np.ndarray
+    trusted: np.ndarray
+
+    def score(self, doc_id: int | None, grams: np.ndarray) -> int:
+        """Fixed-point mean log ratio of a document's n-grams, judged by the other documents."""
+        if not len(grams) or not len(self.trusted):
+            return 0
+        prior, own = PRIOR * len(self.raw), doc_id is not None and is_in(doc_id, self.trusted)
+        b, c = np.unique(grams, return_counts=True)
+        r = (self.raw[b] - c).astype(np.float64)
+        t = (self.target[b] - (c if own else 0)).astype(np.float64)
+        n, total = self.n_raw - len(grams), self.n_target - (len(grams) if own else 0)
+        known = r > 0
+        ratio = np.log((t[known] * n + prior * r[known]) / (r[known] * (total + prior)))
+        return int((np.rint(ratio * SCALE).astype(np.int64) * c[known]).sum()) // len(grams)
+
+    @cached_property
+    def n_raw(self) -> int:
+        return int(self.raw.sum())
+
+    @cached_property
+    def n_target(self) -> int:
+        return int(self.target.sum())
+
+
+def is_in(doc_id: int, ids: np.ndarray) -> bool:
+    k = int(np.searchsorted(ids, doc_id))
+    return k < len(ids) and ids[k] == doc_id
+
+
+def fit(docs: DataFrame, labels: DataFrame, m: int = BUCKETS, limit: int = MAX_TRUSTED) -> Model:
     trusted = trusted_ids(labels, limit)
 
     def count(batches):
@@ -116,28 +156,18 @@ def fit(docs: DataFrame, labels: DataFrame, m: int = BUCKETS, limit: int = MAX_T
             yield blocks_batch([*packed_blocks(raw, 0), *packed_blocks(target, 1)])
 
     raw, target = summed_arrays(docs.select("doc_id", "text").mapInArrow(count, BLOCKS), m, 2)
-    return log_ratios(raw, target)
-
-
-def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    m = len(raw)
-    if not target.sum():
-        return np.zeros(m, np.int64)
-    ratio = np.log((target + 1) / (target.sum() + m)) - np.log((raw + 1) / (raw.sum() + m))
-    return np.rint(ratio * SCALE).astype(np.int64)
+    return Model(raw, target, trusted)
 
 
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score long"
 
 
-def judged(doc_id, text: bytes | None, model: np.ndarray, threshold: float) -> tuple:
+def judged(doc_id: int | None, text: bytes | None, model: Model, threshold: float) -> tuple:
     words, chars, symbols, lines = base_counts(text)
     codes, hashes = coded(words)
     repeats = repeated_words(codes, len(hashes))
     failed = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * len(words)
-    grams = buckets(hashes[codes], len(model)) if words else codes
-    total = int(model[grams].sum())
-    score = total // max(1, len(grams))
+    score = model.score(doc_id, buckets(hashes[codes], len(model.raw)) if words else codes)
     return doc_id, len(words), chars, symbols, lines, repeats, failed, bool(not failed and score >= int(threshold * SCALE)), score
 
 
@@ -155,7 +185,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep
 
     def kept(batches):
         for table in pieces(batches):
-            good = [judged(None, t, model, threshold)[7] for t in to_bytes(table["text"])]
+            good = [judged(i, t, model, threshold)[7] for i, t in zip(table["doc_id"].to_pylist(), to_bytes(table["text"]))]
             yield from table.filter(pa.array(good, pa.bool_())).combine_chunks().to_batches()
 
     if keep_rows:
@@ -173,9 +203,13 @@ def judge_sql(documents: str = "documents", labels: str = "labels", threshold: f
     g AS (SELECT *, lead(h) OVER (PARTITION BY k ORDER BY i) AS h2 FROM h),
     b AS (SELECT k, doc_id, h % {m} AS b FROM g UNION ALL SELECT k, doc_id, (31 * h + h2 + 7) % {m} FROM g WHERE h2 IS NOT NULL),
     t AS (SELECT doc_id FROM {labels} WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 AND max(toxic) = 0),
-    c AS (SELECT m.b, count(b.b) AS raw, count(t.doc_id) AS target FROM range({m}) m(b) LEFT JOIN b ON b.b = m.b LEFT JOIN t ON t.doc_id = b.doc_id GROUP BY m.b),
-    r AS (SELECT b, CASE WHEN sum(target) OVER () = 0 THEN 0 ELSE round_even({SCALE} * (ln((target + 1) / (sum(target) OVER () + {m})) - ln((raw + 1) / (sum(raw) OVER () + {m}))), 0) END AS r FROM c),
-    s AS (SELECT k, CAST(floor(sum(r) / count(*)) AS BIGINT) AS score FROM b JOIN r USING (b) GROUP BY k),
+    o1 AS (SELECT b.k, b.b, count(*) AS c, bool_or(t.doc_id IS NOT NULL) AS own FROM b LEFT JOIN t USING (doc_id) GROUP BY b.k, b.b),
+    c AS (SELECT b, sum(c) AS raw, coalesce(sum(c) FILTER (own), 0) AS target FROM o1 GROUP BY b),
+    n AS (SELECT sum(raw) AS n, sum(target) AS t, (SELECT count(*) FROM t) AS sure FROM c),
+    z AS (SELECT k, sum(c) AS len FROM o1 GROUP BY k),
+    e AS (SELECT o1.k, o1.c, len, (raw - c)::DOUBLE AS r, (target - CASE WHEN own THEN c ELSE 0 END)::DOUBLE AS g, n - len AS n, t - CASE WHEN own THEN len ELSE 0 END AS t, sure
+      FROM o1 JOIN c USING (b) JOIN z USING (k), n),
+    s AS (SELECT k, CAST(floor(coalesce(sum(c * round_even({SCALE} * ln((g * n + {PRIOR * m} * r) / (r * (t + {PRIOR * m}))), 0)) FILTER (r > 0 AND sure > 0), 0) / any_value(len)) AS BIGINT) AS score FROM e GROUP BY k),
     tri AS (SELECT k, i, count(*) OVER (PARTITION BY k, w, w2, w3) > 1 AS twice FROM g WHERE w3 IS NOT NULL),
     rep AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM tri WHERE twice) GROUP BY k),
     l AS (SELECT k, count(*) - count(DISTINCT line) AS n FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY k),
