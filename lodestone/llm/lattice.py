@@ -36,9 +36,9 @@ from .common import pieces, saved
 
 MARK = "▁"
 #: Words that go through the relational lattice, at most, and the longest of them in characters.
-MAX_WORDS, MAX_LENGTH = 1 << 18, 48
+MAX_WORDS, MAX_LENGTH = 1 << 16, 48
 #: Words that a Python worker remembers besides.
-MEMORY = 200_000
+MEMORY = 400_000
 #: A word: word marks and what follows, up to the next mark or line break; line breaks stand alone.
 WORDS = f"{MARK}*[^{MARK}\\n]+|{MARK}+|\\n"
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, lattice, mixing, quality, tokenbin, topk, urlfilter, warc
+from . import chat, jaccard, lattice, licences, mixing, quality, tokenbin, topk, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -59,7 +63,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_warc, op4_token_binary, op5_sentencepiece, op6_url_filters, op7_ngram_jaccard, op9_mixing, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_warc, op4_token_binary, op5_sentencepiece, op6_url_filters, op7_ngram_jaccard, op8_license_scan, op9_mixing, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
