@@ -1,25 +1,49 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""Corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+1. quality rules: documents that fail the base rules or the log-likelihood threshold go;
+2. n-gram Jaccard join: of each class of near copies the document with the least id stays;
+3. mixing: every document as often as the mix to target weights takes it (never, up to three times);
+4. SentencePiece: the piece ids of every document, read back and compared with the text.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import mixing
+from lodestone.llm import jaccard, lattice, mixing, quality
 from lodestone.llm.common import saved
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_rows=True)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.deduplicated(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("mixing", mixing_stage)]
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lattice.encode(docs, lattice.load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("n-gram Jaccard join", jaccard_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("SentencePiece encoding", sentencepiece_stage),
+]
 
-#: The stages hash, mix and segment; SQL cannot express them.
+#: SQL cannot express the shingle classes and the piece ids; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs
