@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -262,15 +263,14 @@ class Coder:
         return (out[1:] if self.model.prefix and out[:1] == b" " else out).decode("utf-8", "replace")
 
 
-_coders: dict[int, Coder] = {}
+_coders: dict[str, Coder] = {}
 
 
 def coder(shared) -> Coder:
-    """The worker's coder for a broadcast (model, words, ids)."""
-    key = id(shared)
+    """The worker's coder for a broadcast (name, model, words, ids); one at a time."""
+    key, model, words, ids = shared.value
     if key not in _coders:
         _coders.clear()
-        model, words, ids = shared.value
         _coders[key] = Coder(model, dict(zip(words, ids)))
     return _coders[key]
 
@@ -284,7 +284,7 @@ def prepared(docs: DataFrame, model: Pieces, max_words: int = MAX_WORDS):
     for row in coded.toLocalIterator():
         words.append(row["word"])
         ids.append(np.array(row["ids"], "<u4").tobytes())
-    return spark.sparkContext.broadcast((model, words, ids))
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, model, words, ids))
 
 
 def encode(docs: DataFrame, model: Pieces, max_words: int = MAX_WORDS) -> DataFrame:
