@@ -3,7 +3,8 @@
 A document's set holds the 64-bit hashes of its distinct word shingles. Shingles are ordered rare first (by counts of all
 documents' shingles in a fixed number of buckets, then by hash: one total order for all). Two sets with Jaccard similarity
 >= t share an element of their prefixes, the first n - ceil(t * n) + 1 elements, so candidates meet in prefix buckets.
-They pass the length filter and the positional filter there, and the suffix filter and the exact count once per pair.
+They pass the length filter and the positional filter there; then, once per pair, the suffix filter, first over the sets'
+outlines (counts of elements in ranges of the order) and again over the sets, and the exact count.
 
 Documents with equal sets are one node. Links inside a group of near copies grow with the square of its size, but only
 the classes are asked for, so pairs are compared until their class is certain:
@@ -33,21 +34,26 @@ from .graph import components
 from .shards import batch_of
 
 #: Buckets of shingle counts, entries of the filter of candidate ids, pivots of a bucket, members of a part, of a block.
-COUNTS, FILTER, PIVOTS, HOT_ROWS, BLOCK_ROWS = 1 << 18, 1 << 22, 4, 100_000, 512
+COUNTS, FILTER, PIVOTS, HOT_ROWS, BLOCK_ROWS = 1 << 22, 1 << 22, 4, 100_000, 512
+#: Ranges of hash values whose counts make a set's outline, and parts of a hot bucket at most.
+OUTLINE, PARTS = 64, 1 << 16
 #: Word hashes that a Python worker remembers.
-MEMORY = 500_000
+MEMORY = 600_000
 
-_words: dict[bytes, int] = {}
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def _hash(word: bytes) -> int:
-    h = _words.get(word)
-    if h is None:
-        if len(_words) >= MEMORY:
-            _words.clear()
-        h = _words[word] = xxhash.xxh3_64_intdigest(word)
-    return h
+class _Hashes(dict):
+    """Word -> 64-bit hash, a bounded number of words at a time."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_words = _Hashes()
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -61,14 +67,12 @@ def shingles(text: bytes | None, size: int = 4) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    known: dict[bytes, int] = {}
-    codes = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
-    h = np.array([_hash(w) for w in known], np.uint64)[codes]
+    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     k = min(size, len(h))
     total = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
-        total = _spread(total * _A + h[i : len(h) - k + 1 + i])
-    return np.unique(total)
+        total = total * _A + (h[i : len(h) - k + 1 + i] ^ (h[i : len(h) - k + 1 + i] >> np.uint64(32)))
+    return np.unique(_spread(total))
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -94,11 +98,18 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-_SETS = "doc_id long, n_shingles long, sig binary, score double, prefix array<long>, parts array<int>"
+def outline(hashes: np.ndarray) -> bytes:
+    """How many of a set's hashes fall in each of OUTLINE equal ranges (255 at most)."""
+    return np.minimum(np.bincount((hashes >> np.uint64(64 - OUTLINE.bit_length() + 1)).astype(np.int64), minlength=OUTLINE), 255).astype(np.uint8).tobytes()
+
+
+_SETS = "doc_id long, n_shingles long, sig binary, score short, prefix array<long>, parts array<int>, outline binary"
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int, hot_rows: int) -> DataFrame:
-    """Per document: set size, 128-bit signature of the set, how typical its prefix is, the prefix, parts of its buckets."""
+    """Per document: set size, 128-bit signature of the set, how typical its prefix is, the prefix, the parts of its hot
+    buckets (empty if there are none), and the set's outline."""
+    counts = np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
 
     def prepare(batches):
         for table in pieces(batches):
@@ -106,13 +117,17 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int, hot_r
             for doc_id, text in zip(table["doc_id"].to_pylist(), to_bytes(table["text"])):
                 s = shingles(text, size)
                 if not len(s):
-                    rows.append((doc_id, 0, None, 0.0, [], []))
+                    rows.append((doc_id, 0, None, 0, [], [], None))
                     continue
                 often = counts[(s % np.uint64(COUNTS)).astype(np.int64)]
-                first = np.lexsort((s, often))[: _prefix_length(len(s), percent)]
-                sig = xxhash.xxh3_128_digest(s.tobytes())
-                rows.append((doc_id, len(s), sig, float(often[first].mean()), _signed(s[first]), (often[first] // hot_rows + 1).astype(np.int32)))
-            yield batch_of(rows, ["doc_id", "n_shingles", "sig", "score", "prefix", "parts"], [pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())])
+                p = _prefix_length(len(s), percent)
+                some = np.argpartition(often, p - 1)[:p] if p < len(s) else np.arange(len(s))
+                some = np.flatnonzero(often <= often[some].max())
+                first = some[np.lexsort((s[some], often[some]))][:p]
+                parts = np.minimum(often[first] // hot_rows + 1, PARTS)
+                score = min(int(np.log2(1 + often[first].astype(np.float64)).mean() * 1000), 32767)
+                rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), score, _signed(s[first]), parts if parts.max() > 1 else [], outline(s)))
+            yield batch_of(rows, ["doc_id", "n_shingles", "sig", "score", "prefix", "parts", "outline"], [pa.int64(), pa.int64(), pa.binary(), pa.int16(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()])
 
     return docs.select("doc_id", "text").mapInArrow(prepare, _SETS)
 
@@ -124,49 +139,59 @@ def may_link(n: int, i: int, m: int, j: int, percent: int) -> bool:
     return (100 + percent) * (1 + min(n - i - 1, m - j - 1)) >= percent * (n + m)
 
 
-_MEMBERS = "token long, part int, node long, rank int, pivots array<long>"
+_MEMBERS = "hot boolean, token long, part int, node long, rank int, pivots array<long>"
 
 
 def bucket_members(nodes: DataFrame, percent: int, pivots: int) -> DataFrame:
-    """Members of every prefix bucket with company, each with the earlier members among the bucket's first that it may link with."""
-    each = nodes.select("node", "n_shingles", "score", F.posexplode(F.arrays_zip("prefix", "parts")).alias("pos", "t"))
-    each = each.select(F.col("t.prefix").alias("token"), F.pmod(F.xxhash64("node"), F.col("t.parts")).cast("int").alias("part"), (F.col("t.parts") > 1).alias("hot"), "node", F.col("n_shingles").cast("int").alias("n"), "pos", "score")
-    dealt = each.repartition(F.col("token"), F.col("part")).sortWithinPartitions("token", "part", F.desc("score"), "node")
+    """Members of every prefix bucket with company, each with the earlier members among the bucket's first that it may link with.
+
+    A row of the shuffle is short: the bucket (a hot token's low 16 bits make room for the part), the node, size and place.
+    """
+    parts = F.coalesce(F.try_element_at("parts", F.col("pos") + 1), F.lit(1))
+    each = nodes.select("node", "n_shingles", "score", "parts", F.posexplode("prefix").alias("pos", "token")).withColumn("_p", parts)
+    part = F.pmod(F.xxhash64("node"), F.col("_p").cast("long"))
+    each = each.select(
+        F.when(F.col("_p") > 1, F.col("token").bitwiseAND(F.lit(-PARTS)).bitwiseOR(part)).otherwise(F.col("token")).alias("key"),
+        "node",
+        F.shiftleft(F.col("n_shingles"), 32).bitwiseOR(F.col("pos").cast("long")).alias("place"),
+        F.when(F.col("_p") > 1, -1 - F.col("score")).otherwise(F.col("score")).cast("short").alias("mark"),  # negative: hot
+    )
+    dealt = each.repartition(F.col("key")).sortWithinPartitions("key", F.desc(F.greatest(F.col("mark"), -1 - F.col("mark"))), "node")
 
     def stream(batches):
         key, first, waiting, rank = None, [], None, 0
-
         for b in batches:
             if not b.num_rows:
                 continue
-            token, part, node, n, pos = (b.column(c).to_numpy(zero_copy_only=False) for c in ("token", "part", "node", "n", "pos"))
-            hot = b.column("hot").to_numpy(zero_copy_only=False)
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1])
+            keys, node, place, mark = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "place", "mark"))
+            hot = mark < 0
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
             # Buckets of one member, inside the batch, have no company.
             lone = new & np.append(new[1:], False) & ~hot
             lone[0] = False
             rows = []
             for i in np.flatnonzero(~lone).tolist():
-                k = (int(token[i]), int(part[i]))
-                me = (int(node[i]), int(n[i]), int(pos[i]))
+                k, h = int(keys[i]), bool(hot[i])
+                me = (int(node[i]), int(place[i]) >> 32, int(place[i]) & 0xFFFFFFFF)
+                named = (h, k & -PARTS, k & (PARTS - 1), me[0]) if h else (h, k, 0, me[0])
                 if k != key:
-                    key, first, rank = k, [], 0
-                    waiting = (*k, me[0], 0, [])
-                    if hot[i]:
-                        rows.append(waiting)
-                        waiting = None
+                    key, first, rank, waiting = k, [], 0, None
+                    if h:
+                        rows.append((*named, 0, []))
+                    else:
+                        waiting = (*named, 0, [])
                 else:
                     if waiting:
                         rows.append(waiting)
                         waiting = None
                     rank += 1
-                    rows.append((*k, me[0], rank, [p[0] for p in first if may_link(me[1], me[2], p[1], p[2], percent)]))
+                    rows.append((*named, rank, [p[0] for p in first if may_link(me[1], me[2], p[1], p[2], percent)]))
                 if len(first) < pivots:
                     first.append(me)
-            yield batch_of(rows, ["token", "part", "node", "rank", "pivots"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())])
+            yield batch_of(rows, ["hot", "token", "part", "node", "rank", "pivots"], [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())])
 
-    return dealt.drop("score").mapInArrow(stream, _MEMBERS)
+    return dealt.mapInArrow(stream, _MEMBERS)
 
 
 def _places(ids: np.ndarray) -> np.ndarray:
@@ -195,7 +220,7 @@ def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def candidate_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node, hashes (sorted, 8 bytes each) of these nodes; documents that cannot be among them are left out early."""
+    """node, hashes (sorted, 8 bytes each) of these nodes, and of a few other documents that pass the filter."""
     bits = id_filter(nodes)
 
     def pick(batches):
@@ -206,7 +231,25 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             sets = [shingles(t, size).tobytes() for t in to_bytes(chosen["text"])]
             yield pa.RecordBatch.from_arrays([chosen["doc_id"].combine_chunks(), pa.array(sets, pa.binary())], ["node", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(pick, "node long, hashes binary").join(nodes.distinct(), "node", "left_semi")
+    return docs.select("doc_id", "text").mapInArrow(pick, "node long, hashes binary")
+
+
+def outlines_fit(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets' outlines leave room for a link: the suffix filter over all ranges of the order at once.
+
+    The outlines' differences add up to at most the sets' Hamming distance.
+    """
+
+    def check(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, OUTLINE).astype(np.int32) for c in ("x", "y"))
+            n, m = (np.asarray(b.column(c)) for c in ("n", "m"))
+            most = n + m - 2 * -(-percent * (n + m) // (100 + percent))
+            keep = np.abs(x - y).sum(1) <= most
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda side, line, n: nodes.select(F.col("node").alias(side), F.col("outline").alias(line), F.col("n_shingles").alias(n))
+    return pairs.join(of("a", "x", "n"), "a").join(of("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m").mapInArrow(check, "a long, b long")
 
 
 def _hamming_floor(x: np.ndarray, y: np.ndarray, most: int, depth: int) -> int:
@@ -232,17 +275,33 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The pairs (a, b) that are links. A set is sent to each of its partners once, and the exact count is made there.
 
-    def check(batches):
-        for b in batches:
-            xs, ys = b.column("x").to_pylist(), b.column("y").to_pylist()
-            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(xs, ys)]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    Rows meet by partner b and part: b's set comes first in each part, so a task holds one set at a time however many
+    partners b has.
+    """
+    per = pairs.groupBy("b").agg((F.count("*") / hot_rows).cast("int").alias("parts"))
+    dealt = pairs.join(per, "b").select(F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), F.col("parts") + 1).cast("int").alias("part"), F.lit(1).alias("side"))
+    own = per.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"), F.lit(0).alias("side"))
+    sent = sets.join(dealt.unionByName(own), "node").select("b", "part", "side", "node", "hashes")
+    met = sent.repartition("b", "part").sortWithinPartitions("b", "part", "side", "node")
 
-    with_x = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    return with_x.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    def check(batches):
+        at, mine = None, []
+        for batch in batches:
+            found = []
+            for b, part, side, node, hashes in zip(*(batch.column(c).to_pylist() for c in ("b", "part", "side", "node", "hashes"))):
+                if (b, part) != at:
+                    at, mine = (b, part), []
+                x = np.frombuffer(hashes, np.uint64)
+                if side == 0:
+                    mine.append(x)
+                elif any(similar(x, y, percent) for y in mine):
+                    found.append((node, b))
+            yield batch_of(found, ["a", "b"], [pa.int64(), pa.int64()])
+
+    return met.mapInArrow(check, "a long, b long")
 
 
 def _block_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
@@ -271,52 +330,77 @@ def _block_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def remaining_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, pivots: int, block_rows: int = BLOCK_ROWS) -> DataFrame | None:
-    """Links between classes in the buckets that the first step did not cover in full; None if there is no such bucket."""
-    wide = members.groupBy("token").agg(F.max("rank").alias("r"), F.max("part").alias("p")).filter((F.col("r") > pivots) | (F.col("p") > 0)).select("token")
-    named = members.select("token", "node").join(wide, "token", "left_semi").join(labels, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
+def open_buckets(members: DataFrame, labels: DataFrame, pivots: int) -> DataFrame:
+    """hot, token, node, comp, top, g, u: the members of buckets that the first step did not cover in full and whose
+    members are not in one class; top is the bucket's largest class, g its members, u those outside the largest class."""
+    wide = members.groupBy("hot", "token").agg(F.max("rank").alias("r"), F.max("part").alias("p")).filter((F.col("r") > pivots) | (F.col("p") > 0)).select("hot", "token")
+    named = members.select("hot", "token", "node").join(wide, ["hot", "token"], "left_semi").join(labels, "node", "left").select("hot", "token", "node", F.coalesce("comp", "node").alias("comp"))
     named = saved(named, "jaccard-named")
-    classes = named.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("g"), F.max(F.struct("c", "comp")).alias("top"))
-    open_ = classes.filter(F.col("g") > F.col("top.c")).select("token", F.col("top.comp").alias("top"), "g", (F.col("g") - F.col("top.c")).alias("u"))
-    open_ = saved(open_, "jaccard-open")
-    if open_.isEmpty():
-        return None
-    both = named.join(open_, "token")
+    classes = named.groupBy("hot", "token", "comp").agg(F.count("*").alias("c")).groupBy("hot", "token").agg(F.sum("c").alias("g"), F.max(F.struct("c", "comp")).alias("t"))
+    still = classes.filter(F.col("g") > F.col("t.c")).select("hot", "token", F.col("t.comp").alias("top"), "g", (F.col("g") - F.col("t.c")).alias("u"))
+    return saved(named.join(still, ["hot", "token"]), "jaccard-open")
+
+
+def remaining_links(open_: DataFrame, sets: DataFrame, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links between classes of the open buckets, in blocks of members: those outside the largest class against all."""
     blocks = lambda n: F.ceil(F.col(n) / block_rows).cast("int")
     mine = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    u = both.filter("comp <> top").select("token", mine("u").alias("ub"), all_("g").alias("vb"), F.lit(0).alias("side"), "node", "comp")
-    v = both.select("token", all_("u").alias("ub"), mine("g").alias("vb"), F.lit(1).alias("side"), "node", "comp")
+    u = open_.filter("comp <> top").select("hot", "token", mine("u").alias("ub"), all_("g").alias("vb"), F.lit(0).alias("side"), "node", "comp")
+    v = open_.select("hot", "token", all_("u").alias("ub"), mine("g").alias("vb"), F.lit(1).alias("side"), "node", "comp")
     rows = u.unionByName(v).join(sets, "node")
 
     def block(table: pa.Table) -> pa.Table:
         found = _block_links(table, percent)
         return pa.Table.from_batches([batch_of(found, ["a", "b"], [pa.int64(), pa.int64()])])
 
-    return rows.groupBy("token", "ub", "vb").applyInArrow(block, "a long, b long")
+    return rows.groupBy("hot", "token", "ub", "vb").applyInArrow(block, "a long, b long")
+
+
+def _nodes(sets: DataFrame) -> DataFrame:
+    """One row per distinct set: that of the least id. Only sets that may have copies are shuffled with their prefixes."""
+    named = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    copies = saved(named.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).filter("c > 1").select("sig", "least"), "jaccard-copies")
+    bits = id_filter(copies.select(_sig_number("sig")))
+
+    @F.pandas_udf("boolean")
+    def may_be(ids):
+        import pandas as pd
+
+        return pd.Series(passes(bits, ids.to_numpy(np.int64)))
+
+    marked = named.withColumn("_may", may_be(_sig_number("sig")))
+    columns = [F.col("doc_id").alias("node"), "n_shingles", "score", "prefix", "parts", "outline"]
+    several = marked.filter("_may").join(copies, "sig", "left").filter("least IS NULL OR least = doc_id").select(*columns).dropDuplicates(["node", "n_shingles", "outline"])
+    return marked.filter("NOT _may").select(*columns).unionByName(several)
+
+
+def _sig_number(column: str):
+    return F.conv(F.hex(F.substring(column, 1, 7)), 16, 10).cast("long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, pivots: int = PIVOTS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     sets = saved(prefixes(docs, shingle_counts(docs, size), size, percent, hot_rows), "jaccard-sets")
-    nodes = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "n_shingles", "score", "prefix", "parts")).alias("r"))
-    nodes = saved(nodes.select("sig", F.col("r.doc_id").alias("node"), "r.n_shingles", "r.score", "r.prefix", "r.parts"), "jaccard-nodes")
-    members = saved(bucket_members(nodes, percent, pivots), "jaccard-members")
-    candidates = saved(candidate_sets(docs, members.select("node"), size), "jaccard-candidates")
+    members = saved(bucket_members(_nodes(sets), percent, pivots), "jaccard-members")
     pairs = members.select(F.col("node").alias("a"), F.explode("pivots").alias("b")).filter("a <> b").distinct()
-    links = saved(verified(pairs, candidates, percent), "jaccard-links")
+    outlines = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "outline", "n_shingles").distinct()
+    pairs = saved(outlines_fit(pairs, outlines, percent).distinct(), "jaccard-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    links = saved(verified(pairs, candidate_sets(docs, wanted, size), percent, hot_rows), "jaccard-links")
     labels = components(links)
-    more = remaining_links(members, labels, candidates, percent, pivots)
-    if more is not None:
+    open_ = open_buckets(members, labels, pivots)
+    if not open_.isEmpty():
+        more = remaining_links(open_, candidate_sets(docs, open_.select("node"), size), percent)
         known = labels.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
-        lifted = more
         for side in ("a", "b"):
-            lifted = lifted.join(known, lifted[side] == known["_n"], "left").withColumn(side, F.coalesce("_c", side)).drop("_n", "_c")
-        upper = components(saved(lifted.filter("a <> b"), "jaccard-more"))
+            more = more.join(known, more[side] == known["_n"], "left").withColumn(side, F.coalesce("_c", side)).drop("_n", "_c")
+        upper = components(saved(more.filter("a <> b").distinct(), "jaccard-more"))
         upper = upper.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
         lone = upper.select(F.col("_n").alias("node"), F.col("_n").alias("comp")).join(labels, "node", "left_anti")
         labels = labels.unionByName(lone).join(upper, F.col("comp") == F.col("_n"), "left").select("node", F.coalesce("_c", "comp").alias("comp"))
-    classes = saved(nodes.select("sig", "node").join(labels, "node", "left").select("sig", F.coalesce("comp", "node").alias("comp")), "jaccard-classes")
+    least = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("node"))
+    classes = saved(least.join(labels, "node", "left").select("sig", F.coalesce("comp", "node").alias("comp")), "jaccard-classes")
     return sets.select("doc_id", "n_shingles", "sig").join(classes, "sig", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
