@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import drawn, saved
 
 PIVOTS = 32
 #: Rows of a candidate block and of a query block, about.
@@ -62,8 +62,9 @@ def block_top(q: np.ndarray, qd: np.ndarray, c: np.ndarray, cd: np.ndarray, ids:
             np.maximum(low, np.abs(cd[:, p] - qd[i, p]), out=low)
         low = np.maximum(low - 1e-6 * (1 + low), 0)
         upper = np.floor((q2[i] + m2 - low * low) / 2 + 1e-3).astype(np.int64)
-        upper[own[i]] = np.iinfo(np.int64).min  # the query's own row
-        usable = np.flatnonzero(upper >= floor[i])
+        reach = upper >= floor[i]
+        reach[own[i]] = False  # the query's own row
+        usable = np.flatnonzero(reach)
         usable = usable[np.argsort(-upper[usable], kind="stable")]
         best: list[tuple[int, int, int]] = []
         for a in range(0, len(usable), step):
@@ -91,8 +92,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS, c
     norm2 = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     n, n_query, m2 = usable.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(norm2)).first()
     # A fixed number of pivots, drawn by hash: the same ones in every run.
-    drawn = usable.orderBy(F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",")), "vec_id").select("vec_id", "v").limit(pivots).collect()
-    pivot_v = np.array([r["v"] for r in drawn], np.int64).reshape(-1, dim)
+    pivot_v = np.array([r["v"] for r in drawn(usable.select("v"), F.array_join(F.transform("v", lambda x: x.cast("string")), ","), pivots)], np.int64).reshape(-1, dim)
     pivot_x = _extended(pivot_v, m2)
     c_blocks, q_blocks = -(-n // candidates), max(1, -(-n_query // queries))
 
