@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 #: Words everywhere in this package: runs of anything but space, tab, newline, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,6 +41,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def place(key: Column) -> Column:
+    """60 bits of an md5: the same in every run, as good as random."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
+
+
+def drawn(df: DataFrame, key: Column, limit: int) -> list[Row]:
+    """At most `limit` rows, those with the least places; the same rows in every run. Tasks send about as many in all."""
+    n = df.count()
+    placed = df.withColumn("_place", place(key))
+    if n > limit:
+        placed = placed.filter(F.col("_place") < int((limit + 5 * limit**0.5 + 20) / n * (1 << 60)))
+    return placed.orderBy("_place", *df.columns).limit(limit).drop("_place").collect()
+
+
 def to_bytes(column) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     return column.cast(pa.large_binary()).to_pylist()

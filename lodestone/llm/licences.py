@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, to_bytes
+from .common import drawn, pieces, to_bytes
 from .shards import batch_of
 
 FEATURES = 1 << 12
@@ -156,12 +156,11 @@ def fit_rows(rows: list[list[bytes]], labels: np.ndarray, classes: tuple[str, ..
 
 
 def fit(docs: DataFrame, negative_docs: int = NEGATIVE_DOCS) -> Model:
-    drawn = docs.filter("doc_id IS NOT NULL").select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("h")).orderBy("h", "doc_id").limit(negative_docs)
-    ids = [r[0] for r in drawn.collect()]
+    ids = [r[0] for r in drawn(docs.filter("doc_id IS NOT NULL").select("doc_id"), F.col("doc_id"), negative_docs)]
     if not ids:
         return fit_rows(*training_rows([]))
     lines = docs.filter(F.col("doc_id").isin(ids)).select(F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line").between(1, 5000))
-    lines = lines.distinct().orderBy(F.md5("line")).limit(10 * negative_docs).collect()
+    lines = drawn(lines.distinct(), F.col("line"), 10 * negative_docs)
     corpus = [p for r in lines for p in paragraphs(r["line"].encode())]
     return fit_rows(*training_rows(corpus))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCKS, blocks_batch, packed_blocks, pieces, summed_arrays, to_bytes
+from .common import BLOCKS, blocks_batch, drawn, packed_blocks, pieces, summed_arrays, to_bytes
 
 BUCKETS = 1 << 16
 PRIOR = 8
@@ -99,7 +99,7 @@ def base_counts(text: bytes | None) -> tuple[list[bytes], int, int, int]:
 def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> np.ndarray:
     """Sorted ids of at most `limit` trusted rows, drawn by hash."""
     sure = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 AND t = 0")
-    rows = sure.select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("h")).orderBy("h").limit(limit).collect()
+    rows = drawn(sure.select("doc_id"), F.col("doc_id"), limit)
     return np.sort(np.array([r["doc_id"] for r in rows], np.int64))
 
 

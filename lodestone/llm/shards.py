@@ -10,15 +10,17 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import drawn
+
 #: Ids that the shard bounds are drawn from.
 DRAWN = 20_000
 
 
-def shard_bounds(df: DataFrame, key: str, shards: int, drawn: int = DRAWN) -> np.ndarray:
-    """At most shards - 1 ascending bounds: quantiles of the ids with the least hashes. The same table gives the same bounds."""
+def shard_bounds(df: DataFrame, key: str, shards: int, limit: int = DRAWN) -> np.ndarray:
+    """At most shards - 1 ascending bounds: quantiles of ids drawn by hash. The same table gives the same bounds."""
     if shards < 2:
         return np.zeros(0, np.int64)
-    rows = df.filter(F.col(key).isNotNull()).select(key, F.md5(F.col(key).cast("string")).alias("h")).orderBy("h").limit(drawn).collect()
+    rows = drawn(df.filter(F.col(key).isNotNull()).select(key), F.col(key), limit)
     ids = np.sort(np.array([r[0] for r in rows], np.int64))
     return np.unique(ids[(np.arange(1, shards) * len(ids)) // shards]) if len(ids) else ids
 
