@@ -11,7 +11,8 @@ the classes are asked for, so pairs are compared until their class is certain:
 1. in every bucket, each member is compared with the bucket's first members (`pivots`; the most typical ones first). A
    bucket of up to pivots + 1 members is covered in full that way;
 2. of each larger bucket whose members are not in one class by then, every member outside its largest class is compared
-   with every member of another class. Two members of the largest class need no comparison.
+   with every member of another class: first their sizes and outlines, then, where those leave room for a link, the sets.
+   Two members of the largest class need no comparison.
 Each pair that shares a prefix element and is not known to be in one class is thus compared: no link between different
 classes is lost, and there is no cap. Hot buckets are dealt to several tasks (`hot_rows` members each); the second step
 compares across the parts, in blocks.
@@ -336,25 +337,97 @@ def open_buckets(members: DataFrame, labels: DataFrame, pivots: int) -> DataFram
     wide = members.groupBy("hot", "token").agg(F.max("rank").alias("r"), F.max("part").alias("p")).filter((F.col("r") > pivots) | (F.col("p") > 0)).select("hot", "token")
     named = members.select("hot", "token", "node").join(wide, ["hot", "token"], "left_semi").join(labels, "node", "left").select("hot", "token", "node", F.coalesce("comp", "node").alias("comp"))
     named = saved(named, "jaccard-named")
-    classes = named.groupBy("hot", "token", "comp").agg(F.count("*").alias("c")).groupBy("hot", "token").agg(F.sum("c").alias("g"), F.max(F.struct("c", "comp")).alias("t"))
-    still = classes.filter(F.col("g") > F.col("t.c")).select("hot", "token", F.col("t.comp").alias("top"), "g", (F.col("g") - F.col("t.c")).alias("u"))
-    return saved(named.join(still, ["hot", "token"]), "jaccard-open")
+    return saved(counted(named), "jaccard-open")
 
 
-def remaining_links(open_: DataFrame, sets: DataFrame, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Links between classes of the open buckets, in blocks of members: those outside the largest class against all."""
+def _in_blocks(open_: DataFrame, block_rows: int) -> DataFrame:
+    """The members outside a bucket's largest class (side 0) against all (side 1), dealt in blocks of members."""
     blocks = lambda n: F.ceil(F.col(n) / block_rows).cast("int")
     mine = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     u = open_.filter("comp <> top").select("hot", "token", mine("u").alias("ub"), all_("g").alias("vb"), F.lit(0).alias("side"), "node", "comp")
     v = open_.select("hot", "token", all_("u").alias("ub"), mine("g").alias("vb"), F.lit(1).alias("side"), "node", "comp")
-    rows = u.unionByName(v).join(sets, "node")
+    return u.unionByName(v)
+
+
+_BLOCK = ["hot", "token", "ub", "vb"]
+
+
+def _blocks(batches):
+    """Whole blocks of a stream of rows sorted by block."""
+    held: list[pa.Table] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        keys = [np.asarray(t[c].cast(pa.int64()) if c != "hot" else t[c].cast(pa.int8())) for c in _BLOCK]
+        new = np.zeros(t.num_rows, bool)
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        if held and any(held[-1][c][-1].as_py() != t[c][0].as_py() for c in _BLOCK):
+            yield pa.concat_tables(held)
+            held = []
+        edges = [0, *np.flatnonzero(new).tolist(), t.num_rows]
+        for i, (x, y) in enumerate(zip(edges, edges[1:])):
+            held.append(t.slice(x, y - x))
+            if i < len(edges) - 2:
+                yield pa.concat_tables(held) if len(held) > 1 else held[0]
+                held = []
+    if held:
+        yield pa.concat_tables(held)
+
+
+def partners(table: pa.Table, percent: int) -> np.ndarray:
+    """Which rows of a block have a partner of the other side and another class that sizes and outlines leave room for."""
+    side, comps, n = (np.asarray(table[c]) for c in ("side", "comp", "n"))
+    lines = np.frombuffer(b"".join(table["outline"].to_pylist()), np.uint8).reshape(-1, OUTLINE).astype(np.int16)
+    us, vs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    vs = vs[np.argsort(n[vs], kind="stable")]
+    found, sizes = np.zeros(table.num_rows, bool), n[vs]
+    for u in us:
+        a, b = np.searchsorted(sizes, -(-percent * n[u] // 100), "left"), np.searchsorted(sizes, 100 * n[u] // percent, "right")
+        near = vs[a:b]
+        near = near[comps[near] != comps[u]]
+        if not len(near):
+            continue
+        most = n[u] + n[near] - 2 * -(-percent * (n[u] + n[near]) // (100 + percent))
+        near = near[np.abs(lines[near] - lines[u]).sum(1) <= most]
+        found[near] = True
+        found[u] |= bool(len(near))
+    return found
+
+
+def with_partners(open_: DataFrame, outlines: DataFrame, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """hot, token, node, comp of the members that may have a link to another class. Members of buckets that only share a
+    passage have none, so their sets are never sent."""
+
+    def run(batches):
+        for table in _blocks(batches):
+            keep = table.filter(pa.array(partners(table, percent)))
+            if keep.num_rows:
+                yield from keep.select(["hot", "token", "node", "comp"]).combine_chunks().to_batches()
+
+    rows = _in_blocks(open_, block_rows).join(outlines.select("node", "outline", F.col("n_shingles").alias("n")), "node")
+    dealt = rows.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
+    return dealt.mapInArrow(run, "hot boolean, token long, node long, comp long").distinct()
+
+
+def counted(named: DataFrame) -> DataFrame:
+    """hot, token, node, comp, top, g, u: buckets with several classes, with the largest class, its size and the rest's."""
+    classes = named.groupBy("hot", "token", "comp").agg(F.count("*").alias("c")).groupBy("hot", "token").agg(F.sum("c").alias("g"), F.max(F.struct("c", "comp")).alias("t"))
+    still = classes.filter(F.col("g") > F.col("t.c")).select("hot", "token", F.col("t.comp").alias("top"), "g", (F.col("g") - F.col("t.c")).alias("u"))
+    return named.join(still, ["hot", "token"])
+
+
+def remaining_links(open_: DataFrame, sets: DataFrame, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links between classes of the open buckets, in blocks of members: those outside the largest class against all."""
 
-    def block(table: pa.Table) -> pa.Table:
-        found = _block_links(table, percent)
-        return pa.Table.from_batches([batch_of(found, ["a", "b"], [pa.int64(), pa.int64()])])
+    def run(batches):
+        for table in _blocks(batches):
+            yield batch_of(_block_links(table, percent), ["a", "b"], [pa.int64(), pa.int64()])
 
-    return rows.groupBy("hot", "token", "ub", "vb").applyInArrow(block, "a long, b long")
+    rows = _in_blocks(open_, block_rows).join(sets, "node")
+    return rows.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(run, "a long, b long")
 
 
 def _nodes(sets: DataFrame) -> DataFrame:
@@ -390,6 +463,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, pivots: i
     links = saved(verified(pairs, candidate_sets(docs, wanted, size), percent, hot_rows), "jaccard-links")
     labels = components(links)
     open_ = open_buckets(members, labels, pivots)
+    open_ = saved(counted(saved(with_partners(open_, outlines, percent), "jaccard-partners")), "jaccard-blocks")
     if not open_.isEmpty():
         more = remaining_links(open_, candidate_sets(docs, open_.select("node"), size), percent)
         known = labels.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
