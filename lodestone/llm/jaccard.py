@@ -12,7 +12,7 @@ the classes are asked for, so pairs are compared until their class is certain:
    bucket of up to pivots + 1 members is covered in full that way;
 2. of each larger bucket whose members are not in one class by then, every member outside its largest class is compared
    with every member of another class: first their sizes and outlines, then, where those leave room for a link, the sets.
-   Two members of the largest class need no comparison.
+   Two members of the largest class need no comparison, nor do buckets with the same members as another.
 Each pair that shares a prefix element and is not known to be in one class is thus compared: no link between different
 classes is lost, and there is no cap. Hot buckets are dealt to several tasks (`hot_rows` members each); the second step
 compares across the parts, in blocks.
@@ -35,7 +35,7 @@ from .graph import components
 from .shards import batch_of
 
 #: Buckets of shingle counts, entries of the filter of candidate ids, pivots of a bucket, members of a part, of a block.
-COUNTS, FILTER, PIVOTS, HOT_ROWS, BLOCK_ROWS = 1 << 22, 1 << 22, 4, 100_000, 512
+COUNTS, FILTER, PIVOTS, HOT_ROWS, BLOCK_ROWS = 1 << 22, 1 << 22, 8, 100_000, 512
 #: Ranges of hash values whose counts make a set's outline, and parts of a hot bucket at most.
 OUTLINE, PARTS = 64, 1 << 16
 #: Word hashes that a Python worker remembers.
@@ -334,7 +334,10 @@ def _block_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
 def open_buckets(members: DataFrame, labels: DataFrame, pivots: int) -> DataFrame:
     """hot, token, node, comp, top, g, u: the members of buckets that the first step did not cover in full and whose
     members are not in one class; top is the bucket's largest class, g its members, u those outside the largest class."""
-    wide = members.groupBy("hot", "token").agg(F.max("rank").alias("r"), F.max("part").alias("p")).filter((F.col("r") > pivots) | (F.col("p") > 0)).select("hot", "token")
+    # Shingles that the same documents share make equal buckets: one of them is enough.
+    same = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("g")]
+    wide = members.groupBy("hot", "token").agg(F.max("rank").alias("r"), F.max("part").alias("p"), *same).filter((F.col("r") > pivots) | (F.col("p") > 0))
+    wide = wide.groupBy("x", "y", "g").agg(F.min(F.struct("hot", "token")).alias("t")).select("t.hot", "t.token")
     named = members.select("hot", "token", "node").join(wide, ["hot", "token"], "left_semi").join(labels, "node", "left").select("hot", "token", "node", F.coalesce("comp", "node").alias("comp"))
     named = saved(named, "jaccard-named")
     return saved(counted(named), "jaccard-open")
