@@ -197,7 +197,7 @@ class Graph:
 def impact(edges: DataFrame, v: DataFrame, start: str, depth: int = 2, limit: int | None = 100) -> DataFrame:
     """key, type, name, depth, reason_key of what refers to the start, directly or over other objects, up to a depth.
 
-    One join per level against the levels before; the reason is the least key of the level before. Levels are complete, and
+    One join per level against the levels before, which are kept once made; the reason is the least key of the level before. Levels are complete, and
     the cut at the limit takes them by (depth, key).
     """
     links = edges.filter("from_owner <> target").select(F.col("from_owner").alias("key"), F.col("target").alias("reason_key")).distinct()
@@ -207,7 +207,7 @@ def impact(edges: DataFrame, v: DataFrame, start: str, depth: int = 2, limit: in
     level = seen
     for d in range(1, depth + 1):
         near = links.join(level.select(F.col("key").alias("reason_key")), "reason_key").groupBy("key").agg(F.min("reason_key").alias("reason_key"))
-        level = near.join(seen.select("key"), "key", "left_anti").select("key", F.lit(d).alias("depth"), "reason_key")
+        level = near.join(seen.select("key"), "key", "left_anti").select("key", F.lit(d).alias("depth"), "reason_key").persist()
         seen = seen.unionByName(level)
     found = seen.filter("depth > 0").join(v.select("key", "type", "name"), "key").select("key", "type", "name", "depth", "reason_key")
     return found if limit is None else found.orderBy("depth", "key").limit(limit)
