@@ -4,7 +4,7 @@ A document's set holds the 64-bit hashes of its distinct word shingles. Shingles
 documents' shingles in a fixed number of buckets, then by hash: one total order for all). Two sets with Jaccard similarity
 >= t share an element of their prefixes, the first n - ceil(t * n) + 1 elements, so candidates meet in prefix buckets.
 They pass the length filter and the positional filter there; then, once per pair, the suffix filter, first over the sets'
-outlines (counts of elements in ranges of the order) and again over the sets, and the exact count.
+outlines (counts in ranges of the order and parities) and again over the sets, and the exact count.
 
 Documents with equal sets are one node. Links inside a group of near copies grow with the square of its size, but only
 the classes are asked for, so pairs are compared until their class is certain:
@@ -36,8 +36,8 @@ from .shards import batch_of
 
 #: Buckets of shingle counts, entries of the filter of candidate ids, pivots of a bucket, members of a part, of a block.
 COUNTS, FILTER, PIVOTS, HOT_ROWS, BLOCK_ROWS = 1 << 22, 1 << 22, 8, 100_000, 512
-#: Ranges of hash values whose counts make a set's outline, and parts of a hot bucket at most.
-OUTLINE, PARTS = 64, 1 << 16
+#: Ranges and parities of hash values that make a set's outline, and parts of a hot bucket at most.
+OUTLINE, PARITY, PARTS = 64, 1024, 1 << 16
 #: Word hashes that a Python worker remembers.
 MEMORY = 600_000
 
@@ -100,8 +100,24 @@ def _prefix_length(n: int, percent: int) -> int:
 
 
 def outline(hashes: np.ndarray) -> bytes:
-    """How many of a set's hashes fall in each of OUTLINE equal ranges (255 at most)."""
-    return np.minimum(np.bincount((hashes >> np.uint64(64 - OUTLINE.bit_length() + 1)).astype(np.int64), minlength=OUTLINE), 255).astype(np.uint8).tobytes()
+    """How many of a set's hashes fall in each of OUTLINE equal ranges (255 at most), and PARITY parities of other bits.
+
+    The counts' differences, and the parities that differ, are each at most the Hamming distance of two sets; parities are
+    nearly exact for short sets, counts hold for long ones.
+    """
+    counts = np.bincount((hashes >> np.uint64(64 - OUTLINE.bit_length() + 1)).astype(np.int64), minlength=OUTLINE)
+    parity = np.bincount(((hashes >> np.uint64(20)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+def gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lower bounds of the Hamming distances of sets with these outlines, row by row."""
+    by_count = np.abs(x[..., :OUTLINE].astype(np.int16) - y[..., :OUTLINE].astype(np.int16)).sum(-1)
+    return np.maximum(by_count, np.bitwise_count(x[..., OUTLINE:] ^ y[..., OUTLINE:]).sum(-1, dtype=np.int64))
+
+
+def _outlines(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, OUTLINE + PARITY // 8)
 
 
 _SETS = "doc_id long, n_shingles long, sig binary, score short, prefix array<long>, parts array<int>, outline binary"
@@ -238,15 +254,15 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 def outlines_fit(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets' outlines leave room for a link: the suffix filter over all ranges of the order at once.
 
-    The outlines' differences add up to at most the sets' Hamming distance.
+    The outlines' gap is at most the sets' Hamming distance.
     """
 
     def check(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, OUTLINE).astype(np.int32) for c in ("x", "y"))
+            x, y = _outlines(b.column("x")), _outlines(b.column("y"))
             n, m = (np.asarray(b.column(c)) for c in ("n", "m"))
             most = n + m - 2 * -(-percent * (n + m) // (100 + percent))
-            keep = np.abs(x - y).sum(1) <= most
+            keep = gaps(x, y) <= most
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda side, line, n: nodes.select(F.col("node").alias(side), F.col("outline").alias(line), F.col("n_shingles").alias(n))
@@ -383,7 +399,7 @@ def _blocks(batches):
 def partners(table: pa.Table, percent: int) -> np.ndarray:
     """Which rows of a block have a partner of the other side and another class that sizes and outlines leave room for."""
     side, comps, n = (np.asarray(table[c]) for c in ("side", "comp", "n"))
-    lines = np.frombuffer(b"".join(table["outline"].to_pylist()), np.uint8).reshape(-1, OUTLINE).astype(np.int16)
+    lines = _outlines(table["outline"])
     us, vs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     vs = vs[np.argsort(n[vs], kind="stable")]
     found, sizes = np.zeros(table.num_rows, bool), n[vs]
@@ -394,7 +410,7 @@ def partners(table: pa.Table, percent: int) -> np.ndarray:
         if not len(near):
             continue
         most = n[u] + n[near] - 2 * -(-percent * (n[u] + n[near]) // (100 + percent))
-        near = near[np.abs(lines[near] - lines[u]).sum(1) <= most]
+        near = near[gaps(lines[near], lines[u]) <= most]
         found[near] = True
         found[u] |= bool(len(near))
     return found
