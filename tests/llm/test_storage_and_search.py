@@ -212,6 +212,8 @@ def test_filters_lose_no_link(a, b, percent):
     if len(x) and len(y):
         link = 100 * len(a & b) >= percent * len(a | b)
         assert jaccard.similar(x, y, percent) == link
+        lines = [np.frombuffer(jaccard.outline(jaccard._spread(z)), np.uint8) for z in (x, y)]
+        assert jaccard.gaps(*lines) <= len(a ^ b)
         if link:
             common = min(a & b)
             assert jaccard.may_link(len(a), sorted(a).index(common), len(b), sorted(b).index(common), percent)
