@@ -273,6 +273,19 @@ def test_bounds_leave_candidates_out():
     assert [(-s, j) for j, s in found[0]] == want and evaluated < 1000
 
 
+# work tables
+
+
+def test_work_tables_can_be_cleared(spark):
+    from lodestone.llm.common import clear_work, saved
+
+    kept = saved(spark.range(5).toDF("x"), "test-clear")
+    file = pathlib.Path(re.sub("^file:/*", "/", kept.inputFiles()[0]))
+    assert kept.count() == 5 and file.exists()
+    clear_work(spark)
+    assert not file.exists()
+
+
 # the pipeline
 
 
