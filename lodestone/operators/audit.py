@@ -71,8 +71,8 @@ def ref_counts(modules: DataFrame, name: str) -> DataFrame:
 # file rules
 
 
-def e1_e9(modules: DataFrame, max_modules: int = R.MAX_AUDITED) -> DataFrame:
-    """defect, path, line_no, note of five rule groups over the first max_modules files in path order."""
+def e1_e9(modules: DataFrame, max_modules: int | None = None) -> DataFrame:
+    """defect, path, line_no, note of five rule groups over all files, or over the first max_modules ones in path order."""
     if max_modules:
         modules = modules.orderBy("path").limit(max_modules)
     line = F.col("text")

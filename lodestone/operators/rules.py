@@ -64,7 +64,7 @@ ENTRY_POINTS = ("ПриНачалеРаботыСистемы", "ПриИзме
 # Complexity and limits.
 FUNCTION_HEADER = r"^\s*(Процедура|Функция)\s+(\w+)"
 BRANCH_WORDS = ("Если", "Цикл", "Для", "Пока", "Исключение", "When", "For", "While", "Try")
-MAX_COMPLEXITY, MAX_LINES, MAX_FUNCTIONS, DUPLICATE_LINES, MAX_AUDITED = 10, 500, 50, 10, 10_000
+MAX_COMPLEXITY, MAX_LINES, MAX_FUNCTIONS, DUPLICATE_LINES = 10, 500, 50, 10
 
 # Type directories of a dump and their types: the parser's map, and the graph's.
 PARSER_TYPES = {

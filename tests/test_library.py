@@ -126,6 +126,12 @@ def test_line_rules(spark):
     assert audit.e1_e9(mods(spark, close, close), 1).filter("defect = 'queue_leak'").count() == 1
 
 
+def test_audit_covers_every_module(spark):
+    many = spark.range(10_001).select(F.format_string("m%05d.bsl", "id").alias("path"), F.lit("НачатьТранзакцию();").alias("content"))
+    got = audit.e1_e9(many).filter("defect = 'transaction_boundary'")
+    assert got.count() == 10_001 and got.agg(F.max("path")).first()[0] == "m10000.bsl"
+
+
 def test_dead_code_knows_substrings_of_words(spark):
     got = {(r.name, r.path) for r in audit.dead_code(mods(spark, "Процедура Тест()\nПроцедура Один()\nОдин()", "Функция ТестСоздание()", "Процедура ПриЗаписи()")).collect()}
     assert got == {("Один", "m0.bsl"), ("ТестСоздание", "m1.bsl")}
