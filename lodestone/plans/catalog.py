@@ -176,7 +176,8 @@ add(
     SELECT name, path FROM f WHERE name NOT IN ({', '.join(f"'{x}'" for x in R.ENTRY_POINTS)}) AND NOT EXISTS (SELECT 1 FROM m WHERE m.path <> f.path AND contains(m.content, f.name))""",
 )
 _PI = {"passport number": R.PERSONAL[0][1].replace(r"[-\s]", r"[-\s]"), "PI reference": R.PERSONAL[2][1]}
-add("audit_pi_data", lambda s, d: audit.personal_data(DM(s, d)).filter("pattern <> 'INN/KPP number'").select("pattern", "cnt"), " UNION ALL ".join(f"SELECT * FROM (SELECT '{n}' AS pattern, CAST(sum(len(regexp_extract_all(content, '(?i){p}'))) AS BIGINT) AS cnt FROM ({DMS})) WHERE cnt > 0" for n, p in _PI.items()))
+add("audit_pi_data", lambda s, d: audit.personal_data(DM(s, d)).select("pattern", "cnt"))
+add("audit_pi_data_portable", lambda s, d: audit.personal_data(DM(s, d)).filter("pattern <> 'INN/KPP number'").select("pattern", "cnt"), " UNION ALL ".join(f"SELECT * FROM (SELECT '{n}' AS pattern, CAST(sum(len(regexp_extract_all(content, '(?i){p}'))) AS BIGINT) AS cnt FROM ({DMS})) WHERE cnt > 0" for n, p in _PI.items()))
 add("audit_pi_data_orders", lambda s, d: audit.personal_data(OD(s, d)))
 add("audit_bulk_analyze", lambda s, d: audit.bulk_analyze(OD(s, d), 3), f"SELECT (SELECT count(*) FROM ({security_sql(ODS)})) AS security_issues, (SELECT count(*) FROM ({duplicates_sql(ODS, 3, True)})) AS duplicates, (SELECT max(max_complexity) FROM ({metrics_sql(ODS)})) AS max_complexity, (SELECT CAST(sum(functions) AS BIGINT) FROM ({metrics_sql(ODS)})) AS total_functions")
 
@@ -217,6 +218,8 @@ add("meta_dependencies_referenced_by", lambda s, d: audit.ref_counts(OD(s, d), "
 
 # Queries
 
+#: Patterns without look-ahead, which the SQL engine lacks: queries named _portable run these and have SQL; those beside
+#: them run all patterns and are held against brute force.
 _PORTABLE = tuple(i for i, _, p, *_ in R.QUERY_PATTERNS if "(?!" not in p)
 _Q = lambda s, d: A.sql(s, d, A.QUERIES)
 _QS = A.QUERIES
@@ -232,15 +235,18 @@ _EMB = rf"""SELECT path, line_no, coalesce(called, 'query_at_line_' || start_lin
   FROM (SELECT *, contains(text, 'Новый Запрос') OR (contains(text, 'Запрос') AND contains(text, 'Новый')) AS c, '\.Текст\s*=\s*"{{3}}([\s\S]*?)"{{3}}' AS q FROM {lines_sql(ODS)}) WINDOW w AS (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING))
   WHERE NOT c AND start_line IS NOT NULL AND contains(text, 'Текст') AND (contains(text, '=') OR contains(text, '.Добавить')) AND regexp_matches(text, q)"""
 add("embedded_queries", lambda s, d: query_lint.embedded_queries(OD(s, d)), _EMB)
-add("audit_query_antipatterns", lambda s, d: query_lint.anti_patterns(query_lint.embedded_queries(OD(s, d)), _PORTABLE), patterns_sql(_EMB, "path, line_no, name, start_line", "'{id}' AS pattern_id, '{sev}' AS severity, '{msg}' AS message"))
+add("audit_query_antipatterns", lambda s, d: query_lint.anti_patterns(query_lint.embedded_queries(OD(s, d))))
+add("audit_query_antipatterns_portable", lambda s, d: query_lint.anti_patterns(query_lint.embedded_queries(OD(s, d)), _PORTABLE), patterns_sql(_EMB, "path, line_no, name, start_line", "'{id}' AS pattern_id, '{sev}' AS severity, '{msg}' AS message"))
 add("query_find_sinks", lambda s, d: query_lint.anti_patterns(query_lint.embedded_queries(OD(s, d))).groupBy("name", "pattern_id").agg(F.count("*").alias("cnt")))
 add("query_patterns", lambda s, d: query_lint.anti_patterns(_Q(s, d), _PORTABLE), patterns_sql(_QS, "query_id", "'{id}' AS pattern_id, '{sev}' AS severity, '{msg}' AS message"))
 add("query_patterns_all", lambda s, d: query_lint.anti_patterns(_Q(s, d)))
-add("query_optimize", lambda s, d: query_lint.optimize(_Q(s, d), _PORTABLE), patterns_sql(_QS, "query_id", "'{id}' AS pattern_id, '{msg}' AS current, '{adv}' AS suggestion"))
+add("query_optimize", lambda s, d: query_lint.optimize(_Q(s, d)))
+add("query_optimize_portable", lambda s, d: query_lint.optimize(_Q(s, d), _PORTABLE), patterns_sql(_QS, "query_id", "'{id}' AS pattern_id, '{msg}' AS current, '{adv}' AS suggestion"))
 _BARE = r"regexp_replace(query_text, '^\s+|\s+$', '', 'g')"
 _VALID = f"({_BARE} <> '' AND starts_with(upper({_BARE}), 'ВЫБРАТЬ') AND contains(upper(query_text), 'ИЗ'))"
+add("query_validate", lambda s, d: query_lint.validate(_Q(s, d)))
 add(
-    "query_validate",
+    "query_validate_portable",
     lambda s, d: query_lint.validate(_Q(s, d), _PORTABLE),
     f"""WITH q AS (SELECT *, {_VALID} AS valid, {_BARE} = '' AS empty FROM ({_QS})), f AS (
     SELECT query_id, valid, 'issue' AS kind, CAST(NULL AS VARCHAR) AS pattern_id, '{R.EMPTY_QUERY}' AS message FROM q WHERE empty

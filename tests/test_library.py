@@ -1,12 +1,16 @@
 """Operators of the library on hand-made inputs; expected rows follow from the rules."""
 
 import random
+import re
+from collections import Counter
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import audit, generators, graph, meta, metrics, query_lint, registry, std
+from lodestone.operators import rules as R
+from lodestone.plans import adapters, catalog
 from lodestone.sources import files
 from lodestone.streaming import findings
 
@@ -156,6 +160,32 @@ def test_query_patterns_and_clauses(spark):
     assert valid == {(1, False, "Пустой запрос"), (2, False, "Запрос должен начинаться с ВЫБРАТЬ или ВЫБРАТЬ РАЗЛИЧНЫЕ"), (2, False, "В запросе отсутствует секция ИЗ")}
 
 
+def test_registered_queries_run_all_patterns(spark):
+    sf = "/root/testdata/sf0.001"
+    run = lambda name: catalog.QUERIES[name](spark, sf).collect()
+    hit = lambda text: [(i, s, m, a) for i, s, p, m, a in R.QUERY_PATTERNS if re.search(p, text, re.I | re.M)]
+    queries = [tuple(r) for r in adapters.sql(spark, sf, adapters.QUERIES).collect()]
+    want = Counter((q, i, m, a) for q, t in queries for i, s, m, a in hit(t))
+    assert Counter(map(tuple, run("query_optimize"))) == want and {"no_first", "select_all", "no_where", "no_group_having", "fetch_top_without_period"} <= {k[1] for k in want}
+    want = Counter()
+    for q, t in queries:
+        bare = t.strip().upper()
+        issues = [R.EMPTY_QUERY] if not bare else [R.NO_SELECT] * (not bare.startswith("ВЫБРАТЬ")) + [R.NO_FROM] * ("ИЗ" not in bare)
+        rows = [("issue", None, m) for m in issues] + [("warning" if s == "warning" else "issue", i, m) for i, s, m, _ in hit(t) if bare]
+        want.update((q, not issues, *r) for r in rows or [(None, None, None)])
+    assert Counter(map(tuple, run("query_validate"))) == want
+    found = query_lint.embedded_queries(adapters.modules_from_orders(spark, sf)).collect()
+    want = Counter((r.path, r.line_no, r.name, r.start_line, i, s, m) for r in found for i, s, m, _ in hit(r.query_text))
+    assert Counter(map(tuple, run("audit_query_antipatterns"))) == want and "select_all" in {k[4] for k in want}
+
+
+def test_personal_data_of_documents_is_counted_whole(spark, tmp_path):
+    texts = ["ИНН 7701234567, 770123456789 и 123456789012345", "паспорт 123-45-67-8901 fio", "нет"]
+    spark.createDataFrame([(i, t, "s", "ru") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in catalog.QUERIES["audit_pi_data"](spark, str(tmp_path)).collect()}
+    assert got == {(n, c) for n, p in R.PERSONAL if (c := sum(len(re.findall(p, t, re.I)) for t in texts))} and ("INN/KPP number", 2) in got
+
+
 def test_standards_corpus(spark, tmp_path):
     lines = ['{"id": "#std999", "title": "Заголовок", "aliases": ["Блокировки"], "body_markdown": "текст про запросы"}', "", "{broken", '{"page": {"ID": "std5", "name": "Пятый"}}', '{"id": "#std999", "title": "Новый", "aliases": ["Блокировки", "б"], "body_markdown": "другой текст"}', '{"title": "без номера"}']
     (tmp_path / "c.jsonl").write_text("\n".join(lines), encoding="utf-8")
