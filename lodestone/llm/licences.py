@@ -5,11 +5,16 @@ logistic regression over licence families and "none". Probabilities are calibrat
 rows; below `sure` the answer is unknown. A family counts as found only if the paragraph also holds enough of one of the
 family's templates (share of the template's word pairs).
 
+Notices that are wrapped over lines or lie inside a longer text are looked for in blocks, the lines between blank ones:
+wherever WINDOW words in a row hold enough of a template's word pairs, the shortest spans with the most of them are scored
+and confirmed like a paragraph. Paragraphs of more than WINDOW words are also scored in overlapping windows. What is found
+counts for every paragraph that the span or window touches.
+
 Training rows: the templates, with words dropped and corpus words around them, by a seeded generator; and at most
 10 * `negative_docs` paragraphs (of up to 5000 characters) of that many documents, drawn by hashes, that resemble no
 template. These bounds are parameters; the scan covers every paragraph of every document.
 
-Defined cases: a null or blank text has no paragraphs; paragraphs of any length are scored as a whole; repeated rows stay
+Defined cases: a null or blank text has no paragraphs; paragraphs of any length are scored as a whole too; repeated rows stay
 repeated; an empty table trains without corpus words and gives an empty result; other columns are ignored.
 """
 
@@ -30,6 +35,8 @@ FEATURES = 1 << 12
 NEGATIVE_DOCS = 300
 SURE, CONFIRM = 0.6, 0.6
 NONE = "none"
+#: Words in a row that are searched for a template at once; twice the longest template and more.
+WINDOW = 48
 
 #: Short public notices by family.
 TEMPLATES = {
@@ -60,11 +67,21 @@ def _code(word: bytes) -> int:
     return h
 
 
+def blocks(text: bytes | None) -> tuple[list[list[bytes]], list[int]]:
+    """The words of every line that has one, and the number of its block: blank lines part blocks."""
+    lines, numbers, block = [], [], 0
+    for line in text.lower().translate(None, _MARKS).split(b"\n") if text else ():
+        if words := line.split():
+            lines.append(words)
+            numbers.append(block)
+        else:
+            block += 1
+    return lines, numbers
+
+
 def paragraphs(text: bytes | None) -> list[list[bytes]]:
     """The words of every line that has one."""
-    if not text:
-        return []
-    return [w for line in text.lower().translate(None, _MARKS).split(b"\n") if (w := line.split())]
+    return blocks(text)[0]
 
 
 def features(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +130,71 @@ def resemblance(words: list[bytes], family: str) -> float:
     return max(len(mine & t) / len(t) for t in _TEMPLATE_PAIRS[family])
 
 
+def _key(codes: np.ndarray) -> np.ndarray:
+    """A number for every two words in a row."""
+    return (codes[:-1].astype(np.uint64) << np.uint64(32)) | codes[1:].astype(np.uint64)
+
+
+_TEMPLATES = [t for family in _TEMPLATE_PAIRS.values() for t in family]
+_KEYS = np.unique(np.concatenate([_key(np.array([_code(a), _code(b)])) for t in _TEMPLATES for a, b in t]))
+#: Pair x template: whether the template holds the pair.
+_HOLDS = np.array([np.isin(_KEYS, [_key(np.array([_code(a), _code(b)]))[0] for a, b in t]) for t in _TEMPLATES]).T
+
+
+def spans(words: list[list[bytes]], block: np.ndarray, confirm: float = CONFIRM, window: int = WINDOW) -> list[tuple[int, int]]:
+    """First and last word, counted over all paragraphs, of what holds `confirm` of a template's word pairs within `window`
+    words of one block: per template the spans with most pairs, shorter ones first, none over another; and none within one
+    that holds a larger share of its template, as notices of one family hold parts of another's."""
+    codes = np.array([_code(w) for p in words for w in p], np.int64)
+    if len(codes) < 2:
+        return []
+    of = np.repeat(block, [len(w) for w in words])
+    key = _key(codes)
+    at = np.minimum(np.searchsorted(_KEYS, key), len(_KEYS) - 1)
+    hit = np.flatnonzero((_KEYS[at] == key) & (of[:-1] == of[1:]))
+    found = []
+    for t, pairs in enumerate(_TEMPLATES):
+        need = max(1, int(np.ceil(confirm * len(pairs) - 1e-9)))
+        mine = hit[_HOLDS[at[hit], t]]
+        if len(mine) < need:
+            continue
+        a, b = mine[: len(mine) - need + 1], mine[need - 1 :]
+        begins = np.flatnonzero((b - a < window - 1) & (of[a] == of[b])).tolist()
+        if not begins:
+            continue
+        place, which, inside = mine.tolist(), at[mine].tolist(), of[mine].tolist()
+        most = []
+        for i in begins:
+            seen = set()
+            for j in range(i, len(place)):
+                if place[j] - place[i] >= window - 1 or inside[j] != inside[i]:
+                    break
+                if which[j] not in seen:
+                    seen.add(which[j])
+                    if len(seen) >= need:
+                        most.append((-len(seen), place[j] - place[i], place[i]))
+        taken = set()
+        for n, length, first in sorted(most):
+            span = range(first, first + length + 2)
+            if taken.isdisjoint(span):
+                taken.update(span)
+                found.append((n / len(pairs), length, first))
+    over: dict[int, list[int]] = {}  # word -> ends of the spans over it
+    out = set()
+    for _, length, first in sorted(found):
+        last = first + length + 1
+        if all(end < last for end in over.get(first, ())):
+            out.add((first, last))
+            for k in range(first, last + 1):
+                over.setdefault(k, []).append(last)
+    return sorted(out)
+
+
+def windows(n: int, size: int = WINDOW) -> list[tuple[int, int]]:
+    """Begin and end of overlapping windows over n words, half a window apart."""
+    return [(a, min(a + size, n)) for a in range(0, max(1, n - size // 2), size // 2)]
+
+
 def training_rows(corpus: list[list[bytes]], per_template: int = 30, seed: int = 7) -> tuple[list[list[bytes]], np.ndarray, tuple[str, ...]]:
     rng = np.random.default_rng(seed)
     classes = (NONE, *TEMPLATES)
@@ -174,24 +256,40 @@ def scan(docs: DataFrame, model: Model | None = None, sure: float = SURE, confir
     model = model or fit(docs)
     families = np.array(model.classes)
 
+    def judged(units, licensed, looks):
+        """Notes what paragraphs a..b of every unit (words, a, b) hold: confirmed families, or only the look of one."""
+        probability = model.probabilities([w for w, _, _ in units]) if units else np.zeros((0, len(families)))
+        top = probability.argmax(1)
+        for i in np.flatnonzero(top).tolist():
+            (words, a, b), family, p = units[i], str(families[top[i]]), float(probability[i, top[i]])
+            if p >= sure and resemblance(words, family) >= confirm:
+                for k in range(a, b + 1):
+                    licensed.setdefault(k, []).append((family, p))
+            else:
+                looks.update(range(a, b + 1))
+
     def run(batches):
         for table in pieces(batches, 2 << 20):
-            texts = [paragraphs(t) for t in to_bytes(table["text"])]
-            flat = [p for t in texts for p in t]
-            found = model.probabilities(flat) if flat else np.zeros((0, len(families)))
-            top = found.argmax(1)
+            texts = [blocks(t) for t in to_bytes(table["text"])]
+            flat = [p for t, _ in texts for p in t]
+            firsts = np.cumsum([0] + [b[-1] + 1 if b else 0 for _, b in texts])
+            block = np.array([f + k for f, (_, b) in zip(firsts.tolist(), texts) for k in b], np.int64)
+            licensed, looks = {}, set()
+            judged([(p, k, k) for k, p in enumerate(flat)], licensed, looks)
+            long = [(k, a, b) for k, p in enumerate(flat) if len(p) > WINDOW for a, b in windows(len(p))]
+            for i in range(0, len(long), 4096):
+                judged([(flat[k][a:b], k, k) for k, a, b in long[i : i + 4096]], licensed, looks)
+            if near := spans(flat, block, confirm):
+                words = [w for p in flat for w in p]
+                of = np.repeat(np.arange(len(flat)), [len(p) for p in flat])
+                judged([(words[a : b + 1], int(of[a]), int(of[b])) for a, b in near], licensed, looks)
             rows, a = [], 0
-            for doc_id, t in zip(table["doc_id"].to_pylist(), texts):
-                names, best, unknown, hits = set(), 0.0, 0, 0
-                for i in (a + np.flatnonzero(top[a : a + len(t)])).tolist():
-                    family, p = families[top[i]], float(found[i, top[i]])
-                    if p >= sure and resemblance(flat[i], family) >= confirm:
-                        names.add(str(family))
-                        best, hits = max(best, p), hits + 1
-                    else:
-                        unknown += 1
+            for doc_id, (t, _) in zip(table["doc_id"].to_pylist(), texts):
+                mine = range(a, a + len(t))
+                found = [x for k in mine for x in licensed.get(k, ())]
+                hits, unknown = sum(k in licensed for k in mine), sum(k in looks and k not in licensed for k in mine)
                 a += len(t)
-                rows.append((doc_id, len(t), hits, unknown, ",".join(sorted(names)) or None, round(best, 4) if names else None))
+                rows.append((doc_id, len(t), hits, unknown, ",".join(sorted({f for f, _ in found})) or None, round(max(p for _, p in found), 4) if found else None))
             yield batch_of(rows, ["doc_id", "n_paragraphs", "n_licence", "n_unknown", "licences", "best_probability"], [pa.int64()] * 4 + [pa.string(), pa.float64()])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCAN)

@@ -217,6 +217,33 @@ def test_licence_scan(spark):
     assert licences.scan(docs.limit(0)).count() == 0
 
 
+def test_licences_are_found_in_wrapped_and_long_texts(spark):
+    filler = [" ".join(f"v{(i * j) % 97}" for j in range(1, 12)) for i in range(1, 30)]
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation."
+    inside = " ".join(filler) + " {} " + " ".join(filler[::-1])
+    lines = gpl.split("\n")
+    texts = ["\n".join(filler) + "\n\n" + gpl, "\n".join(f"# {x}" for x in lines), inside.format("Released under the MIT License."), inside.format(gpl.replace("\n", " ")), lines[0] + "\n\n" + lines[1], inside.format("x"), gpl + "\n\n" + inside.format("Licensed under CC BY 4.0.")]
+    docs = spark.createDataFrame([(i, t, "s", "a", "x") for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: (r.n_paragraphs, r.n_licence, r.licences) for r in licences.scan(docs).collect()}
+    assert got == {0: (32, 2, "gpl"), 1: (3, 2, "gpl"), 2: (1, 1, "mit"), 3: (1, 1, "gpl"), 4: (2, 0, None), 5: (1, 0, None), 6: (4, 3, "cc-by,gpl")}
+
+
+def test_spans_match_brute_force():
+    rng = np.random.default_rng(5)
+    pool = [w for t in licences.TEMPLATES["gpl"] + licences.TEMPLATES["mit"] for w in licences.paragraphs(t.encode())[0]]
+    for _ in range(40):
+        lines = []
+        for _ in range(6):
+            a = int(rng.integers(len(pool)))
+            lines.append(pool[a : a + int(rng.integers(1, 25))] if rng.random() < 0.7 else [b"x"] * int(rng.integers(1, 60)))
+        block = np.sort(rng.integers(0, 3, 6))
+        words, of = [w for p in lines for w in p], np.repeat(block, [len(p) for p in lines])
+        want = any(licences.resemblance(words[i : i + licences.WINDOW][: int((of[i : i + licences.WINDOW] == of[i]).sum())], f) >= licences.CONFIRM for i in range(len(words)) for f in licences.TEMPLATES)
+        got = licences.spans(lines, block)
+        assert bool(got) == want
+        assert all(of[a] == of[b] and max(licences.resemblance(words[a : b + 1], f) for f in licences.TEMPLATES) >= licences.CONFIRM for a, b in got)
+
+
 def test_features_do_not_cross_paragraphs():
     one, two = [b"a", b"b", b"c"], [b"d"]
     at, starts = licences.features([one, two])
