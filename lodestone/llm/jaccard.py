@@ -497,7 +497,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, pivots: i
     return sets.select("doc_id", "n_shingles", "sig").join(classes, "sig", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs of which one stays per class: the one with the least id. Rows with a null id stay.
 
     Only rows that may be concerned are shuffled with their texts: the others pass a filter of fixed size.

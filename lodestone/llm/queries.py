@@ -46,7 +46,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,6 +205,13 @@ def test_deduplicated_keeps_one_of_each_class(spark):
     assert got.columns == docs.columns and sorted(r.doc_id or -1 for r in got.collect()) == [-1, 2, 5, 7, 8]
 
 
+def test_pipeline_links_copies_of_four_fifths(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words), "a", "g", "n"), (2, " ".join(words + [f"t{i}" for i in range(22)]), "a", "g", "n"), (3, " ".join(words[:60] + [f"u{i}" for i in range(40)]), "a", "g", "n")]
+    got = corpus_pipeline.jaccard_stage(spark, spark.createDataFrame(rows, DOCS), "")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3]  # 96 of 118 shingles of five words; 56 of 136
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.integers(0, 60)), st.sets(st.integers(0, 60)), st.integers(50, 95))
 def test_filters_lose_no_link(a, b, percent):
