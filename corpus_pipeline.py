@@ -3,7 +3,7 @@
 1. quality rules: documents that fail the base rules or the log-likelihood threshold go;
 2. n-gram Jaccard join: of each class of near copies the document with the least id stays;
 3. mixing: every document as often as the mix to target weights takes it (never, up to three times);
-4. SentencePiece: the piece ids of every document, read back and compared with the text.
+4. SentencePiece: the piece ids of every document, decoded again and compared with the text (decodes_back).
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lattice.encode(docs, lattice.load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    return lattice.encode(docs, lattice.load_pieces(public_tokenizers.path("piece_bpe_32k.model")), read_back=True)
 
 
 STAGES = [

@@ -287,19 +287,27 @@ def prepared(docs: DataFrame, model: Pieces, max_words: int = MAX_WORDS):
     return spark.sparkContext.broadcast((uuid.uuid4().hex, model, words, ids))
 
 
-def encode(docs: DataFrame, model: Pieces, max_words: int = MAX_WORDS) -> DataFrame:
-    """doc_id, n_pieces, ids."""
+def _is_text(decoded: str, text: str | None) -> bool:
+    return decoded == (text or "").replace(MARK, " ")
+
+
+def encode(docs: DataFrame, model: Pieces, max_words: int = MAX_WORDS, read_back: bool = False) -> DataFrame:
+    """doc_id, n_pieces, ids; and decodes_back as in digest, if they are to be read back."""
     shared = prepared(docs, model, max_words)
 
     def run(batches):
         c = coder(shared)
         for table in pieces(batches, 4 << 20):
-            ids = [c.encode(t) for t in table["text"].to_pylist()]
+            texts = table["text"].to_pylist()
+            ids = [c.encode(t) for t in texts]
             lengths = np.array([len(x) for x in ids])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array(lengths, pa.int64()), lists], ["doc_id", "n_pieces", "ids"])
+            columns = {"doc_id": table["doc_id"].combine_chunks(), "n_pieces": pa.array(lengths, pa.int64()), "ids": lists}
+            if read_back:
+                columns["decodes_back"] = pa.array([_is_text(c.decode(x), t) for x, t in zip(ids, texts)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids array<int>" + ", decodes_back boolean" * read_back)
 
 
 def decode(encoded: DataFrame, model: Pieces) -> DataFrame:
@@ -330,7 +338,7 @@ def digest(docs: DataFrame, model: Pieces, max_words: int = MAX_WORDS) -> DataFr
             rows = []
             for doc_id, text in zip(table["doc_id"].to_pylist(), table["text"].to_pylist()):
                 ids = c.encode(text)
-                back = c.decode(ids) == (text or "").replace(MARK, " ")
+                back = _is_text(c.decode(ids), text)
                 rows.append((doc_id, len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.tobytes()), back))
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 4 + [pa.bool_()])], ["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "decodes_back"])

@@ -296,6 +296,14 @@ def test_work_tables_can_be_cleared(spark):
 # the pipeline
 
 
+def test_pipeline_decodes_what_it_encodes(spark):
+    docs = spark.createDataFrame([(1, "Some  text, é\n\U0001f642", "s", "g", "n"), (2, None, "s", "g", "n"), (3, "", "s", "g", "n")], DOCS)
+    stage = dict(corpus_pipeline.STAGES)["SentencePiece encoding"]
+    pieces = lattice.load_pieces(MODEL)
+    assert {(r.doc_id, r.decodes_back) for r in stage(spark, docs, "").collect()} == {(r.doc_id, r.decodes_back) for r in lattice.digest(docs, pieces).collect()} == {(1, True), (2, True), (3, True)}
+    assert lattice._is_text("a b", "a\u2581b") and not lattice._is_text("a", "b")
+
+
 def test_stages_return_the_columns_of_documents(spark):
     words = lambda seed: " ".join(f"w{int(x)}" for x in np.random.default_rng(seed).integers(0, 500, 80))
     rows = [(i, words(i // 2), "en", f"s{i % 3}", 400) for i in range(40)] + [(100, "too short", "en", "s0", 9), (101, None, None, None, None)]
