@@ -6,7 +6,7 @@ pos) for code and ord for objects.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -157,28 +157,28 @@ class Graph:
         calls = calls.join(local.withColumnRenamed("module", "home"), ["home", "low"], "left").join(common, "low", "left")
         return calls.select("from_proc", "from_module", "from_owner", "line_no", "text", "pos", "callee", F.coalesce("here", "there").alias("resolved"))
 
-    def calls(self, name: str, direction: str = "both", object_type: str = "", limit: int = 50) -> DataFrame:
-        """direction, proc, callee, resolved, caller_owner, caller_proc, module, line_no, text."""
+    def calls(self, name: str, direction: str = "both", object_type: str = "", limit: int | None = 50) -> DataFrame:
+        """direction, proc, callee, resolved, caller_owner, caller_proc, module, line_no, text: the first calls per direction, or all (limit=None)."""
         key = self.one(name, object_type)
         mine = self.procedures.filter(F.col("owner") == key)
         calls = self.resolved_calls()
         out = calls.join(mine.select(F.col("fq").alias("from_proc"), F.col("name").alias("proc")), "from_proc")
-        out = out.orderBy("from_module", "line_no", "pos").limit(limit).select(F.lit("out").alias("direction"), "proc", "callee", "resolved", F.lit(None).cast("string").alias("caller_owner"), F.lit(None).cast("string").alias("caller_proc"), F.col("from_module").alias("module"), "line_no", "text")
+        out = _first(out, limit, "from_module", "line_no", "pos").select(F.lit("out").alias("direction"), "proc", "callee", "resolved", F.lit(None).cast("string").alias("caller_owner"), F.lit(None).cast("string").alias("caller_proc"), F.col("from_module").alias("module"), "line_no", "text")
         names = mine.select(F.lower("name").alias("low")).distinct()
         into = self.call_edges.withColumn("low", F.lower("callee")).join(names, "low", "left_semi").groupBy("from_module", "callee", "line_no").agg(F.min(F.struct("pos", "from_owner", "from_proc", "text")).alias("s"))
-        into = into.orderBy("from_module", "line_no", "s.pos", "callee").limit(limit).select(F.lit("in").alias("direction"), F.lit(None).cast("string").alias("proc"), "callee", F.lit(None).cast("string").alias("resolved"), F.col("s.from_owner").alias("caller_owner"), F.col("s.from_proc").alias("caller_proc"), F.col("from_module").alias("module"), "line_no", F.col("s.text").alias("text"))
+        into = _first(into, limit, "from_module", "line_no", "s.pos", "callee").select(F.lit("in").alias("direction"), F.lit(None).cast("string").alias("proc"), "callee", F.lit(None).cast("string").alias("resolved"), F.col("s.from_owner").alias("caller_owner"), F.col("s.from_proc").alias("caller_proc"), F.col("from_module").alias("module"), "line_no", F.col("s.text").alias("text"))
         return {"out": out, "in": into}.get(direction) if direction in ("out", "in") else out.unionByName(into)
 
     def impact(self, name: str, object_type: str = "", depth: int = 2, limit: int | None = 100) -> DataFrame:
         return impact(self.ref_edges.select("from_owner", "target"), self.vertices, self.one(name, object_type), depth, limit)
 
-    def search(self, query: str, object_type: str = "", limit: int = 20) -> DataFrame:
-        """key, type, name, description, modules, procedures of the first vertices whose name or description holds the query."""
+    def search(self, query: str, object_type: str = "", limit: int | None = 20) -> DataFrame:
+        """key, type, name, description, modules, procedures of the first (limit=None: of all) vertices whose name or description holds the query."""
         q = query.strip().lower()
         v = self.vertices.filter(F.lower("name").contains(q) | F.lower("description").contains(q))
         if object_type:
             v = v.filter(F.lower("type") == object_type.lower())
-        v = v.orderBy(F.col("ord").asc_nulls_last(), "key").limit(limit)
+        v = _first(v, limit, F.col("ord").asc_nulls_last(), "key")
         m = self.owners.groupBy(F.col("owner").alias("key")).agg(F.count("*").alias("modules"))
         p = self.scoped.filter("is_header").groupBy(F.col("owner").alias("key")).agg(F.count("*").alias("procedures"))
         zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -194,6 +194,10 @@ class Graph:
         return rows.agg(*[F.max(F.when(F.col("n") == n, F.col("c"))).alias(n) for n in tables])
 
 
+def _first(df: DataFrame, limit: int | None, *order: Column | str) -> DataFrame:
+    return df if limit is None else df.orderBy(*order).limit(limit)
+
+
 def impact(edges: DataFrame, v: DataFrame, start: str, depth: int = 2, limit: int | None = 100) -> DataFrame:
     """key, type, name, depth, reason_key of what refers to the start, directly or over other objects, up to a depth.
 
@@ -210,7 +214,7 @@ def impact(edges: DataFrame, v: DataFrame, start: str, depth: int = 2, limit: in
         level = near.join(seen.select("key"), "key", "left_anti").select("key", F.lit(d).alias("depth"), "reason_key").persist()
         seen = seen.unionByName(level)
     found = seen.filter("depth > 0").join(v.select("key", "type", "name"), "key").select("key", "type", "name", "depth", "reason_key")
-    return found if limit is None else found.orderBy("depth", "key").limit(limit)
+    return _first(found, limit, "depth", "key")
 
 
 def undefined_refs(scoped: DataFrame, v: DataFrame) -> DataFrame:

@@ -409,9 +409,12 @@ add("graph_movements", lambda s, d: _G(s, d).ref_edges.filter("kind = 'movement'
 add("graph_undefined_refs", lambda s, d: graph.undefined_refs(_G(s, d).scoped, _G(s, d).vertices), f"SELECT 'Catalog' AS type, 'Нет' AS name, count(*) AS cnt FROM {lines_sql(ODS)} WHERE contains(text, 'Справочники.Нет') HAVING count(*) > 0")
 add("graph_resolved_calls", lambda s, d: _G(s, d).resolved_calls().select("from_module", "line_no", "pos", "callee", "resolved"))
 add("graph_calls", lambda s, d: _G(s, d).calls("ASIA"))
+add("graph_calls_all", lambda s, d: _G(s, d).calls("ASIA", limit=None))
+add("graph_search_all", lambda s, d: _G(s, d).search("eur", limit=None).select("key", "type", "name", "modules", "procedures"))
 add("graph_search", lambda s, d: _G(s, d).search("eur").select("key", "type", "name", "modules", "procedures"), f"SELECT concat_ws(':', type, name) AS key, type, name, CAST(0 AS BIGINT) AS modules, CAST(0 AS BIGINT) AS procedures FROM ({_OS}) WHERE contains(lower(name), 'eur') OR contains(lower(description), 'eur')")
 add("graph_stats", lambda s, d: _G(s, d).stats())
 add("graph_impact_code", lambda s, d: _G(s, d).impact("ASIA", depth=2))
+add("graph_impact_code_all", lambda s, d: _G(s, d).impact("ASIA", depth=2, limit=None))
 
 
 def impact_sql(start: str, depth: int) -> str:

@@ -92,6 +92,16 @@ def test_impact_matches_a_plain_search(spark):
     assert graph.impact(e, v, "T:1", 3, 2).count() == 2
 
 
+def test_graph_without_limits(spark):
+    objects = spark.createDataFrame([("CommonModules", "CommonModule", f"Модуль{i}", "", "", "", i) for i in range(25)], "type_dir string, type string, name string, code string, description string, subsystem string, ord long")
+    code = "Процедура А()\n" + " Б();\n" * 60 + "КонецПроцедуры\nПроцедура Б()\nКонецПроцедуры"
+    g = graph.Graph(objects, spark.createDataFrame([("CommonModules/Модуль1/Ext/Module.bsl", code)], "path string, content string"))
+    rows = lambda **k: [g.calls("Модуль1", d, **k).count() for d in ("out", "in", "both")]
+    assert rows() == [50, 50, 100] and rows(limit=None) == [60, 60, 120]
+    assert g.search("модуль").count() == 20 and g.search("модуль", limit=None).count() == 25
+    assert {"graph_calls_all", "graph_search_all", "graph_impact_code_all"} <= set(catalog.QUERIES)
+
+
 def test_functions_end_at_the_next_header(spark):
     code = "вступление Если\nФункция А()\n Если х Тогда\n КонецЕсли\nКонецФункции\n // Для\nПроцедура Б()"
     got = [(r.name, r.type, r.start, r.complexity, r.lines) for r in metrics.functions(mods(spark, code)).orderBy("fn_no").collect()]
