@@ -35,7 +35,7 @@ STAGES = [
     ("quality rules", quality_stage),
     ("n-gram Jaccard join", jaccard_stage),
     ("mixing sources to target weights", mixing_stage),
-    ("SentencePiece encoding", sentencepiece_stage),
+    ("SentencePiece encoding and decoding", sentencepiece_stage),
 ]
 
 #: SQL cannot express the shingle classes and the piece ids; tests/llm holds the stages against brute force.
