@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +84,59 @@ def pieces(batches, limit: int = 8 << 20, column: str = "text") -> Iterator:
             yield table.slice(a, b - a)
 
 
+def split_words(texts) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """All words of a string column, split and numbered by Arrow: each word's number among the distinct ones, where each
+    text's words begin (one more entry than texts), and the distinct words. A null text has no words."""
+    texts = pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, "")
+    lists = pc.ascii_split_whitespace(texts)
+    starts = np.asarray(lists.offsets).astype(np.int64)
+    words = lists.values.dictionary_encode()
+    codes = words.indices.to_numpy(zero_copy_only=False)
+    empty = pc.index(words.dictionary, pa.scalar("", words.dictionary.type)).as_py()
+    if empty >= 0:  # before leading and after trailing white space
+        keep = codes != empty
+        starts, codes = np.concatenate([[0], np.cumsum(keep)])[starts], codes[keep]
+    return codes, starts, words.dictionary
+
+
+_kept: dict[object, object] = {}
+
+
+def kept(key, make):
+    """make()'s object, which a Python worker keeps for its next tasks, until another key is asked for: one object at a time,
+    so its own bound is all that outlives a task."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+class Remembered:
+    """A function from distinct words to bytes that remembers what it has given, as two Arrow arrays of about `limit` bytes.
+    When they are full, what is known is forgotten but for the last words."""
+
+    def __init__(self, of, limit: int):
+        self.of, self.limit = of, limit
+        self.words, self.values = pa.array([], pa.string()), pa.array([], pa.binary())
+
+    @property
+    def size(self) -> int:
+        return self.words.nbytes + self.values.nbytes
+
+    def __call__(self, words: pa.Array) -> pa.Array:
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(at))
+        fresh = self.of(new)
+        place = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[np.asarray(pc.is_null(at))] = len(self.words) + np.arange(len(new))
+        found = pa.concat_arrays([self.values, fresh]).take(pa.array(place))
+        if self.size > self.limit:
+            self.words, self.values = words, found
+        elif len(new):
+            self.words, self.values = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.values, fresh])
+        return found
+
+
 def packed_blocks(counts: np.ndarray, kind: int = 0) -> Iterator[tuple[int, int, bytes]]:
     """(kind, block, compressed counts) for every block with a non-zero entry."""
     for k in range(0, len(counts), BLOCK):

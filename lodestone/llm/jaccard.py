@@ -24,13 +24,16 @@ else null); repeated rows have equal sets; an empty table gives an empty result;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCKS, blocks_batch, packed_blocks, pieces, saved, summed_arrays, to_bytes
+from .common import BLOCKS, blocks_batch, packed_blocks, pieces, saved, split_words, summed_arrays, to_bytes
 from .graph import components
 from .shards import batch_of
 
@@ -38,37 +41,28 @@ from .shards import batch_of
 COUNTS, FILTER, PIVOTS, HOT_ROWS, BLOCK_ROWS = 1 << 22, 1 << 22, 8, 100_000, 512
 #: Ranges and parities of hash values that make a set's outline, and parts of a hot bucket at most.
 OUTLINE, PARITY, PARTS = 64, 1024, 1 << 16
-#: Word hashes that a Python worker remembers.
-MEMORY = 600_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash, a bounded number of words at a time."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Hashes()
-
-
 def _spread(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _B
     h = (h ^ (h >> np.uint64(27))) * _C
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: bytes | None, size: int = 4) -> np.ndarray:
-    """Sorted distinct hashes (uint64) of the word shingles of a text, A-Z lower-cased."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+def shingle_sets(texts, size: int = 4) -> Iterator[np.ndarray]:
+    """Of every text of a column the sorted distinct hashes (uint64) of its word shingles, A-Z lower-cased."""
+    codes, starts, distinct = split_words(pc.ascii_lower(texts))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, to_bytes(distinct)), np.uint64, len(distinct))
+    h = hashes[codes]
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        yield _shingles(h[a:b], size)
+
+
+def _shingles(h: np.ndarray, size: int) -> np.ndarray:
+    if not len(h):
+        return h
     k = min(size, len(h))
     total = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -86,7 +80,7 @@ def shingle_counts(docs: DataFrame, size: int) -> np.ndarray:
     def count(batches):
         total, some = np.zeros(COUNTS, np.int64), False
         for table in pieces(batches):
-            sets = [shingles(t, size) for t in to_bytes(table["text"])]
+            sets = list(shingle_sets(table["text"], size))
             total += np.bincount((np.concatenate(sets) % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
             some = True
         if some:
@@ -131,8 +125,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int, hot_r
     def prepare(batches):
         for table in pieces(batches):
             rows = []
-            for doc_id, text in zip(table["doc_id"].to_pylist(), to_bytes(table["text"])):
-                s = shingles(text, size)
+            for doc_id, s in zip(table["doc_id"].to_pylist(), shingle_sets(table["text"], size)):
                 if not len(s):
                     rows.append((doc_id, 0, None, 0, [], [], None))
                     continue
@@ -245,7 +238,7 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             ids = np.array([x if x is not None else 0 for x in table["doc_id"].to_pylist()], np.int64)
             keep = passes(bits, ids) & ~np.asarray(table["doc_id"].is_null())
             chosen = table.filter(pa.array(keep))
-            sets = [shingles(t, size).tobytes() for t in to_bytes(chosen["text"])]
+            sets = [s.tobytes() for s in shingle_sets(chosen["text"], size)]
             yield pa.RecordBatch.from_arrays([chosen["doc_id"].combine_chunks(), pa.array(sets, pa.binary())], ["node", "hashes"])
 
     return docs.select("doc_id", "text").mapInArrow(pick, "node long, hashes binary")
@@ -504,8 +497,8 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     """
     found = saved(near_duplicates(docs, size, percent), "dedup-classes").filter("doc_id IS NOT NULL")
     concerned = found.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("component_id").alias("least")).filter("c > 1 OR least < doc_id")
-    concerned = saved(concerned.select(F.col("doc_id").alias("_id"), (F.col("least") == F.col("doc_id")).alias("_stays")), "dedup-concerned")
-    bits = id_filter(concerned.select("_id"))
+    concerned = saved(concerned.select("doc_id", (F.col("least") == F.col("doc_id")).alias("stays")), "dedup-concerned")
+    bits = id_filter(concerned.select("doc_id"))
 
     @F.pandas_udf("boolean")
     def may_be(ids):
@@ -513,8 +506,9 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
 
         return pd.Series(passes(bits, ids.fillna(0).to_numpy(np.int64)) & ids.notna().to_numpy())
 
-    marked = docs.withColumn("_may", may_be("doc_id"))
-    maybe = marked.filter("_may").join(concerned, F.col("doc_id") == F.col("_id"), "left")
+    # The caller's columns travel in a struct, so that none of their names can clash.
+    marked = docs.select(F.struct("*").alias("row"), "doc_id").withColumn("may", may_be("doc_id"))
+    maybe = marked.filter("may").join(concerned, "doc_id", "left")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    maybe = maybe.withColumn("_first", first).filter("_id IS NULL OR (_stays AND _first = 1)")
-    return marked.filter("NOT _may").select(*docs.columns).unionByName(maybe.select(*docs.columns))
+    maybe = maybe.withColumn("nth", first).filter("stays IS NULL OR (stays AND nth = 1)")
+    return marked.filter("NOT may").select("row.*").union(maybe.select("row.*"))

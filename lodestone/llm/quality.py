@@ -19,6 +19,7 @@ result; other columns are ignored. Very long texts are handled one at a time.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCKS, blocks_batch, drawn, packed_blocks, pieces, summed_arrays, to_bytes
+from .common import BLOCKS, blocks_batch, drawn, packed_blocks, pieces, split_words, summed_arrays, to_bytes
 
 BUCKETS = 1 << 16
 PRIOR = 8
@@ -38,27 +39,14 @@ MAX_TRUSTED = 20_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\r\x0b\x0c"
-#: Distinct words whose hashes a Python worker remembers.
-MEMORY = 500_000
 
-_hashes: dict[bytes, int] = {}
 
-
-def word_hash(word: bytes) -> int:
-    """The first 32 bits of md5."""
-    h = _hashes.get(word)
-    if h is None:
-        if len(_hashes) >= MEMORY:
-            _hashes.clear()
-        h = _hashes[word] = int.from_bytes(hashlib.md5(word).digest()[:4], "big")
-    return h
-
-
-def coded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's number in this text, and the distinct words' hashes."""
-    known: dict[bytes, int] = {}
-    codes = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
-    return codes, np.array([word_hash(w) for w in known], np.int64)
+def coded(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of texts: each word's number, where each text's words begin, and the distinct words' hashes (the first
+    32 bits of md5)."""
+    codes, starts, distinct = split_words(texts)
+    first = b"".join([hashlib.md5(w).digest()[:4] for w in to_bytes(distinct)])
+    return codes.astype(np.int64), starts, np.frombuffer(first, ">u4").astype(np.int64)
 
 
 def buckets(hashes: np.ndarray, m: int = BUCKETS) -> np.ndarray:
@@ -83,17 +71,17 @@ def repeated_words(codes: np.ndarray, distinct: int) -> int:
     return int(inside.sum())
 
 
-def base_counts(text: bytes | None) -> tuple[list[bytes], int, int, int]:
-    """Words, code points in words, symbols, repeated lines."""
+def base_counts(text: bytes | None) -> tuple[int, int, int]:
+    """Code points in words, symbols, repeated lines."""
     if not text:
-        return [], 0, 0, 0
+        return 0, 0, 0
     seen: set[bytes] = set()
     repeated = 0
     for line in text.split(b"\n"):
         if line.strip(SPACE):
             repeated += line in seen
             seen.add(line)
-    return text.split(), len(text.translate(None, SPACE).decode("utf-8", "replace")), len(text) - len(text.translate(None, SYMBOLS)), repeated
+    return len(text.translate(None, SPACE).decode("utf-8", "replace")), len(text) - len(text.translate(None, SYMBOLS)), repeated
 
 
 def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> np.ndarray:
@@ -145,12 +133,16 @@ def fit(docs: DataFrame, labels: DataFrame, m: int = BUCKETS, limit: int = MAX_T
         raw, target, some = np.zeros(m, np.int64), np.zeros(m, np.int64), False
         for table in pieces(batches):
             ids = table["doc_id"].to_pylist()
-            seen = [buckets(h[c], m) for c, h in (coded(t.split() if t else []) for t in to_bytes(table["text"]))]
+            codes, starts, hashes = coded(table["text"])
             chosen = np.isin(np.array([-1 if i is None else i for i in ids], np.int64), trusted) & np.array([i is not None for i in ids])
-            raw += np.bincount(np.concatenate(seen), minlength=m)
-            good = [s for s, ok in zip(seen, chosen) if ok]
-            if good:
-                target += np.bincount(np.concatenate(good), minlength=m)
+            text = np.repeat(np.arange(len(ids)), np.diff(starts))
+            same = text[1:] == text[:-1]  # pairs do not reach over texts
+            h = hashes[codes]
+            one, two = h % m, ((31 * h[:-1] + h[1:] + 7) % m)[same]
+            raw += np.bincount(one, minlength=m) + np.bincount(two, minlength=m)
+            if chosen.any():
+                good = chosen[text]
+                target += np.bincount(one[good], minlength=m) + np.bincount(two[good[1:][same]], minlength=m)
             some = True
         if some:
             yield blocks_batch([*packed_blocks(raw, 0), *packed_blocks(target, 1)])
@@ -162,13 +154,16 @@ def fit(docs: DataFrame, labels: DataFrame, m: int = BUCKETS, limit: int = MAX_T
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score long"
 
 
-def judged(doc_id: int | None, text: bytes | None, model: Model, threshold: float) -> tuple:
-    words, chars, symbols, lines = base_counts(text)
-    codes, hashes = coded(words)
-    repeats = repeated_words(codes, len(hashes))
-    failed = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * len(words)
-    score = model.score(doc_id, buckets(hashes[codes], len(model.raw)) if words else codes)
-    return doc_id, len(words), chars, symbols, lines, repeats, failed, bool(not failed and score >= int(threshold * SCALE)), score
+def judged(table: pa.Table, model: Model, threshold: float) -> Iterator[tuple]:
+    """The statistics and the verdict of every row of doc_id, text."""
+    codes, starts, hashes = coded(table["text"])
+    for k, (doc_id, text) in enumerate(zip(table["doc_id"].to_pylist(), to_bytes(table["text"]))):
+        mine = codes[starts[k] : starts[k + 1]]
+        n, (chars, symbols, lines) = len(mine), base_counts(text)
+        repeats = repeated_words(mine, len(hashes))
+        failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
+        score = model.score(doc_id, buckets(hashes[mine], len(model.raw)) if n else mine)
+        yield doc_id, n, chars, symbols, lines, repeats, failed, bool(not failed and score >= int(threshold * SCALE)), score
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep_rows: bool = False) -> DataFrame:
@@ -177,7 +172,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep
 
     def stats(batches):
         for table in pieces(batches):
-            rows = [judged(i, t, model, threshold) for i, t in zip(table["doc_id"].to_pylist(), to_bytes(table["text"]))]
+            rows = judged(table, model, threshold)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.int64()])],
                 ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"],
@@ -185,7 +180,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep
 
     def kept(batches):
         for table in pieces(batches):
-            good = [judged(i, t, model, threshold)[7] for i, t in zip(table["doc_id"].to_pylist(), to_bytes(table["text"]))]
+            good = [row[7] for row in judged(table, model, threshold)]
             yield from table.filter(pa.array(good, pa.bool_())).combine_chunks().to_batches()
 
     if keep_rows:
