@@ -16,24 +16,29 @@ from .common import drawn
 DRAWN = 20_000
 
 
-def shard_bounds(df: DataFrame, key: str, shards: int, limit: int = DRAWN) -> np.ndarray:
-    """At most shards - 1 ascending bounds: quantiles of ids drawn by hash. The same table gives the same bounds."""
+def shard_bounds(df: DataFrame, key: str, shards: int, size: str, limit: int = DRAWN) -> np.ndarray:
+    """Ascending bounds, about shards - 1: quantiles, weighted by size, of ids drawn by hash. The same table gives the same
+    bounds."""
     if shards < 2:
         return np.zeros(0, np.int64)
-    rows = drawn(df.filter(F.col(key).isNotNull()).select(key), F.col(key), limit)
-    ids = np.sort(np.array([r[0] for r in rows], np.int64))
-    return np.unique(ids[(np.arange(1, shards) * len(ids)) // shards]) if len(ids) else ids
+    rows = sorted(drawn(df.filter(F.col(key).isNotNull()).select(key, size), F.col(key), limit))
+    ids, upto = np.array([r[0] for r in rows], np.int64), np.cumsum([r[1] for r in rows])
+    if not len(ids) or not upto[-1]:
+        return np.zeros(0, np.int64)
+    at = np.searchsorted(upto, np.arange(1, shards) * (upto[-1] / shards))
+    alone = at[1:][at[1:] == at[:-1]] + 1  # an id that weighs more than a shard has its own
+    return np.unique(ids[np.concatenate([at, alone[alone < len(ids)]])])
 
 
-def with_shard(df: DataFrame, key: str, bounds: np.ndarray) -> DataFrame:
-    """A column `shard`: the number of bounds up to the id; null ids go to the last shard."""
+def with_shard(df: DataFrame, key: str, bounds: np.ndarray, nulls_first: bool = False) -> DataFrame:
+    """A column `shard`: the number of bounds up to the id; null ids go to the last shard, or to the first."""
     if not len(bounds):
         return df.withColumn("shard", F.lit(0))
 
     @F.pandas_udf("int")
     def shard_of(ids):
         out = np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), "right")
-        out[ids.isna().to_numpy()] = len(bounds)
+        out[ids.isna().to_numpy()] = 0 if nulls_first else len(bounds)
         import pandas as pd
 
         return pd.Series(out.astype(np.int32))

@@ -5,11 +5,13 @@ each), the Elias-Fano code of the cumulative lengths, the doc_ids, and a footer
 (Parquet) lists the files; the ids before a file are the sum over the files before it. Files appear under their name only
 when whole, and writing a shard again gives the same bytes.
 
-Texts are encoded word by word: the tokenizer never joins tokens over white space, so a text's ids are those of its words
-in a row. A Python worker remembers a bounded number of words, so a word is rarely encoded twice.
+Texts are encoded word by word where the tokenizer's settings show that it never joins tokens over white space: then a
+text's ids are those of its words in a row, and a Python worker encodes a distinct word once while its bounded memory holds it.
+Other tokenizers encode whole texts.
 
 Defined cases: a null or empty text has only the end id; repeated rows are documents of their own; an empty table gives no
-file and an empty result; other columns are ignored. A text's ids are built in one piece.
+file and an empty result; other columns are ignored, whatever their names. A text's ids are built in one piece, however
+long it is.
 """
 
 from __future__ import annotations
@@ -22,115 +24,105 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, to_bytes, work_path
+from .common import Remembered, kept, pieces, split_words, to_bytes, work_path
 from .eliasfano import EliasFano
 from .shards import Committed, batch_of, filesystem, shard_bounds, with_shard
 
 MAGIC = b"IDSEF001"
 SHARD_BYTES = 32 << 20
-#: Words that a Python worker remembers, twice (as they are; in lower case without a last full stop or comma).
-MEMORY = 600_000
+#: Bytes of words and of their ids that a Python worker remembers, about.
+MEMORY = 48 << 20
+#: Tokenizer settings under which words can be encoded one by one: white space parts words and is dropped, case is ignored,
+#: and a letter is always cut from what is no letter. (Fixed values of the tokenizer file format.)
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+}
+
+
+def cuts_at_space(settings: dict) -> bool:
+    """Whether a text's ids are those of its words in a row, and those of a word are those of its stem and its end."""
+    special = all("<" in t["content"] and not t["content"].split()[1:] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in settings["added_tokens"])
+    return special and not settings.get("truncation") and all(settings.get(k) == v for k, v in BY_WORD.items())
+
+
+class Encoder:
+    """Encodes texts with a tokenizer file. Where its settings allow, every distinct word is encoded once while the bounded
+    memory holds it: words are split, numbered and looked up by Arrow. Else each text is encoded as a whole."""
 
-_encoders: dict[str, WordEncoder] = {}
-
-
-class Memory:
-    """A bounded map: when the young half is full it becomes the old one; what is used again moves over."""
-
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = max(1, limit // 2), {}, {}
-
-    def find(self, key: bytes) -> bytes | None:
-        got = self.old.get(key)
-        if got is not None:
-            self.put(key, got)
-        return got
-
-    def put(self, key: bytes, value: bytes) -> None:
-        if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-
-
-class WordEncoder:
     def __init__(self, path: str, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words, self.stems = Memory(memory), Memory(memory)
+        settings = json.loads(self.tokenizer.to_str())
+        self.by_word = cuts_at_space(settings)
+        self.stems = Remembered(self._new, memory)
+        # Which tokens end a run of letters: the vocabulary marks them with a suffix.
+        suffix, vocabulary = settings["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    @staticmethod
-    def stem(word: bytes) -> tuple[bytes, bytes]:
-        """The tokenizer ignores case and always cuts between a letter and a full stop or comma. Special tokens begin with
-        '<' and heed case."""
-        if b"<" not in word:
-            word = word.lower()
-        if word[-1] in b".," and len(word) > 1 and 97 <= word[-2] <= 122:
-            return word[:-1], word[-1:]
-        return word, b""
-
-    def learn(self, words: set[bytes]) -> None:
-        """Make sure that all these words are in self.words.young."""
-        waiting, needed = {}, set()
-        for w in words:
-            if self.words.find(w) is None:
-                waiting[w] = parts = self.stem(w)
-                needed.update(p for p in parts if p)
-        known: dict[bytes, bytes] = {b"": b""}
-        fresh = []
-        for p in needed:
-            got = self.stems.young.get(p) or self.stems.find(p)
-            if got is None:
-                fresh.append(p)
-            else:
-                known[p] = got
-        for a in range(0, len(fresh), 4096):
-            part = fresh[a : a + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)):
-                known[p] = ids = np.array(e.ids, self.kind).tobytes()
-                self.stems.put(p, ids)
-        for w, (stem, end) in waiting.items():
-            self.words.put(w, known[stem] + known[end])
-
-    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [t.split() if t else [] for t in texts]
-        out, a = [], 0
-        while a < len(split):
-            # As many texts at a time as the memory holds words of.
-            b, words = a, set()
-            while b < len(split) and (b == a or len(words) + len(split[b]) <= self.words.limit):
-                words.update(split[b])
-                b += 1
-            missing = words.difference(self.words.young)
-            if len(words) > self.words.limit:
-                out.append(self._long(split[a]))
-            else:
-                if len(self.words.young) + len(missing) > self.words.limit:
-                    self.words.old, self.words.young = self.words.young, {}
-                    missing = words
-                self.learn(missing)
-                get = self.words.young.__getitem__
-                out += [b"".join(map(get, s)) for s in split[a:b]]
-            a = b
-        return out
-
-    def _long(self, words: list[bytes]) -> bytes:
-        step = self.words.limit // 2
-        return b"".join(x for k in range(0, len(words), step) for x in self.encode_all([b" ".join(words[k : k + step])]))
-
-
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    def _plain(self, texts: list[bytes], at_once: int) -> pa.Array:
+        out = []
+        for a in range(0, len(texts), at_once):
+            part = [t.decode("utf-8", "replace") for t in texts[a : a + at_once]]
+            out += [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return pa.array(out, pa.binary())
+
+    def _new(self, words: pa.Array) -> pa.Array:
+        """The ids of stems. Those of letters only are encoded many at a time, with spaces between, and told apart by the
+        tokens that end a word; should those be of another number, one by one."""
+        letters = pc.match_substring_regex(words, "^\\pL+$")
+        some, others = words.filter(letters), words.filter(pc.invert(letters))
+        out = []
+        for a in range(0, len(some), 1024):
+            part = some.slice(a, 1024)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part.to_pylist())], add_special_tokens=False)[0].ids, self.kind)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(part):
+                out.append(self._plain(to_bytes(part), 4096))
+                continue
+            at = np.append(0, last + 1).astype(np.int32) * self.kind.itemsize
+            out.append(pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(at), pa.py_buffer(ids)]))
+        found = pa.concat_arrays([*out, self._plain(to_bytes(others), 4096)])
+        mask = letters.to_numpy(zero_copy_only=False)
+        return found.take(pa.array(np.where(mask, np.cumsum(mask) - 1, len(some) + np.cumsum(~mask) - 1)))
+
+    def _ids_of(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words. A stem is a word in lower case without a full stop or comma behind its last letter;
+        words with '<' keep their case, as special tokens heed it."""
+        lower = pc.if_else(pc.match_substring(words, "<"), words, pc.ascii_lower(words))
+        stems = pc.replace_substring_regex(lower, "([a-z])[.,]$", "\\1")
+        cut = pc.not_equal(pc.binary_length(stems), pc.binary_length(lower))
+        ends = pc.if_else(cut, pc.if_else(pc.ends_with(lower, "."), ".", ","), "")
+        stems, ends = stems.dictionary_encode(), ends.dictionary_encode()
+        return pc.binary_join_element_wise(self.stems(stems.dictionary).take(stems.indices), self._plain(to_bytes(ends.dictionary), 8).take(ends.indices), b"")
+
+    def encode_all(self, texts) -> list[bytes | memoryview]:
+        """The ids of every text of a column, as bytes; a null text has none."""
+        if not self.by_word:
+            return self._plain([t or b"" for t in to_bytes(texts)], 64).to_pylist()
+        codes, starts, words = split_words(texts)
+        each = self._ids_of(words).take(pa.array(codes))
+        _, ends, data = each.buffers()
+        if not len(each):
+            return [b""] * (len(starts) - 1)
+        at = np.frombuffer(ends, np.int32)[each.offset : each.offset + len(each) + 1][starts].tolist()
+        view = memoryview(data or b"")
+        return [view[a:b] for a, b in zip(at, at[1:])]
 
 
 MANIFEST = "file string, shard int, docs long, ids long, bytes long, sha256 string"
@@ -142,14 +134,15 @@ class _Shard:
         self.doc_ids, self.lengths = [], []
         self._write(MAGIC)
 
-    def _write(self, data: bytes) -> None:
+    def _write(self, data: bytes | memoryview) -> None:
         self.file.write(data)
         self.hash.update(data)
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        self._write(ids)
+    def add(self, doc_id: int | None, *parts: bytes | memoryview) -> None:
+        for ids in parts:
+            self._write(ids)
         self.doc_ids.append(doc_id)
-        self.lengths.append(len(ids) // self.kind.itemsize)
+        self.lengths.append(sum(map(len, parts)) // self.kind.itemsize)
 
     def close(self) -> tuple:
         ends = np.concatenate([[0], np.cumsum(self.lengths)])
@@ -168,21 +161,21 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shard
     """Encode all texts with the tokenizer file and write them below path; returns the manifest."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    bounds = shard_bounds(rows.select("doc_id"), "doc_id", shards)
+    sizes = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    bounds = shard_bounds(sizes, "doc_id", max(1, -(-total // shard_bytes)), "n")
     sharded = with_shard(rows, "doc_id", bounds).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "text")
 
     def write(batches):
-        coder, out, done = encoder(tokenizer), None, []
+        coder, out, done = kept(("ids", tokenizer), lambda: Encoder(tokenizer)), None, []
         end = np.array([end_id], coder.kind).tobytes()
         for table in pieces(batches):
-            ids = coder.encode_all(to_bytes(table["text"]))
+            ids = coder.encode_all(table["text"])
             for doc_id, shard, data in zip(table["doc_id"].to_pylist(), table["shard"].to_pylist(), ids):
                 if out is None or out.shard != shard:
                     done += [out.close()] if out else []
                     out = _Shard(path, shard, coder.kind)
-                out.add(doc_id, data + end)
+                out.add(doc_id, data, end)
         done += [out.close()] if out else []
         yield batch_of(done, ["file", "shard", "docs", "ids", "bytes", "sha256"], [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()])
 
@@ -229,14 +222,16 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
                 f = IdFile(path, name)
-                ends = f.ends.all()
-                a = 0
-                while a < f.docs:
-                    b = max(a + 1, int(np.searchsorted(ends, ends[a] + (1 << 20), "right")) - 1)
-                    ids = f.slice(int(ends[a]), int(ends[b])).astype("<u4")
-                    rows = [(f.doc_ids[i], base + int(ends[i]), int(ends[i + 1] - ends[i]), zlib.crc32(ids[ends[i] - ends[a] : ends[i + 1] - ends[a]])) for i in range(a, b)]
+                first, start = 0, 0
+                while first < f.docs:
+                    # Documents of about a million ids at a time; every boundary is selected from the code.
+                    ends = [start]
+                    while first + len(ends) <= f.docs and ends[-1] - start < 1 << 20:
+                        ends.append(f.ends[first + len(ends)])
+                    data = f.slice(start, ends[-1]).astype("<u4")
+                    rows = [(f.doc_ids[first + k], base + a, b - a, zlib.crc32(data[a - start : b - start])) for k, (a, b) in enumerate(zip(ends, ends[1:]))]
                     yield batch_of(rows, ["doc_id", "start", "n_tokens", "ids_crc32"], [pa.int64()] * 4)
-                    a = b
+                    first, start = first + len(rows), ends[-1]
 
     return files.mapInArrow(read, READ)
 
