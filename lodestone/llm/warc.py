@@ -1,6 +1,6 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are sorted by id within shards whose bounds are quantiles of the ids; each shard is one task's work and rolls its
+Records are sorted by id within shards whose bounds are quantiles of the ids, weighted by payload bytes; each shard is one task's work and rolls its
 files by compressed size. Every record is a gzip member with regenerated headers: WARC-Payload-Digest, WARC-Block-Digest
 and lengths come from the payload. Files are written under temporary names and renamed when whole; the manifest (a Parquet
 table with file, records, bytes and SHA-256) is committed last and the reader opens only what it lists. A task that is
@@ -11,7 +11,7 @@ others are revisits that refer to it and carry no payload.
 
 Defined cases: a null html is an empty payload; a null url leaves out WARC-Target-URI; rows with equal page_id and payload
 are one response and revisits of it (or all revisits, if another page is the response); a null page_id sorts below all
-others; an empty table gives no file and an empty result; other columns are ignored.
+others; payloads of any length are one record each, built in one piece; an empty table gives no file and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,9 +81,9 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll
     rows = wide.select("page_id", "sha", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("first"))
     rows = rows.unionByName(refs.select("page_id", "sha", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "first"))
     total = narrow.agg(F.sum("n")).first()[0] or 0
-    bounds = shard_bounds(narrow, "page_id", max(1, -(-total // shard_bytes)))
+    bounds = shard_bounds(narrow, "page_id", max(1, -(-total // shard_bytes)), "n")
     shards = len(bounds) + 1
-    sharded = with_shard(rows, "page_id", bounds).repartitionById(shards, "shard")
+    sharded = with_shard(rows, "page_id", bounds, nulls_first=True).repartitionById(shards, "shard")
     # Within a page and payload the reference row (kind 0) comes first.
     sharded = sharded.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha", "kind", "url")
 
