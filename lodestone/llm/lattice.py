@@ -1,47 +1,48 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Lattice: every distinct word's bounded-length substrings are exploded and equi-joined to the piece table; the matches
-are the word's edges, grouped by word, and a Spark higher-order `aggregate` folds them to the word's pieces. The fold
-follows the model's kind: Viterbi (best sum of scores) for unigram models; for BPE models, whose scores are merge ranks
-and not log probabilities, the merge of the best adjacent pair until none is left. Viterbi over a BPE model would not
-give the ids that the model defines.
-
-Scale: words are cut where no piece reaches across (before a run of word marks, around line breaks), counted over the
-whole corpus, and the most frequent ones, at most `max_words`, go through the relational lattice; their encodings are
-broadcast (max_words bounds their size). The pass over the documents looks words up and folds the rest by the same rules
-over the same edges in the task, so every word of every text is encoded exactly and no text or word occurrence is
-shuffled.
+Lattice: the bounded-length substrings of every distinct word are exploded and equi-joined to the piece table; the matches
+are the word's edges, which are grouped by word and folded to the word's pieces. The fold follows the model's kind: Viterbi
+(best sum of scores) for unigram models; for BPE models, whose scores are merge ranks and not log probabilities, the merge
+of the best adjacent pair until none is left. Viterbi over a BPE model would not give the ids that the model defines.
+
+Two forms of the same lattice. `encode_words` is the one in DataFrame functions: explode, join, group, and a fold by the
+higher-order function `aggregate`, over a table of words. `encode` and `digest` run it over documents in Arrow batches: a
+task's words are cut (where no piece reaches across: before a run of word marks, around line breaks) and numbered by
+Arrow, the substrings of all new ones are exploded and joined length by length, and all words are folded side by side. The
+DataFrame form costs 100 to 400 core microseconds a distinct word, the batch form about 3 (README). Every word of every
+text goes this way, whatever its frequency; no text and no word is shuffled, nothing is broadcast but the model.
 
 Decoding joins the pieces of the ids, byte pieces as bytes, and drops the word mark put in front.
 
 Defined cases: a null or empty text has no pieces and decodes to the empty text; characters without a piece become byte
 pieces; the word mark itself (U+2581) in a text is a space to the model and decodes as one; words of any length are
-encoded (the in-task merge takes n log n); repeated rows stay repeated; an empty table gives an empty result; other
-columns are ignored.
+encoded (beyond LONG characters one by one, BPE by a heap, so that a merge costs the logarithm of the length); very long
+texts are handled one at a time; repeated rows stay repeated; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-import uuid
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, saved
+from .common import Remembered, pieces
 
 MARK = "▁"
-#: Words that go through the relational lattice, at most, and the longest of them in characters.
-MAX_WORDS, MAX_LENGTH = 1 << 16, 48
-#: Words that a Python worker remembers besides.
-MEMORY = 400_000
-#: A word: word marks and what follows, up to the next mark or line break; line breaks stand alone.
-WORDS = f"{MARK}*[^{MARK}\\n]+|{MARK}+|\\n"
+#: Bytes of words and of their ids that a task remembers, about.
+MEMORY = 48 << 20
+#: Characters of the words that are folded side by side at once, about, and of the longest word among them.
+AT_ONCE, LONG = 1 << 18, 256
 
 
 @dataclass(frozen=True)
@@ -77,12 +78,6 @@ def load_pieces(model_file: str) -> Pieces:
     return Pieces("unigram" if m.trainer_spec.model_type == 1 else "bpe", table, tuple(by[f"<0x{b:02X}>"] for b in range(256)) if by else (), unk, spec.add_dummy_prefix)
 
 
-def marked(text: Column, model: Pieces) -> Column:
-    """A text with word marks for spaces, and one in front."""
-    body = F.translate(text, " ", MARK)
-    return F.when(F.length(text) > 0, F.concat(F.lit(MARK), body) if model.prefix else body)
-
-
 def edges(words: DataFrame, model: Pieces) -> DataFrame:
     """word, edges array<struct<s, l, id, score>>: one edge for every substring that is a piece."""
     spark = words.sparkSession
@@ -156,63 +151,192 @@ def fold(lattice: DataFrame, model: Pieces) -> DataFrame:
     return steps.select("word", F.flatten(F.transform("_spans", ids)).alias("ids"))
 
 
-def frequent_words(docs: DataFrame, model: Pieces, max_words: int = MAX_WORDS, max_length: int = MAX_LENGTH) -> DataFrame:
-    """The corpus's most frequent words, at most max_words: all those above a count. Counts cover all documents."""
-    each = docs.select(F.explode(F.regexp_extract_all(marked(F.col("text"), model), F.lit(WORDS), F.lit(0))).alias("word"))
-    counts = saved(each.groupBy("word").agg(F.count("*").alias("n")).filter((F.length("word") <= max_length) & (F.col("n") > 1)), "lattice-words")
-    seen, least = 0, None
-    for n, words in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
-        if seen + words > max_words:
-            break
-        seen, least = seen + words, n
-    return counts.filter(F.col("n") >= (least if least is not None else 1 << 62)).select("word")
-
-
-class Coder:
-    """Looks words up and folds those that are not known; one per Python worker and model."""
-
-    def __init__(self, model: Pieces, known: dict[str, bytes], memory: int = MEMORY):
-        self.model, self.known, self.limit, self.more = model, known, memory, {}
-        self.scores = {p: (s, i) for p, i, s in model.table}
-        self.longest = model.longest
-        self.split = re.compile(WORDS).findall
-        #: What each id decodes to.
-        self.table = [p.replace(MARK, " ").encode() for p in self._names()]
+def encode_words(words: DataFrame, model: Pieces) -> DataFrame:
+    """word, ids for every word (with word marks for spaces) of a table: the lattice in DataFrame functions."""
+    return fold(edges(words.select("word").filter("word IS NOT NULL").distinct(), model), model)
+
+
+#: More than any rank, and a key of no candidate.
+_NO_RANK, _NO_KEY = np.int32(2**31 - 1), np.int64(2**62)
+
+
+class Lattice:
+    """The piece table as arrays, for words in batches. In words, a space stands for the word mark."""
+
+    def __init__(self, model: Pieces):
+        self.model, self.longest = model, model.longest
+        table = sorted(model.table, key=lambda p: -p[2])  # by rank: the best score first
+        self.id_of_rank = np.array([i for _, i, _ in table], np.uint32)
+        self.score_of_rank = np.array([x for _, _, x in table], np.float64)
+        self.order = np.append(0, np.cumsum(np.diff(self.score_of_rank) != 0)).astype(np.int64)  # pieces of one score merge from the left
+        # The pieces' prefixes as a tree: node k + 1 is reached by key k = (node before, character).
+        keys: dict[int, int] = {}
+        ranks = {0: _NO_RANK}
+        for rank, (piece, _, _) in enumerate(table):
+            node = 0
+            for c in piece.replace(MARK, " "):
+                node = keys.setdefault(node << 21 | ord(c), len(keys) + 1)
+            ranks.setdefault(node, rank)
+        self.keys = np.fromiter(keys, np.int64, len(keys))
+        self.rank_at = np.array([ranks.get(n, _NO_RANK) for n in range(len(keys) + 1)], np.int32)
+        self.byte_ids = np.array(model.byte_ids, np.uint32)
+        # What each id decodes to.
+        out = [b""] * (1 + max(*(i for _, i, _ in model.table), *model.byte_ids, model.unk))
+        for piece, i, _ in model.table:
+            out[i] = piece.replace(MARK, " ").encode()
         for b, i in enumerate(model.byte_ids):
-            self.table[i] = bytes([b])
-        self.table[model.unk] = " \u2047 ".encode()
-
-    def _names(self) -> list[str]:
-        out = [""] * (1 + max(*(i for _, i, _ in self.model.table), *self.model.byte_ids, self.model.unk))
-        for p, i, _ in self.model.table:
-            out[i] = p
+            out[i] = bytes([b])
+        out[model.unk] = " \u2047 ".encode()
+        self.table = out
+
+    @cached_property
+    def _join(self) -> pa.Array:
+        return pa.array(self.keys)
+
+    def edges(self, points: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """ranks[i, l - 1]: the rank of the piece that begins at character i and has l of them. room: characters from i to
+        the end of its word. Explodes substrings by length and joins them to the table's prefixes, while there are any."""
+        out = np.full((len(points), self.longest), _NO_RANK, np.int32)
+        at, node = np.arange(len(points)), np.zeros(len(points), np.int64)
+        for l in range(self.longest):
+            if l:
+                fits = room[at] > l
+                at, node = at[fits], node[fits]
+            if not len(at):
+                break
+            found = pc.index_in(pa.array(node << 21 | points[at + l]), value_set=self._join)
+            hit = np.asarray(found.is_valid())
+            at, node = at[hit], found.drop_null().to_numpy().astype(np.int64) + 1
+            out[at, l] = self.rank_at[node]
         return out
 
-    def _pack(self, word: str, cuts: list[int]) -> bytes:
-        ids: list[int] = []
+    def merged(self, ranks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """BPE: where segments begin, after merging each word's best adjacent pair (the leftmost of equals) until none is left.
+        A word takes one merge per round; all words take it together. ends: of the word, for every character."""
+        n = len(ranks)
+        here = np.arange(n)
+        end, before, inner = here + 1, here - 1, np.zeros(n, bool)
+
+        def key(a: np.ndarray) -> np.ndarray:
+            """Rank and place of the pair of the segment at a and the next one."""
+            b = end[a]
+            some = b < ends[a]
+            length = end[np.where(some, b, a)] - a
+            some &= length <= self.longest
+            rank = ranks[a, np.where(some, length, 1) - 1]
+            return np.where(some & (rank < _NO_RANK), self.order[np.minimum(rank, len(self.order) - 1)] << 32 | a, _NO_KEY)
+
+        best = key(here)
+        while True:
+            top = np.minimum.reduceat(best, starts)
+            top = top[top < _NO_KEY]
+            if not len(top):
+                return np.flatnonzero(~inner)
+            a = top & 0xFFFFFFFF
+            b = end[a]
+            end[a], inner[b], best[b] = end[b], True, _NO_KEY
+            after = a[end[a] < ends[a]]
+            before[end[after]] = after
+            best[a] = key(a)
+            p = before[a]
+            p = p[(p >= 0) & (ends[p] == ends[a])]
+            best[p] = key(p)
+
+    def best_paths(self, ranks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Unigram: where the segments of each word's best path begin; of equals that whose last segment is longest."""
+        worst = self.score_of_rank.min() - UNKNOWN_PENALTY
+        score = np.full((len(ranks), self.longest), -np.inf)
+        known = ranks < _NO_RANK
+        score[known] = self.score_of_rank[ranks[known]]
+        score[~known[:, 0], 0] = worst
+        stops = ends[starts]
+        best, last = np.zeros(len(ranks) + len(starts)), np.zeros(len(ranks) + len(starts), np.int64)
+        base = starts + np.arange(len(starts))  # place of a word's zeroth state
+        words = np.arange(len(starts))
+        for k in range(1, int((stops - starts).max(initial=0)) + 1):
+            words = words[stops[words] - starts[words] >= k]
+            top, length = np.full(len(words), -np.inf), np.zeros(len(words), np.int64)
+            for l in range(1, min(k, self.longest) + 1):
+                into = best[base[words] + k - l] + score[starts[words] + k - l, l - 1]
+                better = into >= top
+                top[better], length[better] = into[better], l
+            best[base[words] + k], last[base[words] + k] = top, length
+        begins = np.zeros(len(ranks), bool)
+        at, words = stops - starts, np.arange(len(starts))
+        while len(words):
+            at = at - last[base[words] + at]
+            begins[starts[words] + at] = True
+            on = at > 0
+            at, words = at[on], words[on]
+        return np.flatnonzero(begins)
+
+    def ids(self, words: pa.Array) -> pa.Array:
+        """The ids (4 bytes each) of every word."""
+        lengths = pc.utf8_length(words).to_numpy().astype(np.int64)
+        out, a = [pa.array([], pa.binary())], 0
+        upto = np.cumsum(lengths)
+        while a < len(words):
+            if lengths[a] > LONG:
+                out.append(pa.array([self._long(words[a].as_py())], pa.binary()))
+                a += 1
+                continue
+            long = np.flatnonzero(lengths[a:] > LONG)[:1]
+            most = a + int(long[0]) if len(long) else len(words)
+            b = min(most, max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + AT_ONCE, "right"))))
+            out.append(self._side_by_side(words.slice(a, b - a), lengths[a:b]))
+            a = b
+        return pa.concat_arrays(out)
+
+    def _side_by_side(self, words: pa.Array, lengths: np.ndarray) -> pa.Array:
+        data = b"".join(words.cast(pa.binary()).to_pylist())
+        points = np.frombuffer(data.decode().encode("utf-32-le"), "<u4").astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        ends = np.repeat(starts + lengths, lengths)
+        ranks = self.edges(points, ends - np.arange(len(points)))
+        begins = (self.merged if self.model.kind == "bpe" else self.best_paths)(ranks, starts, ends)
+        segment = np.minimum(np.append(begins[1:], len(points)), ends[begins]) - begins
+        rank = ranks[begins, np.minimum(segment, self.longest) - 1]
+        known = rank < _NO_RANK
+        raw = np.frombuffer(data, np.uint8)
+        first = np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))  # first byte of every character
+        count = np.where(known | (not len(self.byte_ids)), 1, first[begins + 1] - first[begins])
+        place = np.cumsum(count) - count
+        ids = np.full(count.sum(), self.model.unk, "<u4")
+        ids[place[known]] = self.id_of_rank[rank[known]]
+        if len(self.byte_ids):
+            for k in range(4):
+                some = ~known & (count > k)
+                ids[place[some] + k] = self.byte_ids[raw[first[begins[some]] + k]]
+        at = np.searchsorted(begins, np.append(starts, len(points)))
+        offsets = 4 * np.append(place, len(ids))[at]
+        return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+
+    @cached_property
+    def _pieces(self) -> dict[str, int]:
+        return {p.replace(MARK, " "): k for k, p in enumerate(x[0] for x in sorted(self.model.table, key=lambda x: -x[2]))}
+
+    def _long(self, word: str) -> bytes:
+        cuts, ids = self._heap(word) if self.model.kind == "bpe" else self._path(word), []
         for a, b in zip(cuts, cuts[1:]):
-            got = self.scores.get(word[a:b])
-            if got:
-                ids.append(got[1])
-            elif self.model.byte_ids:
-                ids += [self.model.byte_ids[x] for x in word[a:b].encode("utf-8", "replace")]
+            rank = self._pieces.get(word[a:b])
+            if rank is not None:
+                ids.append(int(self.id_of_rank[rank]))
             else:
-                ids.append(self.model.unk)
+                ids += [int(self.byte_ids[x]) for x in word[a:b].encode()] if len(self.byte_ids) else [self.model.unk]
         return np.array(ids, "<u4").tobytes()
 
-    def merge(self, word: str) -> list[int]:
-        n, scores = len(word), self.scores
-        after, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    def _heap(self, word: str) -> list[int]:
+        n, ranks = len(word), self._pieces
+        after, before, ends, gone = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), bytearray(n)
         heap = []
 
         def offer(a: int) -> None:
             b = after[a]
-            if b < n and ends[b] - a <= self.longest and (got := scores.get(word[a : ends[b]])):
-                heapq.heappush(heap, (-got[0], a, ends[b]))
+            if b < n and ends[b] - a <= self.longest and (rank := ranks.get(word[a : ends[b]])) is not None:
+                heapq.heappush(heap, (int(self.order[rank]), a, ends[b]))
 
         for a in range(n - 1):
             offer(a)
-        gone = bytearray(n)
         while heap:
             _, a, end = heapq.heappop(heap)
             b = after[a]
@@ -226,11 +350,11 @@ class Coder:
                 offer(before[a])
         return [a for a in range(n) if not gone[a]] + [n]
 
-    def viterbi(self, word: str) -> list[int]:
-        worst = min(s for s, _ in self.scores.values()) - UNKNOWN_PENALTY
+    def _path(self, word: str) -> list[int]:
+        worst = self.score_of_rank.min() - UNKNOWN_PENALTY
         best: list[tuple[float, int]] = [(0.0, 0)]
         for end in range(1, len(word) + 1):
-            options = [(best[end - n][0] + self.scores[p][0], n) for n in range(1, min(end, self.longest) + 1) if (p := word[end - n : end]) in self.scores]
+            options = [(best[end - n][0] + self.score_of_rank[self._pieces[p]], n) for n in range(1, min(end, self.longest) + 1) if (p := word[end - n : end]) in self._pieces]
             if not any(n == 1 for _, n in options):
                 options.append((best[end - 1][0] + worst, 1))
             best.append(max(options))
@@ -240,83 +364,98 @@ class Coder:
             cuts.append(at)
         return cuts[::-1]
 
-    def word(self, word: str) -> bytes:
-        got = self.more.get(word)
-        if got is None:
-            got = self._pack(word, self.merge(word) if self.model.kind == "bpe" else self.viterbi(word))
-            if len(word) <= 64:
-                if len(self.more) >= self.limit:
-                    self.more.clear()
-                self.more[word] = got
-        return got
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u4")
-        text = text.replace(" ", MARK)
-        known, fold_word = self.known.get, self.word
-        return np.frombuffer(b"".join([known(w) or fold_word(w) for w in self.split(MARK + text if self.model.prefix else text)]), "<u4")
-
-    def decode(self, ids: np.ndarray) -> str:
-        table = self.table
-        out = b"".join([table[i] for i in ids.tolist()])
-        return (out[1:] if self.model.prefix and out[:1] == b" " else out).decode("utf-8", "replace")
-
 
-_coders: dict[str, Coder] = {}
+def valid_text(texts) -> pa.Array:
+    """A string column as one array, nulls as empty texts, bytes that are not UTF-8 replaced."""
+    texts = pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, "")
+    try:
+        return texts.cast(pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in texts.cast(pa.binary()).to_pylist()], pa.string())
+
+
+def cut_words(texts: pa.Array, prefix: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Each word's number among the distinct ones, where each text's words begin, and the distinct words. A word: spaces and
+    what follows, up to the next space or line break; line breaks stand alone."""
+    if prefix:
+        texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    raw = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
+    at = (at - at[0]).astype(np.int64)
+    begins = np.ones(len(raw) + 1, bool)
+    space, line = raw == 32, raw == 10
+    begins[1:-1] = line[1:] | line[:-1] | (space[1:] & ~space[:-1])
+    begins[at] = True
+    places = np.flatnonzero(begins)
+    words = pa.Array.from_buffers(pa.string(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+    return words.indices.to_numpy(zero_copy_only=False), np.searchsorted(places, at), words.dictionary
 
 
-def coder(shared) -> Coder:
-    """The worker's coder for a broadcast (name, model, words, ids); one at a time."""
-    key, model, words, ids = shared.value
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(model, dict(zip(words, ids)))
-    return _coders[key]
-
-
-def prepared(docs: DataFrame, model: Pieces, max_words: int = MAX_WORDS):
-    """Broadcast the model and the encodings of the frequent words."""
-    spark = docs.sparkSession
-    head = saved(frequent_words(docs, model, max_words), "lattice-head")
-    coded = fold(edges(head, model), model)
-    words, ids = [], []
-    for row in coded.toLocalIterator():
-        words.append(row["word"])
-        ids.append(np.array(row["ids"], "<u4").tobytes())
-    return spark.sparkContext.broadcast((uuid.uuid4().hex, model, words, ids))
-
-
-def _is_text(decoded: str, text: str | None) -> bool:
-    return decoded == (text or "").replace(MARK, " ")
-
-
-def encode(docs: DataFrame, model: Pieces, max_words: int = MAX_WORDS, read_back: bool = False) -> DataFrame:
+class Coder:
+    """Encodes and decodes texts in batches; a task's own, gone with it."""
+
+    def __init__(self, lattice: Lattice, memory: int = MEMORY):
+        self.lattice, self.known = lattice, Remembered(lattice.ids, memory)
+        self.table = pa.array(lattice.table, pa.binary())
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (one more entry than texts)."""
+        texts = pc.replace_substring(valid_text(texts), MARK, " ")
+        codes, starts, words = cut_words(texts, self.lattice.model.prefix)
+        each = self.known(words).take(pa.array(codes))
+        if not len(each):
+            return np.zeros(0, "<u4"), np.zeros(len(starts), np.int64)
+        _, offsets, data = each.buffers()
+        at = np.frombuffer(offsets, np.int32)[each.offset : each.offset + len(each) + 1][starts].astype(np.int64) // 4
+        return np.frombuffer(data or b"", "<u4"), at
+
+    def decode(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[bytes]:
+        """The bytes of every text. starts: where each text's ids begin."""
+        parts = self.table.take(pa.array(ids))
+        if not len(parts):
+            yield from [b""] * (len(starts) - 1)
+            return
+        _, offsets, data = parts.buffers()
+        at = np.frombuffer(offsets, np.int32)[parts.offset : parts.offset + len(parts) + 1][starts].tolist()
+        view = memoryview(data or b"")
+        drop = self.lattice.model.prefix
+        for a, b in zip(at, at[1:]):
+            yield bytes(view[a + (drop and view[a : a + 1] == b" ") : b])
+
+    def decodes_back(self, ids: np.ndarray, starts: np.ndarray, texts) -> list[bool]:
+        """Whether the decoded text is the text (U+2581 as a space)."""
+        want = pc.replace_substring(valid_text(texts), MARK, " ").cast(pa.binary()).to_pylist()
+        return [x == y for x, y in zip(self.decode(ids, starts), want)]
+
+
+def encode(docs: DataFrame, model: Pieces, read_back: bool = False) -> DataFrame:
     """doc_id, n_pieces, ids; and decodes_back as in digest, if they are to be read back."""
-    shared = prepared(docs, model, max_words)
+    lattice = Lattice(model)
 
     def run(batches):
-        c = coder(shared)
+        c = Coder(lattice)
         for table in pieces(batches, 4 << 20):
-            texts = table["text"].to_pylist()
-            ids = [c.encode(t) for t in texts]
-            lengths = np.array([len(x) for x in ids])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
-            columns = {"doc_id": table["doc_id"].combine_chunks(), "n_pieces": pa.array(lengths, pa.int64()), "ids": lists}
+            ids, starts = c.encode(table["text"])
+            lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            columns = {"doc_id": table["doc_id"].combine_chunks(), "n_pieces": pa.array(np.diff(starts)), "ids": lists}
             if read_back:
-                columns["decodes_back"] = pa.array([_is_text(c.decode(x), t) for x, t in zip(ids, texts)], pa.bool_())
+                columns["decodes_back"] = pa.array(c.decodes_back(ids, starts, table["text"]), pa.bool_())
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids array<int>" + ", decodes_back boolean" * read_back)
 
 
 def decode(encoded: DataFrame, model: Pieces) -> DataFrame:
-    """doc_id, text from doc_id, ids."""
+    """doc_id, text from doc_id, ids. Null ids decode to the empty text."""
+    lattice = Lattice(model)
 
     def run(batches):
-        c = Coder(model, {})
+        c = Coder(lattice)
         for b in batches:
-            texts = [c.decode(np.array(x or [], np.int64)) for x in b.column("ids").to_pylist()]
+            lists = b.column("ids")
+            starts = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
+            texts = [x.decode("utf-8", "replace") for x in c.decode(lists.flatten().to_numpy(zero_copy_only=False), starts)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -325,22 +464,26 @@ def decode(encoded: DataFrame, model: Pieces) -> DataFrame:
 DIGEST = "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decodes_back boolean"
 
 
-def digest(docs: DataFrame, model: Pieces, max_words: int = MAX_WORDS) -> DataFrame:
+def digest(docs: DataFrame, model: Pieces) -> DataFrame:
     """Encode and decode every document: counts, crc32 of the ids (little-endian, 4 bytes each), and whether the decoded
     text is the text (U+2581 as a space)."""
-    shared = prepared(docs, model, max_words)
+    lattice = Lattice(model)
 
     def run(batches):
-        c = coder(shared)
-        is_byte = np.zeros(len(c.table), bool)
-        is_byte[list(c.model.byte_ids)] = True
-        for table in pieces(batches):
-            rows = []
-            for doc_id, text in zip(table["doc_id"].to_pylist(), table["text"].to_pylist()):
-                ids = c.encode(text)
-                back = _is_text(c.decode(ids), text)
-                rows.append((doc_id, len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.tobytes()), back))
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 4 + [pa.bool_()])], ["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "decodes_back"])
+        c = Coder(lattice)
+        is_byte = np.zeros(len(lattice.table), bool)
+        is_byte[list(model.byte_ids)] = True
+        for table in pieces(batches, 4 << 20):
+            ids, starts = c.encode(table["text"])
+            of_bytes = np.append(0, np.cumsum(is_byte[ids]))[starts]
+            sums = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), starts[1:].tolist())]
+            columns = {
+                "doc_id": table["doc_id"].combine_chunks(),
+                "n_pieces": pa.array(np.diff(starts)),
+                "n_byte_pieces": pa.array(np.diff(of_bytes)),
+                "ids_crc32": pa.array(sums, pa.int64()),
+                "decodes_back": pa.array(c.decodes_back(ids, starts, table["text"]), pa.bool_()),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
