@@ -6,11 +6,13 @@ over, at most `max_epochs` times, the item (document, epoch) has the virtual fin
 where their words reach the total budget. Every sum is of integers, so reruns agree.
 
 Running sums never need a source or the corpus in one task: a source's order is cut in hash ranges, whose sums (at most
-one row per few thousand documents) give the offsets; the global order is cut in 8192 ranges of finish time, and only
-the range in which the budget runs out is sorted.
+one row per few hundred documents) give the offsets; the global order is cut in ranges of finish time, 8192 and with more
+than four million documents one per ROWS_PER_BIN of them (at most a million), and only the range in which the budget runs
+out is sorted.
 
 Defined cases: a null text or one without words has size 0 and takes 0; the null source is a source of its own, last in
-order; null ids sort first; identical rows may share a place in any order; an empty table gives an empty result.
+order; a source of blank texts only has target 0 and takes nothing; null ids sort first; identical rows may share a place in any order; an empty table gives an empty result;
+texts of any length are counted whole; the mix's own rows keep all columns, whatever their names.
 The source table (one row per distinct source) is ordered in one task: sources are a label set, not a key of the data.
 """
 
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, saved
 
-#: Ranges of finish time; the budget runs out in one of them.
-TIME_BINS = 8192
+#: Ranges of finish time, at least and at most; the budget runs out in one of them.
+TIME_BINS, MOST_TIME_BINS = 1 << 13, 1 << 20
 #: Documents in a hash range of a source, about.
 ROWS_PER_BIN = 512
 
@@ -61,6 +63,7 @@ def mix(docs: DataFrame, seed: str = "mix-1", max_epochs: int = 3, weights: tupl
     total = targets.agg(F.sum("source_size").alias("words"), F.sum("n_docs").alias("docs")).first()
     budget = int(total["words"] or 0) if budget is None else budget
     bins = max(1, -(-int(total["docs"] or 0) // ROWS_PER_BIN))
+    time_bins = min(max(TIME_BINS, bins), MOST_TIME_BINS)
 
     # The null source sorts last: 's...' < 't'.
     keyed = sized.withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t"))).withColumn("_bin", F.floor(F.col("place") / F.lit(float(1 << 60)) * bins).cast("int"))
@@ -72,8 +75,8 @@ def mix(docs: DataFrame, seed: str = "mix-1", max_epochs: int = 3, weights: tupl
     placed = keyed.withColumn("_within", F.sum("size").over(running)).join(offsets, ["_s", "_bin"])
     placed = saved(placed.withColumn("_cum", F.col("_before") + F.col("_within")).drop("_bin", "_before", "_within"), "mix-placed")
 
-    epochs = [(e, (F.col("_cum") + F.col("source_size") * (e - 1)) / F.col("target")) for e in range(1, max_epochs + 1)]
-    slot = lambda f: F.floor(f / (1 + f) * TIME_BINS).cast("int")
+    epochs = [(e, F.try_divide(F.col("_cum") + F.col("source_size") * (e - 1), "target")) for e in range(1, max_epochs + 1)]
+    slot = lambda f: F.floor(f / (1 + f) * time_bins).cast("int")
     order = lambda f: F.struct(f.alias("f"), F.col("_s"), F.col("place"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("size").alias("n"))
     items = placed.filter("target > 0").select("_s", "place", "doc_id", "size", F.explode(F.array(*[f for _, f in epochs])).alias("_f"))
     items = items.withColumn("_slot", slot(F.col("_f")))
@@ -106,17 +109,15 @@ def mixed_documents(docs: DataFrame, seed: str = "mix-1", max_epochs: int = 3, w
     """
     plan = mix(docs, seed, max_epochs, weights)
     key = F.struct("place", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("size"))
-    per = plan.groupBy("source").agg(F.max("copies").alias("_most"), F.min("copies").alias("_least"))
-    marked = plan.join(per, plan["source"].eqNullSafe(per["source"]), "inner").drop(per["source"]).withColumn("_key", key)
-    cuts = saved(
-        marked.groupBy("source").agg(F.max("_most").alias("_most"), F.max("_least").alias("_least"), F.max(F.when(F.col("copies") == F.col("_most"), F.col("_key"))).alias("_last")),
-        "mix-cuts",
-    )
-    cuts = cuts.withColumnRenamed("source", "_source")
+    # The last place that is taken most often is the place with the most copies, the farthest of them.
+    cuts = plan.groupBy("source").agg(F.max(F.struct("copies", key.alias("key"))).alias("top"), F.min("copies").alias("least"))
+    cuts = saved(cuts.select(F.col("source").alias("of"), F.col("top.copies").alias("most"), "least", F.col("top.key").alias("last")), "mix-cuts")
     mine = F.struct(_place(seed).alias("place"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), words_in(F.col("text")).alias("size"))
-    times = F.when(mine <= F.col("_last"), F.col("_most")).otherwise(F.col("_least"))
-    joined = docs.join(cuts, docs["source"].eqNullSafe(cuts["_source"]), "inner").withColumn("_times", times).filter("_times > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    # The caller's columns travel in a struct, so that none of their names can clash.
+    rows = docs.select(F.struct("*").alias("row"), "source", mine.alias("mine"))
+    times = F.when(F.col("mine") <= F.col("last"), F.col("most")).otherwise(F.col("least"))
+    joined = rows.join(cuts, F.col("source").eqNullSafe(F.col("of")), "inner").withColumn("times", times).filter("times > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def mix_sql(table: str, seed: str = "mix-1", max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> str:
