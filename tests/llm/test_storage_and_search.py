@@ -11,6 +11,7 @@ from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,24 +74,32 @@ def test_elias_fano_is_near_minimal():
 
 
 TOKENS = public_tokenizers.path("word_bpe_49k.json")
+CODERS = [tokenbin.Encoder(TOKENS), tokenbin.Encoder(public_tokenizers.path("byte_bpe_50k.json"))]
+
+
+def test_only_some_tokenizers_cut_at_space():
+    assert [c.by_word for c in CODERS] == [True, False]
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["It's.", "<|endoftext|>", "<|EndOfText|>x", "café,", "A.", "́", "İİ", "ΣΣ.", "they'll,"])), max_size=6), st.sampled_from([" ", "\n", "\t\x0b ", " "]))
 def test_words_in_a_row_give_the_text_s_ids(parts, gap):
-    coder = tokenbin.encoder(TOKENS)
     text = gap.join(parts).encode("utf-8", "replace").decode()
-    assert coder.encode_all([text.encode()])[0] == coder.encode(text)
+    for coder in CODERS:
+        assert [bytes(x) for x in coder.encode_all(pa.chunked_array([[text, None], ["", text]]))] == [coder.encode(text), b"", b"", coder.encode(text)]
 
 
 def test_memory_of_words_is_bounded():
     from tokenizers import Tokenizer
 
-    coder = tokenbin.WordEncoder(TOKENS, memory=40)
+    coder = tokenbin.Encoder(TOKENS, memory=1500)
     texts = [" ".join(f"Word{(i * j) % 97}." for j in range(60)) for i in range(9)]
     plain = Tokenizer.from_file(TOKENS)
-    assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode_all([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
-    assert len(coder.words.young) + len(coder.words.old) <= 40
+    for t in texts * 2:
+        assert np.frombuffer(coder.encode_all(pa.array([t]))[0], coder.kind).tolist() == plain.encode(t, add_special_tokens=False).ids
+        assert coder.stems.size < 1500 + 60 * 20
+    # What is remembered again and again stays right.
+    assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode_all(pa.array(texts))] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_token_files(spark):
@@ -109,6 +118,8 @@ def test_token_files(spark):
         want[(i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))] += 1
         at += len(ids)
     assert Counter(tuple(r) for r in tokenbin.read_ids(spark, path).collect()) == want
+    whole = tokenbin.write_ids(docs, work_path(spark, "test-ids"), public_tokenizers.path("byte_bpe_50k.json"), end_id=50256).agg(F.sum("ids")).first()[0]
+    assert whole == sum(len(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(t or "", add_special_tokens=False).ids) + 1 for _, t, *_ in rows)
     last = tokenbin.IdFile(path, manifest[-1].file)
     assert last.ids(last.docs - 1).tolist() == [*plain.encode("no id", add_special_tokens=False).ids, 1]
     assert [m.sha256 for m in tokenbin.write_ids(docs.repartition(6), work_path(spark, "test-ids"), TOKENS, shard_bytes=60).orderBy("file").collect()] == [m.sha256 for m in manifest]
@@ -145,19 +156,51 @@ def test_lattice_agrees_with_the_library(spark, tmp_path):
     for model_file, library in ((MODEL, SentencePieceProcessor(model_file=MODEL)), (str(file), unigram)):
         model = lattice.load_pieces(model_file)
         want = Counter((i, tuple(library.encode(t or ""))) for i, t, *_ in rows)
-        for max_words in (0, 3, 1000):  # all in the task; some and all of the words seen twice by the relational lattice
-            got = lattice.encode(docs, model, max_words)
-            assert Counter((r.doc_id, tuple(r.ids)) for r in got.collect()) == want, (model.kind, max_words)
+        got = lattice.encode(docs, model)
+        assert Counter((r.doc_id, tuple(r.ids)) for r in got.collect()) == want, model.kind
         back = {r.doc_id: r.text for r in lattice.decode(got, model).collect()}
         assert back == {i: library.decode(library.encode(t or "")) for i, t, *_ in rows}
         assert all(r.decodes_back for r in lattice.digest(docs, model).collect())
         words = spark.createDataFrame([(w,) for w in ["▁words", "▁unéè\U0001f642", "▁▁▁", "\n", "z", "▁internationalization"]], "word string")
-        coder = lattice.Coder(model, {})
-        for r in lattice.fold(lattice.edges(words, model), model).collect():
-            assert r.ids == np.frombuffer(coder.word(r.word), "<u4").tolist(), r.word
+        in_batches = lattice.Lattice(model)
+        for r in lattice.encode_words(words, model).collect():
+            assert r.ids == np.frombuffer(in_batches.ids(pa.array([r.word.replace("▁", " ")]))[0].as_py(), "<u4").tolist(), r.word
     assert lattice.encode(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["bpe", "unigram"])
+def test_batches_of_words_agree_with_the_library(tmp_path, kind):
+    from sentencepiece import SentencePieceProcessor
+
+    m, unigram = unigram_model()
+    file = tmp_path / "unigram.model"
+    file.write_bytes(m.SerializeToString())
+    library = SentencePieceProcessor(model_file=MODEL) if kind == "bpe" else unigram
+    table = lattice.Lattice(lattice.load_pieces(MODEL if kind == "bpe" else str(file)))
+    coder, small = lattice.Coder(table), lattice.Coder(table, memory=200)
+    letters = st.one_of(st.text(alphabet="aeinrst ", max_size=40), st.text(alphabet=" \n\t▁é日🙂Ａin", max_size=20), st.text(max_size=10))
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.one_of(letters, st.sampled_from(["ing" * 120, " " * 300])), min_size=1, max_size=5))
+    def check(texts):
+        texts = [t.encode("utf-8", "replace").decode() for t in texts]
+        for c in (coder, small):
+            ids, starts = c.encode(pa.array(texts))
+            got, want = [ids[a:b].tolist() for a, b in zip(starts, starts[1:])], [library.encode(t) for t in texts]
+            if kind == "bpe":
+                assert got == want
+            else:  # paths of equal scores are not told apart
+                assert [sum(map(library.get_score, x)) for x in got] == pytest.approx([sum(map(library.get_score, x)) for x in want], rel=1e-5)
+            assert all(c.decodes_back(ids, starts, pa.array(texts)))
+            assert [x.decode() for x in c.decode(ids, starts)] == [t.replace("▁", " ") for t in texts]
+
+    check()
+    # Long words, which are taken one by one, agree with short ones, which are taken side by side.
+    words = ["internationalization" * 3, "é🙂" * 20, "  ", "ingin" * 30]
+    together = table.ids(pa.array(words))
+    assert [table._long(w) for w in words] == together.to_pylist()
+
+
 # Jaccard join
 
 
@@ -199,10 +242,16 @@ def test_classes_match_brute_force(spark, pivots, hot):
 
 def test_deduplicated_keeps_one_of_each_class(spark):
     words = " ".join(f"w{i}" for i in range(50))
+    assert jaccard.deduplicated(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(4, words, "a", "g", "n"), (2, words + " x", "b", "g", "n"), (9, words, "c", "g", "n"), (9, words, "c", "g", "n"), (5, "lone " + words[::-1], "d", "g", "n"), (5, "lone " + words[::-1], "d", "g", "n"), (None, words, "e", "g", "n"), (7, None, "f", "g", "n"), (8, "", "f", "g", "n")]
     docs = spark.createDataFrame(rows, DOCS)
     got = jaccard.deduplicated(docs)
     assert got.columns == docs.columns and sorted(r.doc_id or -1 for r in got.collect()) == [-1, 2, 5, 7, 8]
+    # Names that the operator uses itself are the caller's.
+    own = docs.select("doc_id", "text", *[F.lit(77).alias(c) for c in ("_id", "may", "stays", "nth", "row", "_may", "node", "sig", "component_id")])
+    got = jaccard.deduplicated(own)
+    assert got.columns == own.columns and sorted(r.doc_id or -1 for r in got.collect()) == [-1, 2, 5, 7, 8]
+    assert all(set(r[2:]) == {77} for r in got.collect())
 
 
 def test_pipeline_links_copies_of_four_fifths(spark):
@@ -298,10 +347,12 @@ def test_work_tables_can_be_cleared(spark):
 
 def test_pipeline_decodes_what_it_encodes(spark):
     docs = spark.createDataFrame([(1, "Some  text, é\n\U0001f642", "s", "g", "n"), (2, None, "s", "g", "n"), (3, "", "s", "g", "n")], DOCS)
-    stage = dict(corpus_pipeline.STAGES)["SentencePiece encoding"]
+    stage = corpus_pipeline.STAGES[3][1]
     pieces = lattice.load_pieces(MODEL)
     assert {(r.doc_id, r.decodes_back) for r in stage(spark, docs, "").collect()} == {(r.doc_id, r.decodes_back) for r in lattice.digest(docs, pieces).collect()} == {(1, True), (2, True), (3, True)}
-    assert lattice._is_text("a b", "a\u2581b") and not lattice._is_text("a", "b")
+    coder = lattice.Coder(lattice.Lattice(pieces))
+    ids, starts = coder.encode(pa.array(["a\u2581b", "c"]))
+    assert coder.decodes_back(ids, starts, pa.array(["a b", "d"])) == [True, False]
 
 
 def test_stages_return_the_columns_of_documents(spark):
@@ -311,7 +362,7 @@ def test_stages_return_the_columns_of_documents(spark):
     path = work_path(spark, "test-pipeline")
     docs.write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "mixing sources to target weights", "SentencePiece encoding"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "mixing sources to target weights", "SentencePiece encoding and decoding"]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, path)
         if k < 3:

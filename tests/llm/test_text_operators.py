@@ -5,9 +5,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestone.llm import chat, licences, mixing, quality, urlfilter
 
@@ -62,11 +64,12 @@ def brute_base(text):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab#|\u00e9\u2028 \n\t\x0b", max_size=80))
 def test_base_counts(text):
-    raw = text.encode()
-    words, chars, symbols, lines = quality.base_counts(raw)
-    codes, hashes = quality.coded(words)
-    assert (len(words), chars, symbols, lines, quality.repeated_words(codes, len(hashes))) == brute_base(text)
-    assert quality.repeated_words(codes, 1 << 21) == brute_base(text)[4]
+    chars, symbols, lines = quality.base_counts(text.encode())
+    codes, starts, hashes = quality.coded(pa.array([None, text, "a b"]))
+    assert starts.tolist() == [0, 0, len(codes) - 2, len(codes)] and len(set(hashes.tolist())) == len(hashes)
+    mine = codes[: starts[2]]
+    assert (len(mine), chars, symbols, lines, quality.repeated_words(mine, len(hashes))) == brute_base(text)
+    assert quality.repeated_words(mine, 1 << 21) == brute_base(text)[4]
 
 
 def test_quality_judges_all(spark):
@@ -167,7 +170,14 @@ def brute_mix(rows, weights=(1, 2, 3), epochs=3, seed="mix-1"):
 def test_mixing(spark):
     rng = np.random.default_rng(3)
     rows = [(i, " ".join("w" * int(rng.integers(1, 4)) for _ in range(int(rng.integers(1, 60)))), f"s{int(min(rng.integers(9), rng.integers(9)))}", "l", "x") for i in range(900)]
-    rows += [(1000, None, None, "l", "x"), (1001, "a b c", None, "l", "x"), (1002, "", "s1", "l", "x"), (None, "a b", "s1", "l", "x"), (5, rows[5][1], rows[5][2], "l", "x"), (1003, "w " * 30_000, "s0", "l", "x"), (1004, "", "empty", "l", "x")]
+    rows += [(1000, None, None, "l", "x"), (1001, "a b c", None, "l", "x"), (1002, "", "s1", "l", "x"), (None, "a b", "s1", "l", "x"), (5, rows[5][1], rows[5][2], "l", "x"), (1004, "", "empty", "l", "x"), (1005, " \n", "blank", "l", "x")]
+    size, per, target = brute_mix(rows)
+    taken = Counter()
+    for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect():
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 61 for s in per), (taken, target)
+    # One document larger than its source's target: it is not reached, and what it leaves goes to the others by weight.
+    rows.append((1003, "w " * 30_000, "s0", "l", "x"))
     docs = spark.createDataFrame(rows, DOCS)
     size, per, target = brute_mix(rows)
     got = mixing.mix(docs).collect()
@@ -176,8 +186,11 @@ def test_mixing(spark):
     for r in got:
         assert r.target == pytest.approx(target[r.source]) and r.taken == r.size * r.copies and 0 <= r.copies <= 3
         taken[r.source] += r.taken
-    assert sum(taken.values()) <= sum(size)
-    assert all(abs(taken[s] - target[s]) <= 61 for s in per if s != "s0"), (taken, target)
+    assert sum(size) - 30_000 <= sum(taken.values()) <= sum(size)
+    assert all(taken[s] >= target[s] - 61 for s in per if s != "s0"), (taken, target)
+    assert taken["empty"] == taken["blank"] == 0
+    only_blank = docs.filter("source IN ('empty', 'blank')")
+    assert [(r.taken, r.target) for r in mixing.mix(only_blank).collect()] == [(0, 0.0)] * 2 and mixing.mixed_documents(only_blank).count() == 0
     again = Counter(tuple(r) for r in mixing.mix(docs.repartition(7)).collect())
     assert again == Counter(tuple(r) for r in got)
     whole = mixing.mixed_documents(docs)
@@ -185,6 +198,10 @@ def test_mixing(spark):
     for r in got:
         copies[r.doc_id] += r.copies
     assert whole.columns == docs.columns and Counter(r.doc_id for r in whole.collect()) == +copies
+    # Names that the operator uses itself are the caller's.
+    own = docs.select("doc_id", "text", "source", *[F.lit(77).alias(c) for c in ("_times", "_last", "_copy", "_most", "_least", "_source", "row", "mine", "of", "most", "times", "col", "size", "place")])
+    mixed = mixing.mixed_documents(own)
+    assert mixed.columns == own.columns and all(set(r[3:]) == {77} for r in mixed.collect()) and mixed.count() == sum(copies.values())
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
