@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +41,36 @@ def _own(spark: SparkSession) -> str:
 
 def clear_work(spark: SparkSession) -> None:
     """Delete this application's work tables, archives and id files. Call it when the results that read them are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    _delete(spark, _own(spark))
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Paths of the work tables that saved wrote and that are still there, in order.
+_tables: list[str] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved_alone(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """saved(build(), name), after which the work tables that build() saved are deleted: nothing reads them any more."""
+    first = len(_tables)
+    out = saved(build(), name)
+    for path in _tables[first:-1]:
+        _delete(spark, path)
+    del _tables[first:-1]
+    return out
+
+
 def place(key: Column) -> Column:
     """60 bits of an md5: the same in every run, as good as random."""
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
@@ -71,7 +90,7 @@ def to_bytes(column) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def pieces(batches, limit: int = 8 << 20, column: str = "text") -> Iterator:
+def pieces(batches, limit: int = 4 << 20, column: str = "text") -> Iterator:
     """Batches cut so that a piece holds about `limit` bytes of the column: memory stays bounded when texts are long."""
     for batch in batches:
         table = pa.Table.from_batches([batch])

@@ -15,7 +15,7 @@ the classes are asked for, so pairs are compared until their class is certain:
    Two members of the largest class need no comparison, nor do buckets with the same members as another.
 Each pair that shares a prefix element and is not known to be in one class is thus compared: no link between different
 classes is lost, and there is no cap. Hot buckets are dealt to several tasks (`hot_rows` members each); the second step
-compares across the parts, in blocks.
+compares across the parts, in blocks of sets of about one size, each with those of neighbouring sizes.
 
 Defined cases: a null text, or one without words, has an empty set and links with nothing; with fewer words than the
 shingle length the whole sequence is one shingle; rows with a null id are not nodes (they get the class of an equal set,
@@ -24,23 +24,26 @@ else null); repeated rows have equal sets; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCKS, blocks_batch, packed_blocks, pieces, saved, split_words, summed_arrays, to_bytes
+from .common import BLOCKS, blocks_batch, packed_blocks, pieces, saved, saved_alone, split_words, summed_arrays, to_bytes
 from .graph import components
 from .shards import batch_of
 
 #: Buckets of shingle counts, entries of the filter of candidate ids, pivots of a bucket, members of a part, of a block.
 COUNTS, FILTER, PIVOTS, HOT_ROWS, BLOCK_ROWS = 1 << 22, 1 << 22, 8, 100_000, 512
-#: Ranges and parities of hash values that make a set's outline, and parts of a hot bucket at most.
+#: Ranges and (at least) parities of hash values that make a set's outline, and parts of a hot bucket at most.
 OUTLINE, PARITY, PARTS = 64, 1024, 1 << 16
+#: Members of a bucket that joins by bucket send to one task, about.
+SLICE = 1024
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -94,24 +97,35 @@ def _prefix_length(n: int, percent: int) -> int:
 
 
 def outline(hashes: np.ndarray) -> bytes:
-    """How many of a set's hashes fall in each of OUTLINE equal ranges (255 at most), and PARITY parities of other bits.
+    """How many of a set's hashes fall in each of OUTLINE equal ranges (255 at most), and parities of other bits: as many as
+    the set has elements, rounded up to a power of two, PARITY at least. An outline is a fiftieth of a long set.
 
-    The counts' differences, and the parities that differ, are each at most the Hamming distance of two sets; parities are
-    nearly exact for short sets, counts hold for long ones.
+    The counts' differences, and the parities that differ, are each at most the Hamming distance of two sets. Where the
+    numbers of parities differ, the longer ones are folded.
     """
+    width = max(PARITY, 1 << (len(hashes) - 1).bit_length())
     counts = np.bincount((hashes >> np.uint64(64 - OUTLINE.bit_length() + 1)).astype(np.int64), minlength=OUTLINE)
-    parity = np.bincount(((hashes >> np.uint64(20)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    parity = np.bincount(((hashes >> np.uint64(20)) % np.uint64(width)).astype(np.int64), minlength=width) & 1
     return np.minimum(counts, 255).astype(np.uint8).tobytes() + np.packbits(parity.astype(np.uint8)).tobytes()
 
 
 def gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Lower bounds of the Hamming distances of sets with these outlines, row by row."""
+    """Lower bounds of the Hamming distances of sets with outlines of one length, row by row."""
     by_count = np.abs(x[..., :OUTLINE].astype(np.int16) - y[..., :OUTLINE].astype(np.int16)).sum(-1)
     return np.maximum(by_count, np.bitwise_count(x[..., OUTLINE:] ^ y[..., OUTLINE:]).sum(-1, dtype=np.int64))
 
 
-def _outlines(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, OUTLINE + PARITY // 8)
+def folded(lines: np.ndarray, length: int) -> np.ndarray:
+    """Outlines (rows) cut down to a length: a shorter outline's parity is that of the places that fall together."""
+    while lines.shape[1] > length:
+        half = OUTLINE + (lines.shape[1] - OUTLINE) // 2
+        lines = np.hstack([lines[:, :OUTLINE], lines[:, OUTLINE:half] ^ lines[:, half:]])
+    return lines
+
+
+def _stacked(lines: list[bytes], rows: np.ndarray, length: int) -> np.ndarray:
+    """These rows' outlines, of one length, cut down to another."""
+    return folded(np.frombuffer(b"".join([lines[i] for i in rows.tolist()]), np.uint8).reshape(len(rows), -1), length)
 
 
 _SETS = "doc_id long, n_shingles long, sig binary, score short, prefix array<long>, parts array<int>, outline binary"
@@ -149,7 +163,7 @@ def may_link(n: int, i: int, m: int, j: int, percent: int) -> bool:
     return (100 + percent) * (1 + min(n - i - 1, m - j - 1)) >= percent * (n + m)
 
 
-_MEMBERS = "hot boolean, token long, part int, node long, rank int, pivots array<long>"
+_MEMBERS = "hot boolean, token long, part int, node long, n int, rank int, pivots array<long>"
 
 
 def bucket_members(nodes: DataFrame, percent: int, pivots: int) -> DataFrame:
@@ -184,7 +198,7 @@ def bucket_members(nodes: DataFrame, percent: int, pivots: int) -> DataFrame:
             for i in np.flatnonzero(~lone).tolist():
                 k, h = int(keys[i]), bool(hot[i])
                 me = (int(node[i]), int(place[i]) >> 32, int(place[i]) & 0xFFFFFFFF)
-                named = (h, k & -PARTS, k & (PARTS - 1), me[0]) if h else (h, k, 0, me[0])
+                named = (h, k & -PARTS, k & (PARTS - 1), me[0], me[1]) if h else (h, k, 0, me[0], me[1])
                 if k != key:
                     key, first, rank, waiting = k, [], 0, None
                     if h:
@@ -199,7 +213,7 @@ def bucket_members(nodes: DataFrame, percent: int, pivots: int) -> DataFrame:
                     rows.append((*named, rank, [p[0] for p in first if may_link(me[1], me[2], p[1], p[2], percent)]))
                 if len(first) < pivots:
                     first.append(me)
-            yield batch_of(rows, ["hot", "token", "part", "node", "rank", "pivots"], [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())])
+            yield batch_of(rows, ["hot", "token", "part", "node", "n", "rank", "pivots"], [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())])
 
     return dealt.mapInArrow(stream, _MEMBERS)
 
@@ -252,10 +266,14 @@ def outlines_fit(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def check(batches):
         for b in batches:
-            x, y = _outlines(b.column("x")), _outlines(b.column("y"))
+            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
             n, m = (np.asarray(b.column(c)) for c in ("n", "m"))
             most = n + m - 2 * -(-percent * (n + m) // (100 + percent))
-            keep = gaps(x, y) <= most
+            keep = np.zeros(len(x), bool)
+            lengths = np.array([(len(p), len(q)) for p, q in zip(x, y)]).reshape(-1, 2)
+            for p, q in np.unique(lengths, axis=0).tolist():
+                rows = np.flatnonzero((lengths == (p, q)).all(1))
+                keep[rows] = gaps(_stacked(x, rows, min(p, q)), _stacked(y, rows, min(p, q))) <= most[rows]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda side, line, n: nodes.select(F.col("node").alias(side), F.col("outline").alias(line), F.col("n_shingles").alias(n))
@@ -340,29 +358,48 @@ def _block_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def open_buckets(members: DataFrame, labels: DataFrame, pivots: int) -> DataFrame:
-    """hot, token, node, comp, top, g, u: the members of buckets that the first step did not cover in full and whose
-    members are not in one class; top is the bucket's largest class, g its members, u those outside the largest class."""
-    # Shingles that the same documents share make equal buckets: one of them is enough.
+def open_buckets(members: DataFrame, labels: DataFrame, pivots: int, percent: int) -> DataFrame:
+    """The members of buckets that the first step did not cover in full and whose members are not in one class, as counted
+    gives them.
+
+    A bucket's members meet what is known of it by slice (SLICE members of a part), so that no task gets a whole hot bucket.
+    """
     same = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("g")]
-    wide = members.groupBy("hot", "token").agg(F.max("rank").alias("r"), F.max("part").alias("p"), *same).filter((F.col("r") > pivots) | (F.col("p") > 0))
+    parts = saved(members.groupBy("hot", "token", "part").agg(F.max("rank").alias("r"), *same).filter((F.col("r") > pivots) | F.col("hot")), "jaccard-parts")
+    wide = parts.groupBy("hot", "token").agg(F.max("r").alias("r"), F.max("part").alias("p"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.sum("g").alias("g"))
+    wide = wide.filter((F.col("r") > pivots) | (F.col("p") > 0))
+    # Shingles that the same documents share make equal buckets: one of them is enough.
     wide = wide.groupBy("x", "y", "g").agg(F.min(F.struct("hot", "token")).alias("t")).select("t.hot", "t.token")
-    named = members.select("hot", "token", "node").join(wide, ["hot", "token"], "left_semi").join(labels, "node", "left").select("hot", "token", "node", F.coalesce("comp", "node").alias("comp"))
-    named = saved(named, "jaccard-named")
-    return saved(counted(named), "jaccard-open")
+    slice_of = lambda rank: F.shiftleft(F.col("part").cast("long"), 32) + F.floor(rank / SLICE)
+    slices = parts.join(wide, ["hot", "token"]).select("hot", "token", F.explode(F.sequence(slice_of(F.lit(0)), slice_of(F.col("r")))).alias("slice"))
+    named = members.select("hot", "token", slice_of(F.col("rank")).alias("slice"), "node", "n").join(slices, ["hot", "token", "slice"], "left_semi")
+    named = named.join(labels, "node", "left").select("hot", "token", "slice", "node", size_class(F.col("n"), percent).alias("size"), F.coalesce("comp", "node").alias("comp"))
+    return saved(counted(saved(named, "jaccard-named")), "jaccard-open")
+
+
+def size_class(n: Column, percent: int) -> Column:
+    """Sets that link are of one class or of neighbouring ones: a class reaches over a factor of 100 / percent and more."""
+    return F.floor(F.log(n) / math.log(100.001 / percent)).cast("int")
 
 
 def _in_blocks(open_: DataFrame, block_rows: int) -> DataFrame:
-    """The members outside a bucket's largest class (side 0) against all (side 1), dealt in blocks of members."""
-    blocks = lambda n: F.ceil(F.col(n) / block_rows).cast("int")
-    mine = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
-    all_ = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    u = open_.filter("comp <> top").select("hot", "token", mine("u").alias("ub"), all_("g").alias("vb"), F.lit(0).alias("side"), "node", "comp")
-    v = open_.select("hot", "token", all_("u").alias("ub"), mine("g").alias("vb"), F.lit(1).alias("side"), "node", "comp")
+    """The members outside a bucket's largest class (side 0) against all (side 1) of neighbouring sizes, dealt in blocks of
+    members of one size class each."""
+    blocks = lambda c: F.ceil(c / block_rows).cast("int")
+    mine = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
+    near = lambda side: F.filter("sizes", lambda x: (F.abs(x["size"] - F.col("size")) <= 1) & (x[side] > 0))
+    each = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
+    own = F.filter("sizes", lambda x: x["size"] == F.col("size"))[0]
+    to = lambda side, other: F.explode(F.flatten(F.transform(near(other), lambda x: F.transform(each(x[other]), lambda b: F.struct(x["size"].alias("size"), b.alias("block"))))))
+    row = ["slice", "node", "comp"]
+    u = open_.filter("comp <> top").select("hot", "token", "size", mine(own["u"]).alias("ub"), to("u", "g").alias("to"), *row)
+    u = u.select("hot", "token", F.col("size").alias("us"), F.col("to.size").alias("vs"), "ub", F.col("to.block").alias("vb"), F.lit(0).alias("side"), F.col("size"), *row)
+    v = open_.select("hot", "token", "size", mine(own["g"]).alias("vb"), to("g", "u").alias("to"), *row)
+    v = v.select("hot", "token", F.col("to.size").alias("us"), F.col("size").alias("vs"), F.col("to.block").alias("ub"), "vb", F.lit(1).alias("side"), F.col("size"), *row)
     return u.unionByName(v)
 
 
-_BLOCK = ["hot", "token", "ub", "vb"]
+_BLOCK = ["hot", "token", "us", "vs", "ub", "vb"]
 
 
 def _blocks(batches):
@@ -392,7 +429,16 @@ def _blocks(batches):
 def partners(table: pa.Table, percent: int) -> np.ndarray:
     """Which rows of a block have a partner of the other side and another class that sizes and outlines leave room for."""
     side, comps, n = (np.asarray(table[c]) for c in ("side", "comp", "n"))
-    lines = _outlines(table["outline"])
+    lines = table["outline"].to_pylist()
+    lengths = np.array([len(x) for x in lines])
+    # Per length the outlines of that length and, folded, the longer ones.
+    stacks, place = {}, {}
+    for length in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths >= length)
+        stacks[length] = np.vstack([_stacked(lines, rows[lengths[rows] == x], length) for x in np.unique(lengths[rows])])
+        order = np.concatenate([rows[lengths[rows] == x] for x in np.unique(lengths[rows])])
+        place[length] = np.zeros(len(lines), np.int64)
+        place[length][order] = np.arange(len(order))
     us, vs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     vs = vs[np.argsort(n[vs], kind="stable")]
     found, sizes = np.zeros(table.num_rows, bool), n[vs]
@@ -403,32 +449,43 @@ def partners(table: pa.Table, percent: int) -> np.ndarray:
         if not len(near):
             continue
         most = n[u] + n[near] - 2 * -(-percent * (n[u] + n[near]) // (100 + percent))
-        near = near[gaps(lines[near], lines[u]) <= most]
-        found[near] = True
-        found[u] |= bool(len(near))
+        both = np.minimum(lengths[near], lengths[u])
+        fits = np.zeros(len(near), bool)
+        for length in np.unique(both).tolist():
+            some, at = both == length, place[length]
+            fits[some] = gaps(stacks[length][at[near[some]]], stacks[length][at[u]]) <= most[some]
+        found[near[fits]] = True
+        found[u] |= bool(fits.any())
     return found
 
 
 def with_partners(open_: DataFrame, outlines: DataFrame, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """hot, token, node, comp of the members that may have a link to another class. Members of buckets that only share a
-    passage have none, so their sets are never sent."""
+    """hot, token, slice, node, size, comp of the members that may have a link to another class. Members of buckets that only
+    share a passage have none, so their sets are never sent."""
 
     def run(batches):
         for table in _blocks(batches):
             keep = table.filter(pa.array(partners(table, percent)))
             if keep.num_rows:
-                yield from keep.select(["hot", "token", "node", "comp"]).combine_chunks().to_batches()
+                yield from keep.select(["hot", "token", "slice", "node", "size", "comp"]).combine_chunks().to_batches()
 
     rows = _in_blocks(open_, block_rows).join(outlines.select("node", "outline", F.col("n_shingles").alias("n")), "node")
     dealt = rows.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
-    return dealt.mapInArrow(run, "hot boolean, token long, node long, comp long").distinct()
+    return dealt.mapInArrow(run, "hot boolean, token long, slice long, node long, size int, comp long").distinct()
 
 
 def counted(named: DataFrame) -> DataFrame:
-    """hot, token, node, comp, top, g, u: buckets with several classes, with the largest class, its size and the rest's."""
-    classes = named.groupBy("hot", "token", "comp").agg(F.count("*").alias("c")).groupBy("hot", "token").agg(F.sum("c").alias("g"), F.max(F.struct("c", "comp")).alias("t"))
-    still = classes.filter(F.col("g") > F.col("t.c")).select("hot", "token", F.col("t.comp").alias("top"), "g", (F.col("g") - F.col("t.c")).alias("u"))
-    return named.join(still, ["hot", "token"])
+    """hot, token, slice, node, size, comp, top, sizes: members of buckets with several classes, with the largest class and,
+    for every size class, its members (g) and those of them outside the largest class (u)."""
+    counts = saved(named.groupBy("hot", "token", "comp", "size").agg(F.count("*").alias("c")), "jaccard-counts")
+    classes = counts.groupBy("hot", "token", "comp").agg(F.sum("c").alias("c")).groupBy("hot", "token").agg(F.sum("c").alias("g"), F.max(F.struct("c", "comp")).alias("t"))
+    still = classes.filter(F.col("g") > F.col("t.c")).select("hot", "token", F.col("t.comp").alias("top"))
+    of_top = counts.join(still.withColumnRenamed("top", "comp"), ["hot", "token", "comp"]).select("hot", "token", "size", F.col("c").alias("t"))
+    by_size = counts.groupBy("hot", "token", "size").agg(F.sum("c").alias("g")).join(of_top, ["hot", "token", "size"], "left").withColumn("u", F.col("g") - F.coalesce("t", F.lit(0)))
+    sizes = still.join(by_size, ["hot", "token"]).groupBy("hot", "token", "top").agg(F.sort_array(F.collect_list(F.struct("size", "g", "u"))).alias("sizes"))
+    # Members meet what is known of their bucket by slice.
+    known = named.select("hot", "token", "slice").distinct().join(sizes, ["hot", "token"])
+    return named.join(known, ["hot", "token", "slice"])
 
 
 def remaining_links(open_: DataFrame, sets: DataFrame, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -438,7 +495,7 @@ def remaining_links(open_: DataFrame, sets: DataFrame, percent: int, block_rows:
         for table in _blocks(batches):
             yield batch_of(_block_links(table, percent), ["a", "b"], [pa.int64(), pa.int64()])
 
-    rows = _in_blocks(open_, block_rows).join(sets, "node")
+    rows = _in_blocks(open_, block_rows).select(*_BLOCK, "side", "node", "comp").join(sets, "node")
     return rows.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(run, "a long, b long")
 
 
@@ -464,9 +521,8 @@ def _sig_number(column: str):
     return F.conv(F.hex(F.substring(column, 1, 7)), 16, 10).cast("long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, pivots: int = PIVOTS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
-    sets = saved(prefixes(docs, shingle_counts(docs, size), size, percent, hot_rows), "jaccard-sets")
+def _classes(docs: DataFrame, sets: DataFrame, size: int, percent: int, pivots: int, hot_rows: int) -> DataFrame:
+    """sig, comp: the class of every distinct set."""
     members = saved(bucket_members(_nodes(sets), percent, pivots), "jaccard-members")
     pairs = members.select(F.col("node").alias("a"), F.explode("pivots").alias("b")).filter("a <> b").distinct()
     outlines = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "outline", "n_shingles").distinct()
@@ -474,7 +530,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, pivots: i
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     links = saved(verified(pairs, candidate_sets(docs, wanted, size), percent, hot_rows), "jaccard-links")
     labels = components(links)
-    open_ = open_buckets(members, labels, pivots)
+    open_ = open_buckets(members, labels, pivots, percent)
     open_ = saved(counted(saved(with_partners(open_, outlines, percent), "jaccard-partners")), "jaccard-blocks")
     if not open_.isEmpty():
         more = remaining_links(open_, candidate_sets(docs, open_.select("node"), size), percent)
@@ -486,7 +542,13 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, pivots: i
         lone = upper.select(F.col("_n").alias("node"), F.col("_n").alias("comp")).join(labels, "node", "left_anti")
         labels = labels.unionByName(lone).join(upper, F.col("comp") == F.col("_n"), "left").select("node", F.coalesce("_c", "comp").alias("comp"))
     least = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("node"))
-    classes = saved(least.join(labels, "node", "left").select("sig", F.coalesce("comp", "node").alias("comp")), "jaccard-classes")
+    return least.join(labels, "node", "left").select("sig", F.coalesce("comp", "node").alias("comp"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, pivots: int = PIVOTS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+    sets = saved(prefixes(docs, shingle_counts(docs, size), size, percent, hot_rows), "jaccard-sets")
+    classes = saved_alone(docs.sparkSession, "jaccard-classes", lambda: _classes(docs, sets, size, percent, pivots, hot_rows))
     return sets.select("doc_id", "n_shingles", "sig").join(classes, "sig", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
@@ -495,7 +557,7 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
 
     Only rows that may be concerned are shuffled with their texts: the others pass a filter of fixed size.
     """
-    found = saved(near_duplicates(docs, size, percent), "dedup-classes").filter("doc_id IS NOT NULL")
+    found = saved_alone(docs.sparkSession, "dedup-classes", lambda: near_duplicates(docs, size, percent)).filter("doc_id IS NOT NULL")
     concerned = found.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("component_id").alias("least")).filter("c > 1 OR least < doc_id")
     concerned = saved(concerned.select("doc_id", (F.col("least") == F.col("doc_id")).alias("stays")), "dedup-concerned")
     bits = id_filter(concerned.select("doc_id"))

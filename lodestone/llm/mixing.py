@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, saved, saved_alone
 
 #: Ranges of finish time, at least and at most; the budget runs out in one of them.
 TIME_BINS, MOST_TIME_BINS = 1 << 13, 1 << 20
@@ -107,11 +107,14 @@ def mixed_documents(docs: DataFrame, seed: str = "mix-1", max_epochs: int = 3, w
 
     In a source, what is taken is a prefix of the shuffled order, so a source's cut is one row and texts are not shuffled.
     """
-    plan = mix(docs, seed, max_epochs, weights)
     key = F.struct("place", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("size"))
     # The last place that is taken most often is the place with the most copies, the farthest of them.
-    cuts = plan.groupBy("source").agg(F.max(F.struct("copies", key.alias("key"))).alias("top"), F.min("copies").alias("least"))
-    cuts = saved(cuts.select(F.col("source").alias("of"), F.col("top.copies").alias("most"), "least", F.col("top.key").alias("last")), "mix-cuts")
+
+    def build() -> DataFrame:
+        cuts = mix(docs, seed, max_epochs, weights).groupBy("source").agg(F.max(F.struct("copies", key.alias("key"))).alias("top"), F.min("copies").alias("least"))
+        return cuts.select(F.col("source").alias("of"), F.col("top.copies").alias("most"), "least", F.col("top.key").alias("last"))
+
+    cuts = saved_alone(docs.sparkSession, "mix-cuts", build)
     mine = F.struct(_place(seed).alias("place"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), words_in(F.col("text")).alias("size"))
     # The caller's columns travel in a struct, so that none of their names can clash.
     rows = docs.select(F.struct("*").alias("row"), "source", mine.alias("mine"))
