@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import pathlib
 import re
 import zlib
@@ -276,6 +277,21 @@ def test_filters_lose_no_link(a, b, percent):
             assert common in sorted(a)[: jaccard._prefix_length(len(a), percent)]
 
 
+def test_outlines_of_long_sets():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    x = np.unique(base[:4000])
+    lengths, gaps = set(), []
+    for y in (np.unique(base[400:]), np.unique(base[:5000]), np.unique(base[2000:]), np.unique(rng.integers(0, 1 << 63, 4100).astype(np.uint64))):
+        lines = [np.frombuffer(jaccard.outline(s), np.uint8)[None, :] for s in (x, y)]
+        short = min(z.shape[1] for z in lines)
+        lengths.add(lines[1].shape[1])
+        gaps.append(int(jaccard.gaps(*[jaccard.folded(z, short) for z in lines])[0]))
+        assert gaps[-1] <= len(np.setxor1d(x, y))
+    assert len(lengths) == 2 and gaps[3] > 4 * 0.111 * 2000  # unrelated sets are told apart, whatever their length
+    assert all(abs(math.floor(math.log(n) / math.log(100.001 / 80)) - math.floor(math.log(-(-80 * n // 100)) / math.log(100.001 / 80))) <= 1 for n in range(2, 5000))
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 150, (110, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 6000 + i) for i in range(60)] + [(None, 3)]
@@ -376,3 +392,22 @@ def test_stages_return_the_columns_of_documents(spark):
     library, texts = SentencePieceProcessor(model_file=MODEL), {r[0]: r[1] for r in rows}
     assert all(r.ids == library.encode(texts[r.doc_id]) for r in out.collect())
     assert corpus_pipeline.run(spark, path).count() == len(ids)
+
+
+def test_pipeline_runs_on_awkward_tables(spark):
+    words = lambda seed: " ".join(f"w{int(x)}" for x in np.random.default_rng(seed).integers(0, 500, 80))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id int, row int, may int, times int"
+    rows = [(i, words(i // 2), "en", None if i % 3 else "s", 400, 7, 7, 7, 7) for i in range(30)] + [(None, words(99), "en", "s", 9, 7, 7, 7, 7), (40, None, None, None, None, 7, 7, 7, 7), (41, "", "en", "blank", 0, 7, 7, 7, 7), (42, "long " * 30_000, "en", "s", 0, 7, 7, 7, 7)]
+    for name, table in (("some", rows), ("none", [])):
+        path = work_path(spark, f"test-awkward-{name}")
+        spark.createDataFrame(table, schema).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:3]:
+            out = stage(spark, docs, path)
+            assert out.columns == docs.columns and all(set(r[5:]) == {7} for r in out.collect())
+        folder = pathlib.Path(re.sub("^file:/*", "/", work_path(spark, "x"))).parent
+        before = set(folder.iterdir())
+        got = corpus_pipeline.run(spark, path).collect()
+        assert sorted(p.name.split("-")[1] for p in set(folder.iterdir()) - before) == sorted(n.split(" ")[0].split("-")[0] for n, _ in corpus_pipeline.STAGES)
+        assert all(r.decodes_back for r in got) and {r.doc_id for r in got} <= {*range(0, 30, 2), None} and bool(got) == bool(table)
