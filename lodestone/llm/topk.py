@@ -8,15 +8,13 @@ falls below the k-th best exact score; the pivots' own scores give the first thr
 
 Queries and candidates meet in blocks of bounded size, (query block x candidate block); no block is a key of the data.
 
-Defined cases: vectors that are null, hold null or non-finite components or differ in length from the commonest length
-take no part; a row with a null id is a candidate only and loses ties; rows repeated as a whole are candidates of one
+Defined cases: vectors that are null or hold null or non-finite components take no part; a vector shorter than the longest
+counts as ending in zeros, an empty one as zeros (a table of one very long vector makes all of them so long); a row with a null id is a candidate only and loses ties; rows repeated as a whole are candidates of one
 another; fewer than k candidates give fewer rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -82,13 +80,12 @@ def block_top(q: np.ndarray, qd: np.ndarray, c: np.ndarray, cd: np.ndarray, ids:
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score (integer inner product) from vec_id and an integer vector column v (null: no part)."""
     spark = rows.sparkSession
-    usable = saved(rows.select("vec_id", "v").filter("v IS NOT NULL AND size(v) > 0"), "topk-vectors")
-    sizes = Counter({r[0]: r[1] for r in usable.groupBy(F.size("v")).count().orderBy(F.desc("count"), F.size("v")).limit(1).collect()})
-    schema = "query_id long, rank int, vec_id long, score long"
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    dim = next(iter(sizes))
-    usable = usable.filter(F.size("v") == dim)
+    usable = saved(rows.select("vec_id", "v").filter("v IS NOT NULL"), "topk-vectors")
+    longest = usable.agg(F.max(F.size("v"))).first()[0]
+    if longest is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    dim = max(1, longest)
+    usable = usable.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("v"))))
     norm2 = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     n, n_query, m2 = usable.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(norm2)).first()
     # A fixed number of pivots, drawn by hash: the same ones in every run.
@@ -113,10 +110,10 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS, c
     q = q.select("cb", "qb", "vec_id", "v", "dq", "low")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        cv, cd = _matrix(left["v"], dim), np.asarray(left["d"].combine_chunks().flatten()).reshape(left.num_rows, -1)
+        cv, cd = _matrix(left["v"], dim), np.asarray(left["d"].combine_chunks().flatten()).reshape(left.num_rows, len(pivot_v))
         ids = np.array([np.iinfo(np.int64).max if x is None else x for x in left["vec_id"].to_pylist()], np.int64)
         qv, qid = _matrix(right["v"], dim), np.asarray(right["vec_id"], np.int64)
-        qd = np.asarray(right["dq"].combine_chunks().flatten()).reshape(right.num_rows, -1)
+        qd = np.asarray(right["dq"].combine_chunks().flatten()).reshape(right.num_rows, len(pivot_v))
         own = []
         for i in range(len(qv)):
             same = np.flatnonzero(ids == qid[i])
@@ -134,8 +131,9 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS, c
 
 def top_k_sql(table: str, every: int = 50, k: int = 5, scale: int = 256) -> str:
     return f"""
-    WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS v FROM {table}
-      WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+    WITH e AS (SELECT vec_id, embedding, greatest(1, max(len(embedding)) OVER ()) AS dim FROM {table}
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    v AS (SELECT row_number() OVER () AS n, vec_id, list_resize(list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))), dim, 0) AS v FROM e)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
       SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score,
         row_number() OVER (PARTITION BY q.n ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS rank
