@@ -310,8 +310,10 @@ def test_components(spark):
 def brute_top(rows, every, k):
     good = []
     for i, v in rows:
-        if v and all(x is not None and np.isfinite(x) for x in v):
+        if v is not None and all(x is not None and np.isfinite(x) for x in v):
             good.append((i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)))
+    longest = max(len(v) for _, v in good)
+    good = [(i, np.pad(v, (0, longest - len(v)))) for i, v in good]
     out = Counter()
     for n, (q, v) in enumerate(good):
         if q is not None and q % every == 0:
@@ -324,11 +326,13 @@ def brute_top(rows, every, k):
 def test_top_k(spark, blocks):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=6) * (1 + i % 3)]) for i in range(60)]
-    rows += [(61, rows[10][1]), (62, rows[10][1]), (10, rows[10][1]), (10, rows[11][1]), (None, rows[20][1]), (63, None), (64, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (65, [float("nan")] * 6), (70, [float("inf")] * 6), (80, [0.0] * 6)]
+    rows += [(61, rows[10][1]), (62, rows[10][1]), (10, rows[10][1]), (10, rows[11][1]), (None, rows[20][1]), (63, None), (64, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (65, [float("nan")] * 6), (70, [float("inf")] * 6), (80, [0.0] * 6), (90, []), (100, [3.0, -1.0]), (101, [2.5])]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label string, score int").select("vec_id", topk.quantized().alias("v"))
     got = topk.top_k(df, F.col("vec_id") % 10 == 0, pivots=8, candidates=blocks[0], queries=blocks[1])
     assert Counter(tuple(r) for r in got.collect()) == brute_top(rows, 10, 5)
     few = topk.top_k(df.filter("vec_id IN (20, 21, 22)"), F.col("vec_id") % 10 == 0, candidates=blocks[0])
+    empty = topk.top_k(df.filter("vec_id = 90"), F.col("vec_id") % 10 == 0).union(topk.top_k(df.filter("vec_id IN (90)").union(df.filter("vec_id = 90")), F.col("vec_id") % 10 == 0))
+    assert [tuple(r) for r in empty.collect()] == [(90, 1, 90, 0)] * 2
     assert few.count() == 2 and topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
