@@ -42,29 +42,24 @@ WINDOW = 48
 TEMPLATES = {
     "agpl": ["This program is free software under the GNU Affero General Public License", "Licensed under the GNU Affero General Public License, version 3."],
     "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Released under Apache-2.0."],
+    "boost": ["Distributed under the Boost Software License, Version 1.0.", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Released under the BSD License.", "Licensed under the BSD 3-Clause License."],
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
     "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
     "cc0": ["To the extent possible under law, the author has waived all copyright and related rights", "This work is dedicated to the public domain under CC0 1.0."],
     "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "Released under GPL-3.0."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License.", "Licensed under the ISC license."],
     "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software under the terms of the GNU Lesser General Public License"],
     "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "Licensed under the MIT License."],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part may be reproduced without permission."],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense."],
+    "zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable", "Released under the zlib License."],
 }
 _MARKS = b".,;:()\"'[]!?"
 
-_seen: dict[bytes, int] = {}
-
-
-def _code(word: bytes) -> int:
-    h = _seen.get(word)
-    if h is None:
-        if len(_seen) >= 500_000:
-            _seen.clear()
-        h = _seen[word] = zlib.crc32(word)
-    return h
+_code = zlib.crc32
 
 
 def blocks(text: bytes | None) -> tuple[list[list[bytes]], list[int]]:
