@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import textwrap
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -223,6 +225,92 @@ def test_licence_model_on_held_out_rows():
     top = model.probabilities(rows).argmax(1)
     assert (top == labels).mean() > 0.95
     assert (top[labels == 0] == 0).mean() > 0.98
+    # Calibration: in ranges of the best probability, its mean is near the share of right answers.
+    best = model.probabilities(rows).max(1)
+    error = 0.0
+    for k in range(10):
+        some = (best > k / 10) & (best <= (k + 1) / 10)
+        if some.any():
+            error += some.mean() * abs(best[some].mean() - (top[some] == labels[some]).mean())
+    assert error < 0.08, error
+
+
+#: Opening words of notices as they stand in files; none of them is a template as a whole.
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "apache": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+}
+
+
+def test_wrapped_notices_are_found_and_prose_is_not(spark):
+    filler = [" ".join(f"v{(i * j) % 97}" for j in range(1, 12)) for i in range(1, 30)]
+    texts, want = [], []
+    for family, notice in NOTICES.items():
+        for width in (40, 72, 1000):
+            texts.append("\n".join(filler[:9]) + "\n\n * " + "\n * ".join(textwrap.wrap(notice, width)) + "\n\n" + "\n".join(filler[9:]))
+            want.append(family)
+    prose = ["the software is free and the terms of use are public", "permission was granted to copy the source of the river", "no event will be held in the public domain of the hall", "the author has waived the fee, and all copies are distributed without warranty"]
+    docs = spark.createDataFrame([(i, t, "s", "a", "x") for i, t in enumerate(texts + prose)], DOCS)
+    got = {r.doc_id: r.licences for r in licences.scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert all(got[len(texts) + k] is None for k in range(len(prose)))
+
+
+def naive_scan(text, model):
+    """A document by itself: every unit's probabilities by plain sums, resemblance by plain sets."""
+    lines = [(k, re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[.,;:()\"'\[\]!?]", b"", line.lower()))) for k, line in enumerate((text or "").encode().split(b"\n"))]
+    block, numbered = 0, []
+    for _, words in lines:
+        if words:
+            numbered.append((block, words))
+        else:
+            block += 1
+    paragraphs = [w for _, w in numbered]
+    units = [(p, k, k) for k, p in enumerate(paragraphs)]
+    units += [(p[a : a + licences.WINDOW], k, k) for k, p in enumerate(paragraphs) if len(p) > licences.WINDOW for a in range(0, len(p) - licences.WINDOW // 2, licences.WINDOW // 2)]
+    flat, of = [w for p in paragraphs for w in p], [k for k, p in enumerate(paragraphs) for _ in p]
+    units += [(flat[a : b + 1], of[a], of[b]) for a, b in licences.spans(paragraphs, np.array([b for b, _ in numbered]))]
+    found, looks = {}, set()
+    for words, a, b in units:
+        codes = [zlib.crc32(w) for w in words]
+        z = sum(model.weights[c % licences.FEATURES].astype(float) for c in codes) + sum(model.weights[(31 * x + y + 7) % licences.FEATURES].astype(float) for x, y in zip(codes, codes[1:]))
+        z = (z / np.sqrt(2 * len(codes) - 1) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        family = model.classes[int(p.argmax())]
+        if family != licences.NONE:
+            pairs = set(zip(words, words[1:]))
+            share = max(len(pairs & set(zip(t, t[1:]))) / len(set(zip(t, t[1:]))) for t in (licences.paragraphs(x.encode())[0] for x in licences.TEMPLATES[family]))
+            for k in range(a, b + 1):
+                if p.max() >= licences.SURE and share >= licences.CONFIRM:
+                    found.setdefault(k, set()).add(family)
+                else:
+                    looks.add(k)
+    return len(paragraphs), len(found), len(looks - set(found)), ",".join(sorted({f for x in found.values() for f in x})) or None
+
+
+def test_scan_matches_a_naive_one(spark):
+    rng = np.random.default_rng(8)
+    pool = [f"v{i}" for i in range(60)] + "license software the of public free under terms copy rights".split()
+    model = licences.fit_rows(*licences.training_rows([[w.encode() for w in rng.choice(pool, int(rng.integers(3, 40)))] for _ in range(300)]))
+    notices = [t for ts in licences.TEMPLATES.values() for t in ts] + list(NOTICES.values())
+    rows = [(0, None, "s", "a", "x"), (1, "", "s", "a", "x"), (2, " \n\t\n", "s", "a", "x")]
+    for i in range(3, 60):
+        parts = []
+        for _ in range(int(rng.integers(1, 6))):
+            words = list(rng.choice(pool, int(rng.integers(1, 90))))
+            if rng.random() < 0.5:
+                k = int(rng.integers(len(words)))
+                words[k:k] = textwrap.fill(str(rng.choice(notices)), int(rng.integers(20, 200))).split(" ")
+            parts.append(" ".join(words))
+        rows.append((i, str(rng.choice(["\n", "\n\n"])).join(parts), "s", "a", "x"))
+    got = {r.doc_id: (r.n_paragraphs, r.n_licence, r.n_unknown, r.licences) for r in licences.scan(spark.createDataFrame(rows, DOCS), model).collect()}
+    assert got == {i: naive_scan(t, model) for i, t, *_ in rows}
 
 
 def test_licence_scan(spark):
