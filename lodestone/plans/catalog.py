@@ -175,10 +175,23 @@ add(
     f"""WITH m AS ({_BOTH}), f AS (SELECT name, min(path) AS path FROM (SELECT path, unnest(regexp_extract_all(content, '(Процедура|Функция)\\s+([\\p{{L}}\\p{{N}}_]+)', 2)) AS name FROM m) GROUP BY name)
     SELECT name, path FROM f WHERE name NOT IN ({', '.join(f"'{x}'" for x in R.ENTRY_POINTS)}) AND NOT EXISTS (SELECT 1 FROM m WHERE m.path <> f.path AND contains(m.content, f.name))""",
 )
-_PI = {"passport number": R.PERSONAL[0][1].replace(r"[-\s]", r"[-\s]"), "PI reference": R.PERSONAL[2][1]}
-add("audit_pi_data", lambda s, d: audit.personal_data(DM(s, d)).select("pattern", "cnt"))
-add("audit_pi_data_portable", lambda s, d: audit.personal_data(DM(s, d)).filter("pattern <> 'INN/KPP number'").select("pattern", "cnt"), " UNION ALL ".join(f"SELECT * FROM (SELECT '{n}' AS pattern, CAST(sum(len(regexp_extract_all(content, '(?i){p}'))) AS BIGINT) AS cnt FROM ({DMS})) WHERE cnt > 0" for n, p in _PI.items()))
-add("audit_pi_data_orders", lambda s, d: audit.personal_data(OD(s, d)))
+_PI = {
+    "passport number": lambda: f"regexp_extract_all(content, '(?i){R.PERSONAL[0][1]}')",
+    # Ten to twelve digits between word borders: a whole run of word characters.
+    "INN/KPP number": lambda: r"list_filter(regexp_extract_all(content, '[\p{L}\p{M}\p{Nd}\p{Pc}]+'), lambda w: regexp_matches(w, '^\p{Nd}{10,12}$'))",
+    "PI reference": lambda: f"regexp_extract_all(content, '(?i){R.PERSONAL[2][1]}')",
+}
+
+
+def personal_sql(modules: str) -> str:
+    each = "SELECT m, row_number() OVER (ORDER BY path, i) AS k FROM (SELECT path, unnest({0}) AS m, generate_subscripts({0}, 1) AS i FROM ({1}))"
+    found = ", ".join(f"f_{k} AS ({each.format(f(), modules)})" for k, f in enumerate(_PI.values()))
+    shown = "(SELECT string_agg(m, '|' ORDER BY m) FROM (SELECT DISTINCT m FROM f_{0} WHERE k <= 5))"
+    return f"WITH {found} " + " UNION ALL ".join(f"SELECT '{n}' AS pattern, count(*) AS cnt, {shown.format(k)} AS samples FROM f_{k} HAVING count(*) > 0" for k, n in enumerate(_PI))
+
+
+add("audit_pi_data", lambda s, d: audit.personal_data(DM(s, d)), personal_sql(DMS))
+add("audit_pi_data_orders", lambda s, d: audit.personal_data(OD(s, d)), personal_sql(ODS))
 add("audit_bulk_analyze", lambda s, d: audit.bulk_analyze(OD(s, d), 3), f"SELECT (SELECT count(*) FROM ({security_sql(ODS)})) AS security_issues, (SELECT count(*) FROM ({duplicates_sql(ODS, 3, True)})) AS duplicates, (SELECT max(max_complexity) FROM ({metrics_sql(ODS)})) AS max_complexity, (SELECT CAST(sum(functions) AS BIGINT) FROM ({metrics_sql(ODS)})) AS total_functions")
 
 # Corpus flags, over the corpus and per module
@@ -218,16 +231,49 @@ add("meta_dependencies_referenced_by", lambda s, d: audit.ref_counts(OD(s, d), "
 
 # Queries
 
-#: Patterns without look-ahead, which the SQL engine lacks: queries named _portable run these and have SQL; those beside
-#: them run all patterns and are held against brute force.
-_PORTABLE = tuple(i for i, _, p, *_ in R.QUERY_PATTERNS if "(?!" not in p)
 _Q = lambda s, d: A.sql(s, d, A.QUERIES)
 _QS = A.QUERIES
 _BY_ID = {i: (sev, p, m, a) for i, sev, p, m, a in R.QUERY_PATTERNS}
 
 
+def _not_ahead(*words: str) -> str:
+    """A pattern for what follows a place where none of the words begins (with different first letters), up to its first
+    letter that differs: the SQL engine has no look-ahead. For the end of a pattern."""
+    out = ["\\z", f"[^{''.join(w[0] for w in words)}]"]
+    for w in words:
+        rest = f"(?:\\z|[^{w[-1]}])"
+        for c in reversed(w[1:-1]):
+            rest = f"(?:\\z|[^{c}]|{c}{rest})"
+        out.append(w[0] + rest)
+    return "(?:" + "|".join(out) + ")"
+
+
+def _after_select(words: str, rest: str) -> str:
+    """Whether some ВЫБРАТЬ is followed by white space, then by none of the words, then by `rest`. Where the white space is
+    longer than one character, the place of the look-ahead can lie inside it; `rest` begins with any white space."""
+    parts = "string_split(upper(query_text), 'ВЫБРАТЬ')"
+    after = f"list_transform(range(2, len({parts}) + 1), lambda k: array_to_string(list_slice({parts}, k, len({parts})), 'ВЫБРАТЬ'))"
+    return f"len(list_filter({after}, lambda t: regexp_matches(t, '^\\s+\\s{rest}') OR regexp_matches(t, '^\\s+[^\\s]') AND NOT regexp_matches(t, '^\\s+({words})') AND regexp_matches(t, '^\\s+{rest}'))) > 0"
+
+
+_CLASS = r"\p{L}\p{N}_\s,"
+#: The six patterns with a look-ahead as conditions on query_text.
+_AHEAD = {
+    "no_first": _after_select("РАЗЛИЧНЫЕ|ПЕРВЫЕ", f"[{_CLASS}.*]*[{_CLASS}.*]\\s+ИЗ"),
+    "select_all": _after_select("РАЗЛИЧНЫЕ", f"[{_CLASS}]*\\.\\*"),
+    "no_where": f"regexp_matches(upper(query_text), 'ВЫБРАТЬ[\\s\\S]{{0,200}}?ИЗ\\s+[{_CLASS}]+?\\s+{_not_ahead('ГДЕ', 'ПЕРВЫЕ', 'ORDER')}')",
+    "no_group_having": r"regexp_matches(upper(query_text), 'СГРУППИРОВАТЬ\s+ПО\s+[\p{L}\p{N}_.]')",  # some place without HAVING ahead always follows
+    "fetch_top_without_period": f"regexp_matches(upper(query_text), 'ПЕРВЫЕ\\s+\\d+\\s*.*?ИЗ\\s+[\\p{{L}}\\p{{N}}_.]+\\s+{_not_ahead('ПЕРИОДА')}')",
+    "max_rows_missing": _after_select("РАЗЛИЧНЫЕ|ПЕРВЫЕ", f"[{_CLASS}]*[{_CLASS}]\\s+ИЗ\\s+[\\p{{L}}\\p{{N}}_.]+\\s+ГДЕ\\s+[\\p{{L}}\\p{{N}}_.]+\\s+="),
+}
+
+
+def _hit_sql(i: str) -> str:
+    return _AHEAD.get(i) or f"regexp_matches(query_text, '(?im){re2(_BY_ID[i][1])}')"
+
+
 def patterns_sql(queries: str, keys: str, columns: str) -> str:
-    return " UNION ALL ".join(f"SELECT {keys}, {columns.format(id=i, sev=_BY_ID[i][0], msg=_BY_ID[i][2], adv=_BY_ID[i][3])} FROM ({queries}) WHERE regexp_matches(query_text, '(?im){re2(_BY_ID[i][1])}')" for i in _PORTABLE)
+    return " UNION ALL ".join(f"SELECT {keys}, {columns.format(id=i, sev=_BY_ID[i][0], msg=_BY_ID[i][2], adv=_BY_ID[i][3])} FROM ({queries}) WHERE {_hit_sql(i)}" for i in _BY_ID)
 
 
 _EMB = rf"""SELECT path, line_no, coalesce(called, 'query_at_line_' || start_line) AS name, start_line, substr(regexp_extract(text, q, 1), 1, 1000) AS query_text FROM (
@@ -235,25 +281,21 @@ _EMB = rf"""SELECT path, line_no, coalesce(called, 'query_at_line_' || start_lin
   FROM (SELECT *, contains(text, 'Новый Запрос') OR (contains(text, 'Запрос') AND contains(text, 'Новый')) AS c, '\.Текст\s*=\s*"{{3}}([\s\S]*?)"{{3}}' AS q FROM {lines_sql(ODS)}) WINDOW w AS (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING))
   WHERE NOT c AND start_line IS NOT NULL AND contains(text, 'Текст') AND (contains(text, '=') OR contains(text, '.Добавить')) AND regexp_matches(text, q)"""
 add("embedded_queries", lambda s, d: query_lint.embedded_queries(OD(s, d)), _EMB)
-add("audit_query_antipatterns", lambda s, d: query_lint.anti_patterns(query_lint.embedded_queries(OD(s, d))))
-add("audit_query_antipatterns_portable", lambda s, d: query_lint.anti_patterns(query_lint.embedded_queries(OD(s, d)), _PORTABLE), patterns_sql(_EMB, "path, line_no, name, start_line", "'{id}' AS pattern_id, '{sev}' AS severity, '{msg}' AS message"))
-add("query_find_sinks", lambda s, d: query_lint.anti_patterns(query_lint.embedded_queries(OD(s, d))).groupBy("name", "pattern_id").agg(F.count("*").alias("cnt")))
-add("query_patterns", lambda s, d: query_lint.anti_patterns(_Q(s, d), _PORTABLE), patterns_sql(_QS, "query_id", "'{id}' AS pattern_id, '{sev}' AS severity, '{msg}' AS message"))
-add("query_patterns_all", lambda s, d: query_lint.anti_patterns(_Q(s, d)))
-add("query_optimize", lambda s, d: query_lint.optimize(_Q(s, d)))
-add("query_optimize_portable", lambda s, d: query_lint.optimize(_Q(s, d), _PORTABLE), patterns_sql(_QS, "query_id", "'{id}' AS pattern_id, '{msg}' AS current, '{adv}' AS suggestion"))
+add("audit_query_antipatterns", lambda s, d: query_lint.anti_patterns(query_lint.embedded_queries(OD(s, d))), patterns_sql(_EMB, "path, line_no, name, start_line", "'{id}' AS pattern_id, '{sev}' AS severity, '{msg}' AS message"))
+add("query_find_sinks", lambda s, d: query_lint.anti_patterns(query_lint.embedded_queries(OD(s, d))).groupBy("name", "pattern_id").agg(F.count("*").alias("cnt")), f"SELECT name, pattern_id, count(*) AS cnt FROM ({patterns_sql(_EMB, 'name', chr(39) + '{id}' + chr(39) + ' AS pattern_id')}) GROUP BY ALL")
+add("query_patterns", lambda s, d: query_lint.anti_patterns(_Q(s, d)), patterns_sql(_QS, "query_id", "'{id}' AS pattern_id, '{sev}' AS severity, '{msg}' AS message"))
+add("query_optimize", lambda s, d: query_lint.optimize(_Q(s, d)), patterns_sql(_QS, "query_id", "'{id}' AS pattern_id, '{msg}' AS current, '{adv}' AS suggestion"))
 _BARE = r"regexp_replace(query_text, '^\s+|\s+$', '', 'g')"
 _VALID = f"({_BARE} <> '' AND starts_with(upper({_BARE}), 'ВЫБРАТЬ') AND contains(upper(query_text), 'ИЗ'))"
-add("query_validate", lambda s, d: query_lint.validate(_Q(s, d)))
 add(
-    "query_validate_portable",
-    lambda s, d: query_lint.validate(_Q(s, d), _PORTABLE),
+    "query_validate",
+    lambda s, d: query_lint.validate(_Q(s, d)),
     f"""WITH q AS (SELECT *, {_VALID} AS valid, {_BARE} = '' AS empty FROM ({_QS})), f AS (
     SELECT query_id, valid, 'issue' AS kind, CAST(NULL AS VARCHAR) AS pattern_id, '{R.EMPTY_QUERY}' AS message FROM q WHERE empty
     UNION ALL SELECT query_id, valid, 'issue', NULL, '{R.NO_SELECT}' FROM q WHERE NOT empty AND NOT starts_with(upper({_BARE}), 'ВЫБРАТЬ')
     UNION ALL SELECT query_id, valid, 'issue', NULL, '{R.NO_FROM}' FROM q WHERE NOT empty AND NOT contains(upper(query_text), 'ИЗ')
     UNION ALL """
-    + " UNION ALL ".join(f"SELECT query_id, valid, '{'warning' if _BY_ID[i][0] == 'warning' else 'issue'}', '{i}', '{_BY_ID[i][2]}' FROM q WHERE NOT empty AND regexp_matches(query_text, '(?im){re2(_BY_ID[i][1])}')" for i in _PORTABLE)
+    + " UNION ALL ".join(f"SELECT query_id, valid, '{'warning' if _BY_ID[i][0] == 'warning' else 'issue'}', '{i}', '{_BY_ID[i][2]}' FROM q WHERE NOT empty AND {_hit_sql(i)}" for i in _BY_ID)
     + ") SELECT * FROM f UNION ALL SELECT query_id, valid, NULL, NULL, NULL FROM q WHERE query_id NOT IN (SELECT query_id FROM f)",
 )
 
