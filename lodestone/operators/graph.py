@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.work import saved
 from . import rules as R
 
 
@@ -119,22 +120,17 @@ def ref_edges(scoped: DataFrame, v: DataFrame) -> DataFrame:
 
 
 class Graph:
-    """The graph's tables, built lazily from objects and modules; those that others are built from are kept once made."""
+    """The graph's tables, built from objects and modules; those that others are built from are written to the shared folder
+    once, so nothing stays in executors' memory and lost executors cost no new scan."""
 
     def __init__(self, objects: DataFrame, modules: DataFrame):
-        base = vertices(objects).persist()
-        self.owners = module_owners(modules.select("path"), base).persist()
-        self.vertices = all_vertices(base, self.owners).persist()
-        self.scoped = scoped_lines(modules, self.owners).persist()
+        base = saved(vertices(objects), "graph-objects")
+        self.owners = saved(module_owners(modules.select("path"), base), "graph-owners")
+        self.vertices = saved(all_vertices(base, self.owners), "graph-vertices")
+        self.scoped = saved(scoped_lines(modules, self.owners), "graph-lines")
         self.procedures = procedures(self.scoped)
         self.call_edges = call_edges(self.scoped)
         self.ref_edges = ref_edges(self.scoped, self.vertices)
-        self._kept = (base, self.owners, self.vertices, self.scoped)
-
-    def close(self) -> None:
-        """Let the kept tables go."""
-        for df in self._kept:
-            df.unpersist()
 
     def one(self, name: str, object_type: str = "") -> str:
         """The key of the only vertex of that name (and type), in any case."""
@@ -201,17 +197,17 @@ def _first(df: DataFrame, limit: int | None, *order: Column | str) -> DataFrame:
 def impact(edges: DataFrame, v: DataFrame, start: str, depth: int = 2, limit: int | None = 100) -> DataFrame:
     """key, type, name, depth, reason_key of what refers to the start, directly or over other objects, up to a depth.
 
-    One join per level against the levels before, which are kept once made; the reason is the least key of the level before. Levels are complete, and
+    One join per level against the levels before, which are written once made; the reason is the least key of the level before. Levels are complete, and
     the cut at the limit takes them by (depth, key).
     """
     links = edges.filter("from_owner <> target").select(F.col("from_owner").alias("key"), F.col("target").alias("reason_key")).distinct()
-    links = links.join(v.select("key"), "key", "left_semi").persist()
+    links = saved(links.join(v.select("key"), "key", "left_semi"), "impact-links")
     spark = edges.sparkSession
     seen = spark.createDataFrame([(start, 0, None)], "key string, depth int, reason_key string")
     level = seen
     for d in range(1, depth + 1):
         near = links.join(level.select(F.col("key").alias("reason_key")), "reason_key").groupBy("key").agg(F.min("reason_key").alias("reason_key"))
-        level = near.join(seen.select("key"), "key", "left_anti").select("key", F.lit(d).alias("depth"), "reason_key").persist()
+        level = saved(near.join(seen.select("key"), "key", "left_anti").select("key", F.lit(d).alias("depth"), "reason_key"), "impact-level")
         seen = seen.unionByName(level)
     found = seen.filter("depth > 0").join(v.select("key", "type", "name"), "key").select("key", "type", "name", "depth", "reason_key")
     return _first(found, limit, "depth", "key")

@@ -434,7 +434,6 @@ add("std_stats", lambda s, d: std.stats(_PG(s, d)), f"SELECT count(*) AS pages F
 # Graph
 
 _G = lambda s, d: graph.Graph(_O(s, d), OD(s, d))
-add("graph_vertices", lambda s, d: _G(s, d).vertices.select("key", "type", "name"))
 add("graph_owners", lambda s, d: _G(s, d).owners.select("path", "owner"), f"""SELECT path, CASE WHEN starts_with(path, 'CommonModules/') THEN CASE WHEN regexp_extract(path, 'Part(\\d+)', 1) IN (SELECT CAST(p_partkey AS VARCHAR) FROM part) THEN 'CommonModule:' ELSE 'Module:' END || split_part(path, '/', 2) WHEN starts_with(path, 'Session') THEN 'Module:' || replace(path, '.bsl', '')
   WHEN starts_with(path, 'Catalogs/') THEN 'Catalog:ASIA' WHEN starts_with(path, 'Reports/') THEN 'Module:' || split_part(path, '/', 2) ELSE 'InformationRegister:' || split_part(path, '/', 2) END AS owner FROM ({ODS})""")
 _HEADS = rf"SELECT path, line_no, regexp_extract(text, '^\s*(?:Процедура)\s+([А-Яа-яA-Za-z0-9_]+)', 1) AS name FROM {lines_sql(ODS)} WHERE regexp_matches(text, '^\s*Процедура\s')"
@@ -445,25 +444,79 @@ _CALLS = rf"regexp_extract_all(text, '([A-Za-zА-Яа-яЁё_][A-Za-zА-Яа-я
 _STOP = ", ".join(f"'{w}'" for w in R.NOT_CALLS)
 _CALL_SQL = f"SELECT coalesce(scope, path || '#(module)') AS from_proc, path AS from_module, owner AS from_owner, line_no, pos, callee FROM (SELECT *, unnest({_CALLS}) AS callee, CAST(generate_subscripts({_CALLS}, 1) - 1 AS INTEGER) AS pos FROM ({_SCOPED}) WHERE NOT bound) WHERE lower(callee) NOT IN ({_STOP})"
 add("graph_call_edges", lambda s, d: _G(s, d).call_edges.select("from_proc", "from_module", "from_owner", "line_no", "pos", "callee"), _CALL_SQL)
-add("graph_ref_edges", lambda s, d: _G(s, d).ref_edges.groupBy("from_owner", "target", "kind").agg(F.count("*").alias("cnt")))
+_VERTICES = f"""SELECT concat_ws(':', type, name) AS key, type, name, min(ord) AS ord FROM ({_OS}) GROUP BY ALL
+  UNION ALL SELECT DISTINCT owner, 'Module', substr(owner, 8), CAST(NULL AS BIGINT) FROM ({ORACLES['graph_owners']}) WHERE starts_with(owner, 'Module:') AND owner NOT IN (SELECT concat_ws(':', type, name) FROM ({_OS}))"""
+add("graph_vertices", lambda s, d: _G(s, d).vertices.select("key", "type", "name"), f"SELECT key, type, name FROM ({_VERTICES})")
+#: The engine's word border knows ASCII only: a border is the text's begin or what is no word character.
+_EDGE = r"(?:^|[^\p{L}\p{N}_])"
+_TYPE_OF = "CASE lower(m.head) " + " ".join(f"WHEN '{k.lower()}' THEN '{t}'" for k, t in R.COLLECTIONS.items()) + " END"
+
+
+def _each(pattern: str, group: int) -> str:
+    return f"regexp_extract_all(text, '(?i){pattern}', {group})"
+
+
+_CODE = f"SELECT * FROM ({_SCOPED}) WHERE NOT bound"
+_DOTTED = rf"({R.NAME})\.({R.NAME_PART}*)"
+_COLLECTED = rf"{_EDGE}({'|'.join(R.COLLECTIONS)})\.({R.NAME_PART}+)"
+_SOURCES = rf"{_EDGE}(?:из|from|соединение|join)\s+((?:{'|'.join(R.QUERY_TABLES)})\.{R.NAME_PART}+(?:\.{R.NAME_PART}+)*)"
+_REFS = f"""WITH c AS ({_CODE}), v AS ({_VERTICES}), firsts AS (SELECT lower(name) AS low, arg_min(key, (ord IS NULL, coalesce(ord, 0), key)) AS target FROM v GROUP BY 1),
+  r AS (SELECT from_owner, v.key AS target, CAST(NULL AS VARCHAR) AS kind FROM (SELECT owner AS from_owner, unnest({_each(_DOTTED, 1)}) AS head FROM c) JOIN v ON lower(v.name) = lower(head) WHERE v.key <> from_owner
+  UNION ALL SELECT owner, {_TYPE_OF.replace('m.head', 'head')} || ':' || tail, 'collection' FROM (SELECT owner, unnest({_each(_COLLECTED, 1)}) AS head, unnest({_each(_COLLECTED, 2)}) AS tail FROM c)
+    WHERE {_TYPE_OF.replace('m.head', 'head')} || ':' || tail IN (SELECT key FROM v) AND {_TYPE_OF.replace('m.head', 'head')} || ':' || tail <> owner
+  UNION ALL SELECT owner, '{R.MOVEMENT_TYPE}:' || name, 'movement' FROM (SELECT owner, unnest({_each(_EDGE + f'Движения[.]({R.NAME_PART}+)', 1)}) AS name FROM c) WHERE '{R.MOVEMENT_TYPE}:' || name IN (SELECT key FROM v) AND '{R.MOVEMENT_TYPE}:' || name <> owner
+  UNION ALL SELECT owner, f.target, 'query' FROM (SELECT owner, unnest({_each(_SOURCES, 1)}) AS t FROM c) JOIN firsts f ON f.low = lower(split_part(t, '.', 2)))
+  SELECT * FROM r"""
+add("graph_ref_edges", lambda s, d: _G(s, d).ref_edges.groupBy("from_owner", "target", "kind").agg(F.count("*").alias("cnt")), f"SELECT from_owner, target, kind, count(*) AS cnt FROM ({_REFS}) GROUP BY ALL")
 _MOVES = r"regexp_extract_all(text, 'Движения\.([A-Za-zА-Яа-яЁё0-9_]+)', 1)"
 add("graph_movements", lambda s, d: _G(s, d).ref_edges.filter("kind = 'movement'").select("from_proc", "from_owner", "line_no", "target"), f"SELECT scope AS from_proc, owner AS from_owner, line_no, 'AccumulationRegister:' || m AS target FROM (SELECT *, unnest({_MOVES}) AS m FROM ({_SCOPED}) WHERE NOT bound) WHERE m IN (SELECT 'Supplier' || s_suppkey FROM supplier)")
 add("graph_undefined_refs", lambda s, d: graph.undefined_refs(_G(s, d).scoped, _G(s, d).vertices), f"SELECT 'Catalog' AS type, 'Нет' AS name, count(*) AS cnt FROM {lines_sql(ODS)} WHERE contains(text, 'Справочники.Нет') HAVING count(*) > 0")
-add("graph_resolved_calls", lambda s, d: _G(s, d).resolved_calls().select("from_module", "line_no", "pos", "callee", "resolved"))
-add("graph_calls", lambda s, d: _G(s, d).calls("ASIA"))
-add("graph_calls_all", lambda s, d: _G(s, d).calls("ASIA", limit=None))
-add("graph_search_all", lambda s, d: _G(s, d).search("eur", limit=None).select("key", "type", "name", "modules", "procedures"))
+_TEXT = r"substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 200)"
+_CALLS_SHOWN = _CALL_SQL.replace("line_no, pos, callee FROM (SELECT *", f"line_no, pos, callee, {_TEXT} AS text FROM (SELECT *", 1)
+assert _CALLS_SHOWN != _CALL_SQL
+_RESOLVED = f"""WITH p AS ({ORACLES['graph_procedures']}), calls AS ({_CALLS_SHOWN}),
+  here AS (SELECT module, lower(name) AS low, arg_min(fq, (module, line_no, fq)) AS fq FROM p GROUP BY ALL), there AS (SELECT lower(name) AS low, arg_min(fq, (module, line_no, fq)) AS fq FROM p WHERE starts_with(owner, 'CommonModule:') GROUP BY ALL)
+  SELECT c.*, coalesce(h.fq, t.fq) AS resolved FROM calls c LEFT JOIN p ON p.fq = c.from_proc LEFT JOIN here h ON h.module = p.module AND h.low = lower(c.callee) LEFT JOIN there t ON t.low = lower(c.callee)"""
+add("graph_resolved_calls", lambda s, d: _G(s, d).resolved_calls().select("from_module", "line_no", "pos", "callee", "resolved"), f"SELECT from_module, line_no, pos, callee, resolved FROM ({_RESOLVED})")
+
+
+def calls_sql(owner: str, limit: int | None) -> str:
+    first = f"LIMIT {limit}" if limit else ""
+    out = f"SELECT r.*, p.name AS proc FROM ({_RESOLVED}) r JOIN ({ORACLES['graph_procedures']}) p ON p.fq = r.from_proc WHERE p.owner = '{owner}' ORDER BY from_module, line_no, pos {first}"
+    into = f"""SELECT * FROM (SELECT from_module, callee, line_no, min(pos) AS pos, arg_min(from_owner, (pos, from_owner, from_proc, text)) AS o, arg_min(from_proc, (pos, from_owner, from_proc, text)) AS p,
+      arg_min(text, (pos, from_owner, from_proc, text)) AS t FROM ({_CALLS_SHOWN}) WHERE lower(callee) IN (SELECT lower(name) FROM ({ORACLES['graph_procedures']}) WHERE owner = '{owner}') GROUP BY from_module, callee, line_no)
+      ORDER BY from_module, line_no, pos, callee {first}"""
+    return f"""SELECT 'out' AS direction, proc, callee, resolved, NULL AS caller_owner, NULL AS caller_proc, from_module AS module, line_no, text FROM ({out})
+      UNION ALL SELECT 'in', NULL, callee, NULL, o, p, from_module, line_no, t FROM ({into})"""
+
+
+add("graph_calls", lambda s, d: _G(s, d).calls("ASIA"), calls_sql("Catalog:ASIA", 50))
+add("graph_calls_all", lambda s, d: _G(s, d).calls("ASIA", limit=None), calls_sql("Catalog:ASIA", None))
+
+
+def found_sql(q: str) -> str:
+    return f"""WITH v AS ({_VERTICES}), d AS (SELECT concat_ws(':', type, name) AS key, arg_min(description, ord) AS description FROM ({_OS}) GROUP BY 1)
+    SELECT key, type, name, (SELECT count(*) FROM ({ORACLES['graph_owners']}) o WHERE o.owner = v.key) AS modules,
+      (SELECT count(*) FROM ({_HEADS}) h JOIN ({ORACLES['graph_owners']}) o USING (path) WHERE o.owner = v.key) AS procedures FROM v LEFT JOIN d USING (key) WHERE contains(lower(name), '{q}') OR contains(lower(coalesce(description, '')), '{q}')"""
+
+
+add("graph_search_all", lambda s, d: _G(s, d).search("eur", limit=None).select("key", "type", "name", "modules", "procedures"), found_sql("eur"))
+add("graph_search_asia", lambda s, d: _G(s, d).search("asia", limit=None).select("key", "type", "name", "modules", "procedures"), found_sql("asia"))
 add("graph_search", lambda s, d: _G(s, d).search("eur").select("key", "type", "name", "modules", "procedures"), f"SELECT concat_ws(':', type, name) AS key, type, name, CAST(0 AS BIGINT) AS modules, CAST(0 AS BIGINT) AS procedures FROM ({_OS}) WHERE contains(lower(name), 'eur') OR contains(lower(description), 'eur')")
-add("graph_stats", lambda s, d: _G(s, d).stats())
-add("graph_impact_code", lambda s, d: _G(s, d).impact("ASIA", depth=2))
-add("graph_impact_code_all", lambda s, d: _G(s, d).impact("ASIA", depth=2, limit=None))
+add(
+    "graph_stats",
+    lambda s, d: _G(s, d).stats(),
+    f"SELECT (SELECT count(*) FROM ({_VERTICES})) AS vertices, (SELECT count(*) FROM ({ORACLES['graph_procedures']})) AS procedures, (SELECT count(*) FROM ({_CALL_SQL})) AS call_edges, (SELECT count(*) FROM ({_REFS})) AS ref_edges, (SELECT count(*) FROM ({ODS})) AS modules",
+)
 
 
-def impact_sql(start: str, depth: int) -> str:
-    return f"""WITH RECURSIVE e AS (SELECT DISTINCT from_owner, target FROM ({A.EDGES}) WHERE from_owner <> target), r(key, depth) AS (SELECT '{start}', 0 UNION SELECT from_owner, depth + 1 FROM r JOIN e ON target = key WHERE depth < {depth}),
-    b AS (SELECT key, min(depth) AS depth FROM r GROUP BY key) SELECT b.key, type, name, CAST(b.depth AS INTEGER) AS depth, min(p.key) AS reason_key FROM b JOIN e ON e.from_owner = b.key JOIN b p ON p.key = e.target AND p.depth = b.depth - 1 JOIN ({A.EDGE_VERTICES}) v ON v.key = b.key WHERE b.depth > 0 GROUP BY ALL"""
+def impact_sql(start: str, depth: int, edges: str = A.EDGES, vertices: str = A.EDGE_VERTICES) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT from_owner, target FROM ({edges}) WHERE from_owner <> target AND from_owner IN (SELECT key FROM ({vertices}))), r(key, depth) AS (SELECT '{start}', 0 UNION SELECT from_owner, depth + 1 FROM r JOIN e ON target = key WHERE depth < {depth}),
+    b AS (SELECT key, min(depth) AS depth FROM r GROUP BY key) SELECT b.key, type, name, CAST(b.depth AS INTEGER) AS depth, min(p.key) AS reason_key FROM b JOIN e ON e.from_owner = b.key JOIN b p ON p.key = e.target AND p.depth = b.depth - 1 JOIN ({vertices}) v ON v.key = b.key WHERE b.depth > 0 GROUP BY ALL"""
 
 
+add("graph_impact_code", lambda s, d: _G(s, d).impact("ASIA", depth=2), f"SELECT * FROM ({impact_sql('Catalog:ASIA', 2, _REFS, _VERTICES)}) ORDER BY depth, key LIMIT 100")
+add("graph_impact_code_all", lambda s, d: _G(s, d).impact("ASIA", depth=2, limit=None), impact_sql("Catalog:ASIA", 2, _REFS, _VERTICES))
 for _d in (2, 3):
     add(f"graph_impact_{_d}", lambda s, d, n=_d: graph.impact(A.sql(s, d, A.EDGES), A.sql(s, d, A.EDGE_VERTICES), "Region:0", n, None), impact_sql("Region:0", _d))
 add("graph_impact", lambda s, d: graph.impact(A.sql(s, d, A.EDGES), A.sql(s, d, A.EDGE_VERTICES), "Nation:3", 2, 100), f"SELECT * FROM ({impact_sql('Nation:3', 2)}) ORDER BY depth, key LIMIT 100")

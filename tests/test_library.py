@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,7 +75,7 @@ def test_graph_of_the_dump(spark, dump):
     assert tuple(g.stats().first()) == (3, 2, 3, len(edges), 2)
     with pytest.raises(ValueError):
         g.one("нет такого")
-    g.close()
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
 
 
 def test_impact_matches_a_plain_search(spark):
@@ -189,10 +190,27 @@ def test_registered_queries_run_all_patterns(spark):
     assert Counter(map(tuple, run("audit_query_antipatterns"))) == want and "select_all" in {k[4] for k in want}
 
 
+def test_look_ahead_as_sql():
+    words = ["ВЫБРАТЬ", "РАЗЛИЧНЫЕ", "ПЕРВЫЕ", "ПЕ", "РАЗ", "ИЗ", "ГДЕ", "Г", "ORDER", "ПЕРИОДА", "СГРУППИРОВАТЬ", "ПО", "HAVING", "Т.*", "Т.А", "Поле", "10", ",", "=", "(", "выбрать", "первые", "из"]
+    con = duckdb.connect()
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\n", ""]) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    texts += ["ВЫБРАТЬ " + "".join(rng.choice(words) + rng.choice([" ", "  "]) for _ in range(rng.randint(0, 4))) + "ИЗ Т " + "".join(rng.choice(words) + rng.choice([" ", "  "]) for _ in range(rng.randint(0, 4))) for _ in range(4000)]
+    gap = lambda: rng.choice([" ", "  ", "\n"])
+    texts += [f"ВЫБРАТЬ{gap()}{rng.choice(words)}{gap()}{rng.choice(['', 'Поле ', ', А '])}ИЗ{gap()}Т{gap()}{rng.choice(['ГДЕ', 'где', 'Г'])}{gap()}Поле{rng.choice(['', ' '])}=" for _ in range(2000)]
+    con.execute("CREATE TABLE q (i INT, query_text VARCHAR)")
+    con.executemany("INSERT INTO q VALUES (?, ?)", list(enumerate(texts)))
+    for name, _, pattern, *_ in R.QUERY_PATTERNS:
+        if "(?!" in pattern:
+            got = {r[0] for r in con.execute(f"SELECT i FROM q WHERE {catalog._hit_sql(name)}").fetchall()}
+            want = {i for i, t in enumerate(texts) if re.search(pattern, t, re.I | re.M)}
+            assert got == want and want and len(want) < len(texts), (name, [texts[i] for i in sorted(got ^ want)[:3]])
+
+
 def test_personal_data_of_documents_is_counted_whole(spark, tmp_path):
     texts = ["ИНН 7701234567, 770123456789 и 123456789012345", "паспорт 123-45-67-8901 fio", "нет"]
     spark.createDataFrame([(i, t, "s", "ru") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {tuple(r) for r in catalog.QUERIES["audit_pi_data"](spark, str(tmp_path)).collect()}
+    got = {(r.pattern, r.cnt) for r in catalog.QUERIES["audit_pi_data"](spark, str(tmp_path)).collect()}
     assert got == {(n, c) for n, p in R.PERSONAL if (c := sum(len(re.findall(p, t, re.I)) for t in texts))} and ("INN/KPP number", 2) in got
 
 
