@@ -91,6 +91,12 @@ def e1_e9(modules: DataFrame, max_modules: int | None = None) -> DataFrame:
     return leaks.unionByName(files)
 
 
+def e1_e9_summary(modules: DataFrame, max_modules: int | None = None) -> DataFrame:
+    """files_scanned, findings: how many files the five rule groups looked at, and what they found in all."""
+    scanned = modules.agg(F.count("*").alias("n")).select((F.least("n", F.lit(max_modules)) if max_modules else F.col("n")).cast("long").alias("files_scanned"))
+    return scanned.crossJoin(e1_e9(modules, max_modules).agg(F.count("*").alias("findings")))  # one row each
+
+
 def _per_file(modules: DataFrame, flags: list[tuple[Column, dict[str, str]]]) -> DataFrame:
     return modules.select("path", T.hits(flags).alias("h")).select("path", "h.issue", "h.defect")
 

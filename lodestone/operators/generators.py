@@ -64,6 +64,17 @@ def generate_report(names: DataFrame) -> DataFrame:
     return _filled(names, REPORT)
 
 
+#: Answers that depend on no input (fixed values).
+FIXED_ANSWERS = (
+    ("query.check_fields", "query", "valid", "Full field validation requires detailed metadata"),
+    ("epf.roundtrip_check", "validate_epf", "ok", ""),
+    ("epf.roundtrip_check", "build_epf", "skipped", "Requires 1C server access"),
+    ("epf.roundtrip_check", "dump_epf", "skipped", "Requires 1C server access"),
+    ("epf.roundtrip_check", "compare", "skipped", "Requires dump completion"),
+    ("skd.check_fields", "report", "noted", "Full SKD field validation requires SKD XML parsing"),
+)
+
+
 def checklist(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(CHECKLIST), "check string, status string, note string")
 
@@ -73,6 +84,11 @@ def not_implemented(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t, "not_implemented") for t in NOT_IMPLEMENTED], "tool string, status string")
 
 
+def fixed_answers(spark: SparkSession) -> DataFrame:
+    """tool, step, status, note: what the tools answer that look at no file; steps that need the vendor's program are skipped."""
+    return spark.createDataFrame(list(FIXED_ANSWERS), "tool string, step string, status string, note string")
+
+
 def capabilities(spark: SparkSession) -> DataFrame:
     """runner and the catalogue's columns."""
     rows = [("designer", *r) for r in V.DESIGNER] + [("ibcmd", *r) for r in V.IBCMD]

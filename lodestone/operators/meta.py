@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import audit
 from . import rules as R
 
 BASIC = ("type_dir", "type", "name", "code", "description")
@@ -15,6 +16,12 @@ def tree(objects: DataFrame, type_dir: str = "") -> DataFrame:
     return (objects.filter(F.col("type_dir") == type_dir) if type_dir else objects).select(*BASIC)
 
 
+def tree_members(objects: DataFrame) -> DataFrame:
+    """The tree with the numbers of forms and commands (columns forms and commands of the objects)."""
+    size = lambda c: F.greatest(F.size(F.coalesce(c, F.array().cast("array<string>"))), F.lit(0)).cast("long")
+    return objects.select(*BASIC, size(F.col("forms")).alias("n_forms"), size(F.col("commands")).alias("n_commands"))
+
+
 def tree_counts(objects: DataFrame) -> DataFrame:
     return objects.groupBy("type_dir", "type").agg(F.count("*").alias("objects"))
 
@@ -53,6 +60,49 @@ def structure(objects: DataFrame, members: DataFrame, name: str) -> DataFrame:
     return members.join(key, ["type_dir", "object"]).select("object", "section", "pos", "member_kind", "name", "type", "type_uri", quals.alias("qualifiers"), "description")
 
 
+def full_structure(objects: DataFrame, members: DataFrame, modules: DataFrame, listed: DataFrame, name: str) -> DataFrame:
+    """object, part, section, name, type, detail of the resolved object: its members, its modules, and of forms, commands and
+    templates those that its XML names, or else the folders of the dump (listed: type_dir, object, group, name)."""
+    key = resolve(objects, name).select("type_dir", F.col("name").alias("object"))
+    null = F.lit(None).cast("string")
+    own = structure(objects, members, name).select("object", F.col("member_kind").alias("part"), "section", "name", "type", F.col("qualifiers").alias("detail"))
+    of = lambda df: df.join(F.broadcast(key), ["type_dir", "object"])  # noqa: E731  one row
+    files = of(object_modules(objects, modules).withColumnRenamed("name", "object")).select("object", F.lit("Module").alias("part"), null.alias("section"), F.col("path").alias("name"), F.col("module_type").alias("type"), F.col("content_length").cast("string").alias("detail"))
+    kinds = F.create_map(*[F.lit(x) for kv in R.MEMBER_GROUPS.items() for x in kv])
+    folders = of(listed).select("object", F.try_element_at(kinds, "group").alias("part"), null.alias("section"), "name", F.lit("").alias("type"), F.lit("folder").alias("detail")).filter("part IS NOT NULL")
+    named = own.filter("section IS NULL").select("part").distinct()
+    return own.unionByName(files).unionByName(folders.join(named, "part", "left_anti").select(*own.columns))
+
+
+def dependencies(objects: DataFrame, members: DataFrame, modules: DataFrame, listed: DataFrame, name: str, direction: str = "references") -> DataFrame:
+    """What an object is made of (its full structure), or, for 'referenced_by', path, line_no, text of the lines that name it."""
+    return audit.find_refs(modules, name) if direction == "referenced_by" else full_structure(objects, members, modules, listed, name)
+
+
+def cross_reference(objects: DataFrame, modules: DataFrame, listing: DataFrame, name: str) -> DataFrame:
+    """kind (form, module, reference), path, line_no, text for the first object of exactly that name: the form files below its
+    folder, its modules, and the lines of code that name it. No rows without such an object."""
+    key = F.broadcast(objects.filter(F.col("name") == name).orderBy("ord").limit(1).select("type_dir", "name"))
+    p = F.split("rel_path", "/")
+    forms = listing.filter(F.element_at(p, -1) == "Form.xml").select(F.element_at(p, 1).alias("type_dir"), F.try_element_at(p, F.lit(2)).alias("name"), "rel_path", F.element_at(p, F.size(p) - 1).alias("form")).join(key, ["type_dir", "name"])
+    none = F.lit(None)
+    rows = forms.select(F.lit("form").alias("kind"), F.col("rel_path").alias("path"), none.cast("int").alias("line_no"), F.col("form").alias("text"))
+    rows = rows.unionByName(object_modules(objects, modules).join(key, ["type_dir", "name"]).select(F.lit("module").alias("kind"), "path", none.cast("int").alias("line_no"), F.col("module_type").alias("text")))
+    refs = audit.find_refs(modules, name).crossJoin(key.select("name")).select(F.lit("reference").alias("kind"), "path", "line_no", "text")  # one row or none
+    return rows.unionByName(refs)
+
+
+def report_structure(objects: DataFrame, name: str) -> DataFrame:
+    """The first object of exactly that name with its forms."""
+    return objects.filter(F.col("name") == name).orderBy("ord").limit(1).select(*BASIC, "forms")
+
+
+def texts_compare(one: DataFrame, two: DataFrame) -> DataFrame:
+    """rel_path, different, size1, size2 (characters) of the texts that both listings (rel_path, content) hold."""
+    both = one.select("rel_path", F.col("content").alias("a")).join(two.select("rel_path", F.col("content").alias("b")), "rel_path")
+    return both.select("rel_path", (F.col("a") != F.col("b")).alias("different"), F.length("a").cast("long").alias("size1"), F.length("b").cast("long").alias("size2"))
+
+
 def object_modules(objects: DataFrame, modules: DataFrame) -> DataFrame:
     """type_dir, name, path, content_length, module_type of every object's modules: an equi-join on the first two segments."""
     parts = F.split("path", "/")
@@ -70,9 +120,10 @@ def module_type(path: Column) -> Column:
     return out
 
 
-def orphans(objects: DataFrame) -> DataFrame:
-    """Objects outside all subsystems. Without any membership the question has no answer, and that is an error."""
-    if objects.filter(F.coalesce("subsystem", F.lit("")) != "").isEmpty():
+def orphans(objects: DataFrame, recorded: bool = False) -> DataFrame:
+    """Objects outside all subsystems. Where no object has a subsystem and the dump records no membership either (recorded,
+    files.membership_recorded), the question has no answer, and that is an error."""
+    if not recorded and objects.filter(F.coalesce("subsystem", F.lit("")) != "").isEmpty():
         raise ValueError("subsystem membership is not recorded in this dump; objects cannot be classified")
     return objects.filter((F.coalesce("subsystem", F.lit("")) == "") & ~F.col("type").isin(*R.NOT_ORPHANS)).select(*BASIC)
 
@@ -118,6 +169,12 @@ def config_info(objects: DataFrame, modules: DataFrame) -> DataFrame:
     return both.withColumn("avg_modules_per_object", F.round(F.col("total_modules") / F.greatest("total_objects", F.lit(1)), 6))
 
 
+def config_lists(objects: DataFrame, subsystems: DataFrame) -> DataFrame:
+    """kind, name: the metadata types and the subsystems of a configuration."""
+    types = objects.select(F.lit("type").alias("kind"), F.col("type_dir").alias("name")).distinct()
+    return types.unionByName(subsystems.select(F.lit("subsystem").alias("kind"), "name").distinct())
+
+
 def compare(one: DataFrame, two: DataFrame) -> DataFrame:
     """name, change (added, removed) between the name sets of two snapshots."""
     sides = one.select("name", F.lit(1).alias("s")).unionByName(two.select("name", F.lit(2).alias("s"))).groupBy("name").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))

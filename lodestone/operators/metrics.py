@@ -74,9 +74,11 @@ def quality_metrics(modules: DataFrame) -> DataFrame:
 
 
 def quality_trend(snapshots: DataFrame) -> DataFrame:
-    """snapshot, lines, files of modules with a column snapshot."""
+    """snapshot, lines, files of modules with a column snapshot, and what can be said of a trend over all snapshots."""
     n = F.size(F.split("content", "\n", -1))
-    return snapshots.groupBy("snapshot").agg(F.sum(n).cast("long").alias("lines"), F.count("*").alias("files"))
+    per = snapshots.groupBy("snapshot").agg(F.sum(n).cast("long").alias("lines"), F.count("*").alias("files"))
+    several = F.count("*").over(Window.partitionBy(F.lit(0))) > 1  # one row per snapshot
+    return per.withColumn("trend", F.when(several, "compare snapshots").otherwise("insufficient_data"))
 
 
 def module_list(modules: DataFrame) -> DataFrame:

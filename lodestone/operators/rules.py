@@ -92,6 +92,9 @@ MODULE_KINDS = (
     (("ExternalConnection",), "ExternalConnectionModule"), (("Session",), "SessionModule"),
 )
 
+#: Folders of an object and what they hold.
+MEMBER_GROUPS = {"Forms": "Form", "Commands": "Command", "Templates": "Template"}
+
 # Graph scanner patterns.
 NAME, NAME_PART = "[A-Za-zА-Яа-яЁё_][A-Za-zА-Яа-яЁё0-9_]*", "[A-Za-zА-Яа-яЁё0-9_]"
 PROCEDURE = rf"^\s*(?:процедура|функция|proc|func)\s+({NAME_PART}+)"

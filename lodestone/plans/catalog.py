@@ -91,7 +91,7 @@ add(
     lambda s, d: metrics.quality_metrics(EV(s, d)),
     f"SELECT *, round(total_lines / greatest(total_functions, 1), 6) AS avg_loc_per_function FROM (SELECT count(*) AS total_files, CAST(sum(lines) AS BIGINT) AS total_lines, CAST(sum(functions) AS BIGINT) AS total_functions, max(max_complexity) AS max_cyclomatic_complexity FROM ({metrics_sql(EVS)}))",
 )
-add("quality_trend", lambda s, d: metrics.quality_trend(EV(s, d).select(F.lit("a").alias("snapshot"), "content").unionByName(OD(s, d).select(F.lit("b").alias("snapshot"), "content"))), f"SELECT snapshot, CAST(sum(len({S})) AS BIGINT) AS lines, count(*) AS files FROM (SELECT 'a' AS snapshot, content FROM ({EVS}) UNION ALL SELECT 'b', content FROM ({ODS})) GROUP BY snapshot")
+add("quality_trend", lambda s, d: metrics.quality_trend(EV(s, d).select(F.lit("a").alias("snapshot"), "content").unionByName(OD(s, d).select(F.lit("b").alias("snapshot"), "content"))), f"SELECT snapshot, CAST(sum(len({S})) AS BIGINT) AS lines, count(*) AS files FROM (SELECT 'a' AS snapshot, content FROM ({EVS}) UNION ALL SELECT 'b', content FROM ({ODS})) GROUP BY snapshot".replace("AS files FROM", "AS files, 'compare snapshots' AS trend FROM"))
 add("module_list", lambda s, d: metrics.module_list(EV(s, d)), f"SELECT path, len({S}) AS lines, len(list_filter({S}, lambda x: contains(x, 'Процедура') OR contains(x, 'Функция'))) AS functions FROM ({EVS})")
 add("config_largest_modules", lambda s, d: meta.largest(metrics.module_list(EV(s, d))), f"SELECT path, len({S}) AS lines, len(list_filter({S}, lambda x: contains(x, 'Процедура') OR contains(x, 'Функция'))) AS functions FROM ({EVS}) ORDER BY lines DESC, path LIMIT 20")
 _TESTED = "SELECT concat('m/', CASE WHEN user_id % 5 = 0 THEN 'Тест' ELSE '' END, CASE WHEN user_id % 7 = 0 THEN 'test' WHEN user_id % 11 = 0 THEN 'TEST' ELSE '' END, user_id, '.bsl') AS path FROM events"
@@ -162,6 +162,7 @@ def e1_e9_sql(modules: str) -> str:
 
 
 add("audit_e1_e9", lambda s, d: audit.e1_e9(EV(s, d)), e1_e9_sql(EVS))
+add("audit_e1_e9_summary", lambda s, d: audit.e1_e9_summary(EV(s, d)), f"SELECT (SELECT count(*) FROM ({EVS})) AS files_scanned, (SELECT count(*) FROM ({e1_e9_sql(EVS)})) AS findings")
 add("epf_validate_rules", lambda s, d: audit.e1_e9(OD(s, d)), e1_e9_sql(ODS))
 add("audit_rnd_flag", lambda s, d: audit.rnd_flag(OD(s, d)), f"SELECT path, 'Write event handler without loading flag check' AS issue, 'loading_flag' AS defect FROM ({ODS}) WHERE {has(['ПриЗаписи', 'ПередЗаписью'])} AND NOT contains(content, 'Загрузка') AND NOT contains(lower(content), 'loading')")
 _B, _E = "contains(content, 'НачатьТранзакцию')", "contains(content, 'ЗафиксироватьТранзакцию')"
@@ -374,7 +375,26 @@ def _dump(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 _KIND = "CASE " + " ".join(f"WHEN {' AND '.join(f'''contains(path, '{w}')''' for w in ws)} THEN '{k}'" for ws, k in R.MODULE_KINDS) + " ELSE 'Unknown' END"
 add("meta_object_modules", lambda s, d: meta.object_modules(_O(s, d), OD(s, d)), f"SELECT o.type_dir, o.name, path, length(content) AS content_length, {_KIND} AS module_type FROM ({ODS}) m JOIN ({_OS}) o ON o.type_dir = split_part(path, '/', 1) AND o.name = split_part(path, '/', 2)")
-add("meta_cross_ref", lambda s, d: meta.object_modules(_O(s, d).filter("name = 'ASIA'"), OD(s, d)).select("path", F.lit("module").alias("kind")).unionByName(audit.ref_counts(OD(s, d), "ASIA").select("path", F.lit("reference").alias("kind"))), f"SELECT path, 'module' AS kind FROM ({ODS}) WHERE starts_with(path, 'Catalogs/ASIA/') UNION ALL SELECT DISTINCT path, 'reference' FROM {lines_sql(ODS)} WHERE contains(lower(text), 'asia') AND {NOT_COMMENT}")
+_LISTING = "SELECT concat(CASE WHEN n_nationkey % 2 = 0 THEN 'Catalogs/ASIA/Forms/Form' ELSE 'Catalogs/EUROPE/Forms/Form' END, n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN '/Ext/Form.xml' ELSE '/Module.bsl' END) AS rel_path FROM nation"
+_LISTED = "SELECT 'Catalogs' AS type_dir, 'ASIA' AS object, CASE WHEN n_nationkey % 3 = 0 THEN 'Forms' WHEN n_nationkey % 3 = 1 THEN 'Templates' ELSE 'Other' END AS \"group\", n_name AS name FROM nation"
+_MEMBERS = "SELECT 'Catalogs' AS type_dir, 'ASIA' AS object, CAST(n_nationkey AS INT) AS pos, CAST(NULL AS STRING) AS section, CASE WHEN n_nationkey = 0 THEN 'Template' ELSE 'Attribute' END AS member_kind, n_name AS name, '' AS type, '' AS type_uri, '' AS description FROM nation WHERE n_nationkey < 4"
+_members = lambda s, d: A.sql(s, d, _MEMBERS).withColumn("type_qualifiers", F.create_map(F.lit("Length"), F.lit("9")))
+_listed = lambda s, d: A.sql(s, d, _LISTED.replace(chr(34), "`"))
+_REF_LINES = f"SELECT path, line_no, {STRIPPED} AS text FROM {lines_sql(ODS)} WHERE contains(lower(text), 'asia') AND {NOT_COMMENT}"
+add(
+    "meta_cross_ref",
+    lambda s, d: meta.cross_reference(_O(s, d), OD(s, d), A.sql(s, d, _LISTING), "ASIA"),
+    f"""SELECT 'form' AS kind, rel_path AS path, CAST(NULL AS INTEGER) AS line_no, split_part(rel_path, '/', -2) AS text FROM ({_LISTING}) WHERE starts_with(rel_path, 'Catalogs/ASIA/') AND ends_with(rel_path, '/Form.xml')
+    UNION ALL SELECT 'module', path, NULL, {_KIND} FROM ({ODS}) WHERE starts_with(path, 'Catalogs/ASIA/') UNION ALL SELECT 'reference', path, line_no, text FROM ({_REF_LINES})""",
+)
+_FULL = f"""SELECT 'ASIA' AS object, member_kind AS part, CAST(NULL AS VARCHAR) AS section, name, '' AS type, 'Length=9' AS detail FROM ({_MEMBERS.replace('STRING', 'VARCHAR')})
+  UNION ALL SELECT 'ASIA', 'Module', NULL, path, {_KIND}, CAST(length(content) AS VARCHAR) FROM ({ODS}) WHERE starts_with(path, 'Catalogs/ASIA/')
+  UNION ALL SELECT 'ASIA', 'Form', NULL, name, '', 'folder' FROM ({_LISTED}) WHERE "group" = 'Forms'"""
+add("meta_structure_full", lambda s, d: meta.full_structure(_O(s, d), _members(s, d), OD(s, d), _listed(s, d), "catalogs.asia"), _FULL)
+add("meta_dependencies_references", lambda s, d: meta.dependencies(_O(s, d), _members(s, d), OD(s, d), _listed(s, d), "ASIA"), _FULL)
+add("meta_tree_members", lambda s, d: meta.tree_members(_O(s, d).withColumns({"forms": F.expr("CASE WHEN length(name) % 2 = 0 THEN array(name) END"), "commands": F.expr("array(name, code)")})), f"SELECT type_dir, type, name, code, description, CAST(CASE WHEN length(name) % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_forms, CAST(2 AS BIGINT) AS n_commands FROM ({_OS})")
+_SUBSYSTEMS = "SELECT concat('Регион', r_regionkey) AS name FROM region"
+add("config_lists", lambda s, d: meta.config_lists(_O(s, d), A.sql(s, d, _SUBSYSTEMS)), f"SELECT DISTINCT 'type' AS kind, type_dir AS name FROM ({_OS}) UNION ALL SELECT 'subsystem', name FROM ({_SUBSYSTEMS})")
 _OUT = f"coalesce(subsystem, '') = '' AND type NOT IN ({', '.join(f'{chr(39)}{x}{chr(39)}' for x in R.NOT_ORPHANS)})"
 add("meta_find_orphans", lambda s, d: meta.orphans(_O(s, d)), f"SELECT type_dir, type, name, code, description FROM ({_OS}) WHERE {_OUT}")
 add("meta_subsystem_map", lambda s, d: meta.subsystem_map(_O(s, d)), f"SELECT subsystem, name FROM ({_OS}) WHERE subsystem <> ''")
@@ -383,8 +403,8 @@ for _name, _f, _w in (("audit_rls_roles", meta.roles, "contains(type, 'Role') OR
 add("audit_exchange_safety", lambda s, d: meta.exchange_safety(_O(s, d)), f"SELECT name AS plan, type, 'Review rules for cascade handling and idempotency' AS note FROM ({_OS}) WHERE contains(type, 'ExchangePlan') OR contains(name, 'Обмен')")
 add("query_check_dimensions", lambda s, d: meta.registers(_O(s, d)), f"SELECT name FROM ({_OS}) WHERE contains(type, 'Register') OR contains(name, 'Регистр')")
 add("form_command_audit", lambda s, d: meta.command_audit(_O(s, d).withColumn("commands", F.expr("CASE WHEN length(name) % 3 = 0 THEN array() ELSE array(name, code) END"))), f"SELECT name, type, CAST(2 AS BIGINT) AS commands FROM ({_OS}) WHERE length(name) % 3 <> 0")
-add("form_structure", lambda s, d: meta.form_structure(OD(s, d), "form3"), f"SELECT path FROM ({ODS}) WHERE contains(lower(path), 'form3') AND contains(path, 'Form')")
-add("skd_structure", lambda s, d: meta.tree(_O(s, d)).filter("name = 'ASIA'").select("name", "type"), f"SELECT name, type FROM ({_OS}) WHERE name = 'ASIA'")
+add("form_structure", lambda s, d: meta.form_structure(OD(s, d), "form2"), f"SELECT path FROM ({ODS}) WHERE contains(lower(path), 'form2') AND contains(path, 'Form')")
+add("skd_structure", lambda s, d: meta.report_structure(_O(s, d).withColumn("forms", F.array("code")), "ASIA").withColumn("forms", F.array_join("forms", ",")), f"SELECT type_dir, type, name, code, description, code AS forms FROM ({_OS}) WHERE name = 'ASIA'")
 add("config_generate_report", lambda s, d: meta.config_info(_O(s, d), EV(s, d)), f"SELECT total_objects, metadata_types, total_modules, round(total_modules / greatest(total_objects, 1), 6) AS avg_modules_per_object FROM (SELECT count(*) AS total_objects, count(DISTINCT type_dir) AS metadata_types FROM ({_OS})), (SELECT count(*) AS total_modules FROM ({EVS}))")
 add("config_risk_areas", lambda s, d: meta.risk_areas(_O(s, d)), f"SELECT count(*) FILTER ({_OUT}) AS orphaned_objects, count(*) FILTER (subsystem <> '') = 0 AS unmapped_subsystems FROM ({_OS})")
 
@@ -399,7 +419,8 @@ for _name in ("config_diff", "config_added_objects"):
     add(_name, lambda s, d: meta.diff(*_two(s, d)), f"{_CMP} UNION ALL SELECT a.name, 'changed' FROM ({_1}) a JOIN ({_2}) b USING (name) WHERE a.code IS DISTINCT FROM b.code OR a.description IS DISTINCT FROM b.description")
 _SUFFIX = "lower(split_part(rel_path, '.', -1)) IN ('bsl', 'xml', 'frm')"
 add("epf_compare", lambda s, d: meta.files_compare(A.sql(s, d, A.FILES_1), A.sql(s, d, A.FILES_2)), f"SELECT rel_path, CASE WHEN a.content IS NULL THEN 'added' WHEN b.content IS NULL THEN 'removed' ELSE 'modified' END AS change FROM (SELECT * FROM ({A.FILES_1}) WHERE {_SUFFIX}) a FULL JOIN (SELECT * FROM ({A.FILES_2}) WHERE {_SUFFIX}) b USING (rel_path) WHERE a.content IS DISTINCT FROM b.content")
-add("skd_compare", lambda s, d: meta.files_compare(A.sql(s, d, A.FILES_1).filter("rel_path LIKE 'src1/%'"), A.sql(s, d, A.FILES_2).filter("rel_path LIKE 'src1/%'")).groupBy("change").agg(F.count("*").alias("cnt")), f"SELECT change, count(*) AS cnt FROM (SELECT CASE WHEN a.content IS NULL THEN 'added' WHEN b.content IS NULL THEN 'removed' ELSE 'modified' END AS change FROM (SELECT * FROM ({A.FILES_1}) WHERE {_SUFFIX} AND rel_path LIKE 'src1/%') a FULL JOIN (SELECT * FROM ({A.FILES_2}) WHERE {_SUFFIX} AND rel_path LIKE 'src1/%') b USING (rel_path) WHERE a.content IS DISTINCT FROM b.content) GROUP BY change")
+add("skd_compare", lambda s, d: meta.texts_compare(A.sql(s, d, A.FILES_1), A.sql(s, d, A.FILES_2)), f"SELECT rel_path, a.content <> b.content AS different, length(a.content) AS size1, length(b.content) AS size2 FROM ({A.FILES_1}) a JOIN ({A.FILES_2}) b USING (rel_path)")
+add("file_hashes", lambda s, d: files.file_hashes(A.sql(s, d, A.FILES_1)), f"SELECT rel_path, sha256(content) AS sha256 FROM ({A.FILES_1})")
 
 # Artifacts and listings
 
@@ -559,6 +580,7 @@ for _t in generators.TESTS:
 add("bsl_generate_print_form", lambda s, d: generators.generate_print_form(A.sql(s, d, _OBJ)), _texts({"print_form": generators.PRINT_FORM}))
 add("bsl_generate_report", lambda s, d: generators.generate_report(A.sql(s, d, _OBJ)), _texts(generators.REPORT))
 add("config_checklist", lambda s, d: generators.checklist(s), f"SELECT * FROM (VALUES {_rows(generators.CHECKLIST)}) t(\"check\", status, note)")
+add("fixed_answers", lambda s, d: generators.fixed_answers(s), f"SELECT * FROM (VALUES {_rows(generators.FIXED_ANSWERS)}) t(tool, step, status, note)")
 add("not_implemented", lambda s, d: generators.not_implemented(s), f"SELECT * FROM (VALUES {_rows([(t, 'not_implemented') for t in generators.NOT_IMPLEMENTED])}) t(tool, status)")
 for _r, _c in (("designer", V.DESIGNER), ("ibcmd", V.IBCMD)):
     add(f"{_r}_capabilities", lambda s, d, r=_r: generators.capabilities(s).filter(F.col("runner") == r).drop("runner"), "SELECT name, executable, command, mutates = 'True' AS mutates_infobase, needs = 'True' AS needs_exclusive_access, description, source FROM (VALUES {}) t(name, executable, command, mutates, needs, description, source)".format(_rows(_c)))

@@ -30,12 +30,35 @@ def text_of(content: Column) -> Column:
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\r\n?", "\n")
 
 
+#: What the bytes from 128 on are in the fallback encoding.
+_UPPER = bytes(range(128, 256))
+
+
+def decoded(content: Column) -> Column:
+    """A tool's output: UTF-8 if it is valid, else code page 866, in which every byte means something."""
+    latin = F.decode(content, "ISO-8859-1")
+    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.translate(latin, _UPPER.decode("latin-1"), _UPPER.decode("cp866")))
+
+
+def file_hashes(files: DataFrame) -> DataFrame:
+    """rel_path, sha256 of files (rel_path, content)."""
+    return files.select("rel_path", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"))
+
+
+def write_json(result: DataFrame, path: str) -> None:
+    """A result as JSON lines with all its fields, nulls included."""
+    result.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
 def binary_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(require(path))
 
 
 def load_modules(spark: SparkSession, path: str) -> DataFrame:
-    """modules(path, content) of all *.bsl files below a folder; path is relative to it."""
+    """modules(path, content) of all *.bsl files below a folder, path relative to it; or of one such file."""
+    if require(path).lower().endswith(".bsl"):
+        one = spark.read.format("binaryFile").load(path)
+        return one.select(F.element_at(F.split(_relative(""), "/"), -1).alias("path"), text_of(F.col("content")).alias("content"))
     return binary_files(spark, path, "*.bsl").select(_relative(path).alias("path"), text_of(F.col("content")).alias("content"))
 
 
@@ -116,7 +139,8 @@ def _members(holder, section: str | None) -> list[dict]:
 
 
 def parse_object(content: bytes, stem: str) -> dict | None:
-    """Name, code, description and members of one object's XML, in document order; None if it is malformed."""
+    """Name, code, description and members of one object's XML, in document order; None if it is malformed. What has no
+    properties is described by the root's attributes and its Description."""
     try:
         root = ET.fromstring(content)
     except ET.ParseError:
@@ -124,7 +148,12 @@ def parse_object(content: bytes, stem: str) -> dict | None:
     inner = root[0] if len(root) else root
     props = _properties(inner)
     value = lambda k: _text(props.get(k))
-    return {"name": value("Name") or stem, "code": value("Code"), "description": value("Description"), "members": _members(inner, None)}
+    return {
+        "name": value("Name") or root.get("Name") or stem,
+        "code": value("Code") or root.get("Code", ""),
+        "description": value("Description") or _text(_child(root, "Description")),
+        "members": _members(inner, None),
+    }
 
 
 _MEMBER = pa.struct([("section", pa.string()), ("member_kind", pa.string()), ("name", pa.string()), ("type", pa.string()), ("type_uri", pa.string()), ("type_qualifiers", pa.map_(pa.string(), pa.string())), ("description", pa.string())])
@@ -182,10 +211,40 @@ def load_objects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return objects, members
 
 
+def load_subsystems(spark: SparkSession, path: str) -> DataFrame:
+    """name, description of the files directly below Subsystems, by the root's attributes; '' without a name."""
+    files = load_contents(spark, path).filter(F.col("rel_path").rlike(r"^Subsystems/[^/]*\.xml$"))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for content in b.column("content").to_pylist():
+                try:
+                    root = ET.fromstring(content)
+                except ET.ParseError:
+                    continue
+                rows.append((root.get("Name", ""), root.findtext("Description", "")))
+            columns = list(zip(*rows)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["name", "description"])
+
+    return files.select("content").mapInArrow(run, "name string, description string")
+
+
+def membership_recorded(listing: DataFrame) -> bool:
+    """Whether a dump says which objects belong to a subsystem: some Content.xml lies below Subsystems."""
+    return not listing.filter(F.col("rel_path").rlike("^Subsystems/(.*/)?Content\\.xml$")).isEmpty()
+
+
 def listed_members(listing: DataFrame, group: str) -> DataFrame:
     """type_dir, object, name: the folders below an object's Forms, Commands or Templates, for XML that lists none."""
+    return listed_groups(listing).filter(F.col("group") == group).drop("group")
+
+
+def listed_groups(listing: DataFrame) -> DataFrame:
+    """type_dir, object, group, name: all folders two levels below an object's own."""
     p = F.split("rel_path", "/")
-    return listing.filter((F.size(p) > 4) & (F.try_element_at(p, F.lit(3)) == group)).select(F.element_at(p, 1).alias("type_dir"), F.element_at(p, 2).alias("object"), F.element_at(p, 4).alias("name")).distinct()
+    deep = listing.filter(F.size(p) > 4)
+    return deep.select(F.element_at(p, 1).alias("type_dir"), F.element_at(p, 2).alias("object"), F.element_at(p, 3).alias("group"), F.element_at(p, 4).alias("name")).distinct()
 
 
 # corpora and registries

@@ -1,5 +1,7 @@
 """Operators of the library on hand-made inputs; expected rows follow from the rules."""
 
+import hashlib
+import json
 import random
 import re
 from collections import Counter
@@ -39,13 +41,18 @@ def dump(tmp_path_factory):
     put("Reports/Отчет/Другой.xml", obj("Report", "Другой"))
     put("Reports/Отчет/Отчет.xml", obj("Report", "Отчет"))
     put("Ext/X.xml", obj("Catalog", "Нет"))
+    put("CommonModules/Общий.xml", '<CommonModule Name="ОбщийМодуль" Code="К1"><Description>описание</Description></CommonModule>')
+    put("Subsystems/Продажи.xml", '<Subsystem Name="Продажи"><Description>все о продажах</Description></Subsystem>')
+    put("Subsystems/Битая.xml", "<Subsystem")
     return str(root)
 
 
 def test_dump_objects_and_members(spark, dump):
     objects, members = files.load_objects(spark, dump)
     got = {(r.type_dir, r.type, r.name) for r in objects.collect()}
-    assert got == {("Catalogs", "Catalog", "МойСправочник"), ("AccumulationRegisters", "AccumulationRegister", "МойРегистр"), ("Reports", "Report", "Отчет")}
+    assert got == {("Catalogs", "Catalog", "МойСправочник"), ("AccumulationRegisters", "AccumulationRegister", "МойРегистр"), ("Reports", "Report", "Отчет"), ("CommonModules", "CommonModule", "ОбщийМодуль"), ("Subsystems", "Subsystems", "Продажи")}
+    assert [(r.code, r.description) for r in objects.filter("name = 'ОбщийМодуль'").collect()] == [("К1", "описание")]
+    assert [tuple(r) for r in files.load_subsystems(spark, dump).collect()] == [("Продажи", "все о продажах")]
     rows = meta.structure(objects, members, "accumulationregisters.мойрегистр").orderBy("pos").collect()
     assert [(r.section, r.member_kind, r.name, r.type, r.qualifiers) for r in rows] == [(None, "Dimension", "Склад", "CatalogRef.МойСправочник", ""), (None, "Resource", "Количество", "decimal", "Digits=10"), (None, "TabularSection", "Строки", "", ""), ("Строки", "Attribute", "А", "", ""), (None, "Command", "Печать", "", "")]
     assert [r.name for r in files.listed_members(files.load_listing(spark, dump), "Forms").collect()] == ["ФормаЭлемента"]
@@ -55,6 +62,46 @@ def test_dump_objects_and_members(spark, dump):
         meta.search(objects, "x", "Nonsense")
     with pytest.raises(ValueError):
         meta.orphans(objects)
+    assert not files.membership_recorded(files.load_listing(spark, dump))
+    assert {r.name for r in meta.orphans(objects, recorded=True).collect()} == {"МойСправочник", "МойРегистр", "Отчет", "Продажи"}
+    assert files.membership_recorded(spark.createDataFrame([("Subsystems/А/Ext/Content.xml",), ("x/y",)], "rel_path string"))
+
+
+def test_structure_and_references_of_the_dump(spark, dump):
+    objects, members = files.load_objects(spark, dump)
+    modules, listing = files.load_modules(spark, dump), files.load_listing(spark, dump)
+    listed = files.listed_groups(listing)
+    rows = lambda name: {(r.part, r.section, r["name"], r.type) for r in meta.full_structure(objects, members, modules, listed, name).collect()}
+    assert rows("МойСправочник") == {("Module", None, "Catalogs/МойСправочник/Ext/ObjectModule.bsl", "ObjectModule"), ("Form", None, "ФормаЭлемента", "")}
+    assert {r[0] for r in rows("МойРегистр")} == {"Dimension", "Resource", "TabularSection", "Attribute", "Command", "Module"}
+    got = {(r.kind, r.path, r.line_no) for r in meta.cross_reference(objects, modules, listing, "МойСправочник").collect()}
+    assert got == {("form", "Catalogs/МойСправочник/Forms/ФормаЭлемента/Ext/Form.xml", None), ("module", "Catalogs/МойСправочник/Ext/ObjectModule.bsl", None), ("reference", "AccumulationRegisters/МойРегистр/Ext/ManagerModule.bsl", 2)}
+    assert meta.cross_reference(objects, modules, listing, "мойсправочник").count() == 0
+    assert meta.dependencies(objects, members, modules, listed, "МойСправочник", "referenced_by").count() == 1
+    assert {(r.name, r.n_forms, r.n_commands) for r in meta.tree_members(objects).collect()} >= {("МойРегистр", 0, 1), ("МойСправочник", 0, 0)}
+    assert {(r.kind, r["name"]) for r in meta.config_lists(objects, files.load_subsystems(spark, dump)).collect()} >= {("subsystem", "Продажи"), ("type", "Catalogs")}
+    one = files.load_modules(spark, f"{dump}/Catalogs/МойСправочник/Ext/ObjectModule.bsl").collect()
+    assert [r.path for r in one] == ["ObjectModule.bsl"] and one[0].content.startswith("Процедура")
+
+
+def test_decoding_hashes_and_json(spark, tmp_path):
+    rows = [("a", "Привет".encode()), ("b", "Привет, мир".encode("cp866")), ("c", b""), ("d", None)]
+    got = {r.k: r.t for r in spark.createDataFrame(rows, "k string, b binary").select("k", files.decoded(F.col("b")).alias("t")).collect()}
+    assert got == {"a": "Привет", "b": "Привет, мир", "c": "", "d": None}
+    hashes = files.file_hashes(spark.createDataFrame([("x", b"abc"), ("y", b"")], "rel_path string, content binary"))
+    assert {r.rel_path: r.sha256 for r in hashes.collect()} == {"x": hashlib.sha256(b"abc").hexdigest(), "y": hashlib.sha256(b"").hexdigest()}
+    files.write_json(spark.createDataFrame([("x", None, [1, 2])], "a string, b int, c array<int>"), str(tmp_path / "out"))
+    assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()] == [{"a": "x", "b": None, "c": [1, 2]}]
+
+
+def test_registry_file(spark, tmp_path):
+    keys = R.REGISTRY_FILE_KEYS
+    file = tmp_path / "registry.json"
+    file.write_text(json.dumps({keys["functions"]: {"СтрДлина": {"verdict": "exists", "kind": "string"}}, keys["methods"]: {"НайтиПоКоду": "exists"}, keys["synonyms"]: {"СтрДлина": ["StrLen"]}, keys["disproved"]: ["СтрНет"]}), encoding="utf-8")
+    tables = files.load_registry(spark, str(file))
+    assert {k: [tuple(r) for r in t.collect()] for k, t in tables.items()} == {"functions": [("СтрДлина", "exists", "string")], "methods": [("НайтиПоКоду", "exists")], "synonyms": [("СтрДлина", "StrLen")], "disproved": [("СтрНет",)]}
+    asked = spark.createDataFrame([("стрдлина",), ("НайтиПоКоду",), ("Другое",)], "query string")
+    assert {(r.query, r.verdict) for r in registry.verdicts(asked, registry.tables(spark) | tables).collect()} == {("стрдлина", "exists"), ("НайтиПоКоду", "exists"), ("Другое", "unknown")}
 
 
 def test_graph_of_the_dump(spark, dump):
@@ -72,7 +119,7 @@ def test_graph_of_the_dump(spark, dump):
     assert [(r.callee, r.resolved) for r in out] == [("НайтиПоНаименованию", None)]
     assert g.one("мойсправочник") == "Catalog:МойСправочник"
     assert [r.name for r in g.search("Справочник").collect()] == ["МойСправочник"]
-    assert tuple(g.stats().first()) == (3, 2, 3, len(edges), 2)
+    assert tuple(g.stats().first()) == (5, 2, 3, len(edges), 2)
     with pytest.raises(ValueError):
         g.one("нет такого")
     assert not spark.sparkContext._jsc.getPersistentRDDs()
