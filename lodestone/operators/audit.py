@@ -234,17 +234,19 @@ def personal_data(modules: DataFrame, samples: int = 5) -> DataFrame:
 def dead_code(modules: DataFrame) -> DataFrame:
     """name, path of functions whose name is no substring of another module.
 
-    A name is a run of word characters, so it lies inside a word of the other module: names are joined to the bounded
-    substrings of the corpus's distinct words, not to every module.
+    A name is a run of word characters, so it lies inside a word of the other module: names are joined to substrings of the
+    corpus's distinct words, not to every module. Substrings are made only where a name's first letters stand, and only of
+    the lengths that names with these letters have.
     """
     defined = modules.select("path", F.explode(T.extract_all(_content(), r"(Процедура|Функция)\s+(\w+)", 2, cased=True)).alias("name"))
     defined = defined.groupBy("name").agg(F.min("path").alias("path")).filter(~F.col("name").isin(*R.ENTRY_POINTS))
     words = modules.select("path", F.explode(F.array_distinct(T.extract_all(_content(), r"\w+", 0, cased=True))).alias("word"))
     words = words.groupBy("word").agg(F.min("path").alias("lo"), F.max("path").alias("hi"))
-    longest = defined.agg(F.max(F.length("name"))).first()[0] or 0
-    n = F.length("word")
-    parts = words.select("word", "lo", "hi", F.explode(F.sequence(F.lit(1), n)).alias("s"))
-    parts = parts.select("word", "s", "lo", "hi", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s") + 1))).alias("l")) if longest else parts.withColumn("l", F.lit(1))
+    heads = defined.select(F.substring("name", 1, 3).alias("head"), F.length("name").alias("l")).groupBy("head").agg(F.collect_set("l").alias("ls"))
+    parts = words.select("word", "lo", "hi", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
+    parts = parts.withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3))))).filter(F.col("s") + F.col("k") - 1 <= F.length("word"))
+    parts = parts.withColumn("head", F.substring("word", F.col("s"), F.col("k"))).join(heads, "head")
+    parts = parts.select("word", "lo", "hi", "s", F.explode("ls").alias("l")).filter(F.col("s") + F.col("l") - 1 <= F.length("word"))
     inside = parts.select(F.substring("word", F.col("s"), F.col("l")).alias("name"), "lo", "hi").groupBy("name").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     alive = (F.col("lo") != F.col("path")) | (F.col("hi") != F.col("path"))
     return defined.join(inside, "name", "left").filter(~F.coalesce(alive, F.lit(False))).select("name", "path")

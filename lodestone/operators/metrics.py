@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.work import saved
 from . import rules as R
 
 def in_file():
@@ -134,16 +135,30 @@ def duplicates_in_modules(modules: DataFrame, n: int = R.DUPLICATE_LINES) -> Dat
 def duplicates_in_corpus(modules: DataFrame, n: int = R.DUPLICATE_LINES, bucket: int = 10_000) -> DataFrame:
     """Repeated blocks over all modules in a row (in path order); a block may reach over modules.
 
-    Lines get their running number from per-module counts (one row per module); blocks are made in buckets of running
-    numbers, each with the first n - 1 lines of the next.
+    Lines get their running number from per-module counts, summed by ranges of paths; blocks are made in buckets of running
+    numbers (at least n long), each with the first n - 1 lines of the next. A block's repeat is looked for in its bucket, and
+    beyond it among the first ones of later buckets, so a block that is everywhere does not come together in one task.
     """
     arrays = normalized_lines(modules)
-    sizes = arrays.select("path", F.size("norm").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = arrays.join(sizes.select("path", before.alias("before")), "path").select("before", F.posexplode("norm").alias("p", "norm")).select((F.col("before") + F.col("p") + 1).alias("idx"), "norm")
+    sizes = saved(arrays.select("path", F.size("norm").alias("c")).repartitionByRange("path").withColumn("part", F.spark_partition_id()), "module-sizes")
+    upto = lambda *keys: (Window.partitionBy(*keys[:-1]) if keys[:-1] else Window).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sizes.groupBy("part").agg(F.sum("c").alias("s")).select("part", F.coalesce(F.sum("s").over(upto("part")), F.lit(0)).alias("offset"))
+    before = sizes.withColumn("within", F.coalesce(F.sum("c").over(upto("part", "path")), F.lit(0))).join(ranges, "part").select("path", (F.col("offset") + F.col("within")).alias("before"))
+    lines = arrays.join(before, "path").select("before", F.posexplode("norm").alias("p", "norm")).select((F.col("before") + F.col("p") + 1).alias("idx"), "norm")
     own = lines.withColumn("bucket", F.floor((F.col("idx") - 1) / bucket))
     spill = own.filter(((F.col("idx") - 1) % bucket < n - 1) & (F.col("bucket") > 0)).withColumn("bucket", F.col("bucket") - 1)
     frame = Window.partitionBy("bucket").orderBy("idx").rowsBetween(0, n - 1)
     blocks = own.unionByName(spill).withColumn("block", F.collect_list("norm").over(frame)).filter((F.size("block") == n) & (F.floor((F.col("idx") - 1) / bucket) == F.col("bucket")))
-    blocks = blocks.select("idx", _key(F.col("block")).alias("key"), F.substring("norm", 1, 80).alias("first_line"))
-    return _reported(_first_repeat(blocks, ["key"], n), n)
+    blocks = saved(blocks.select("idx", "bucket", _key(F.col("block")).alias("key"), F.substring("norm", 1, 80).alias("first_line")), "corpus-blocks")
+    place = (F.col("idx") - 1) % bucket
+    # Of every bucket that holds the block: its first place, and the first one that is n lines after all of the bucket before.
+    firsts = blocks.groupBy("key", "bucket").agg(F.min("idx").alias("first"), F.min(F.when(place >= n - 1, F.col("idx"))).alias("late"))
+    back = Window.partitionBy("key").orderBy(F.desc("bucket"))
+    beyond = F.coalesce(F.min("late").over(back.rangeBetween(-1, -1)), F.min("first").over(back.rangeBetween(Window.unboundedPreceding, -2)))
+    firsts = firsts.select("key", "bucket", beyond.alias("beyond"))
+    # The first n - 1 places of the next bucket are looked at with the bucket itself.
+    near = blocks.filter((place < n - 1) & (F.col("bucket") > 0)).withColumn("bucket", F.col("bucket") - 1)
+    both = blocks.withColumn("own", F.lit(True)).unionByName(near.withColumn("own", F.lit(False)))
+    later = Window.partitionBy("key", "bucket").orderBy(F.desc("idx")).rangeBetween(Window.unboundedPreceding, -n)
+    found = both.withColumn("inside", F.min("idx").over(later)).filter("own").join(firsts, ["key", "bucket"]).withColumn("second", F.coalesce("inside", "beyond"))
+    return _reported(found.filter("second IS NOT NULL"), n)
