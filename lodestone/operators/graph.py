@@ -6,6 +6,8 @@ pos) for code and ord for objects.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,17 +122,39 @@ def ref_edges(scoped: DataFrame, v: DataFrame) -> DataFrame:
 
 
 class Graph:
-    """The graph's tables, built from objects and modules; those that others are built from are written to the shared folder
-    once, so nothing stays in executors' memory and lost executors cost no new scan."""
+    """The graph's tables, built from objects and modules when they are asked for; those that others are built from are
+    written to the shared folder once, so nothing stays in executors' memory and lost executors cost no new scan."""
 
     def __init__(self, objects: DataFrame, modules: DataFrame):
-        base = saved(vertices(objects), "graph-objects")
-        self.owners = saved(module_owners(modules.select("path"), base), "graph-owners")
-        self.vertices = saved(all_vertices(base, self.owners), "graph-vertices")
-        self.scoped = saved(scoped_lines(modules, self.owners), "graph-lines")
-        self.procedures = procedures(self.scoped)
-        self.call_edges = call_edges(self.scoped)
-        self.ref_edges = ref_edges(self.scoped, self.vertices)
+        self.objects, self.modules = objects, modules
+
+    @cached_property
+    def base(self) -> DataFrame:
+        return saved(vertices(self.objects), "graph-objects")
+
+    @cached_property
+    def owners(self) -> DataFrame:
+        return saved(module_owners(self.modules.select("path"), self.base), "graph-owners")
+
+    @cached_property
+    def vertices(self) -> DataFrame:
+        return saved(all_vertices(self.base, self.owners), "graph-vertices")
+
+    @cached_property
+    def scoped(self) -> DataFrame:
+        return saved(scoped_lines(self.modules, self.owners), "graph-lines")
+
+    @cached_property
+    def procedures(self) -> DataFrame:
+        return procedures(self.scoped)
+
+    @cached_property
+    def call_edges(self) -> DataFrame:
+        return call_edges(self.scoped)
+
+    @cached_property
+    def ref_edges(self) -> DataFrame:
+        return ref_edges(self.scoped, self.vertices)
 
     def one(self, name: str, object_type: str = "") -> str:
         """The key of the only vertex of that name (and type), in any case."""

@@ -584,5 +584,6 @@ add("fixed_answers", lambda s, d: generators.fixed_answers(s), f"SELECT * FROM (
 add("not_implemented", lambda s, d: generators.not_implemented(s), f"SELECT * FROM (VALUES {_rows([(t, 'not_implemented') for t in generators.NOT_IMPLEMENTED])}) t(tool, status)")
 for _r, _c in (("designer", V.DESIGNER), ("ibcmd", V.IBCMD)):
     add(f"{_r}_capabilities", lambda s, d, r=_r: generators.capabilities(s).filter(F.col("runner") == r).drop("runner"), "SELECT name, executable, command, mutates = 'True' AS mutates_infobase, needs = 'True' AS needs_exclusive_access, description, source FROM (VALUES {}) t(name, executable, command, mutates, needs, description, source)".format(_rows(_c)))
-add("ibcmd_command_checks", lambda s, d: generators.command_checks(generators.capabilities(s).select(F.concat("command", F.lit(" --x")).alias("command"))))
+_is_one = lambda rows: " OR ".join(f"command = '{c}' OR starts_with(command, '{c} ')" for _, _, c, *_ in rows) or "false"
+add("ibcmd_command_checks", lambda s, d: generators.command_checks(generators.capabilities(s).select(F.concat("command", F.lit(" --x")).alias("command"))), f"SELECT command, starts_with(command, 'help ') OR {_is_one(V.IBCMD)} AS known, {_is_one([r for r in V.IBCMD if r[3]])} AS mutating FROM (VALUES {', '.join('(' + _val(r[2] + ' --x') + ')' for r in (*V.DESIGNER, *V.IBCMD))}) t(command)")
 add("stream_line_findings", lambda s, d: findings.batch(EV(s, d)).groupBy("rule_id").agg(F.count("*").alias("cnt")), f"SELECT rule_id, count(*) AS cnt FROM (SELECT rule_id FROM ({security_sql(EVS)}) UNION ALL SELECT 'full_selection' FROM {lines_sql(EVS)} WHERE contains(text, 'Выбрать()')) GROUP BY rule_id")
