@@ -90,12 +90,9 @@ def clauses(queries: DataFrame) -> DataFrame:
 
 def generate(requests: DataFrame) -> DataFrame:
     """description, object_name, generated_query from requests(description, object_name): one of four templates by keyword."""
-    low = F.lower("description")
-    name = lambda default: F.coalesce(F.nullif("object_name", F.lit("")), F.lit(default))
-    out = (
-        F.when(T.has_any(low, ("остаток", "остатки")), F.lit("ВЫБРАТЬ * ИЗ Документ.уатПутевойЛист WHERE Дата >= ПОДСТАНОВКА('НачалоДня(ТекущаяДата()) - 1')"))
-        .when(T.has_any(low, ("счет", "количество")), F.lit("ВЫБРАТЬ РАЗЛИЧНЫЕ Счет ИЗ Справочник.уатТС"))
-        .when(T.has_any(low, ("список", "перечень")), F.concat(F.lit("ВЫБРАТЬ ПЕРВЫЕ 100 * ИЗ Справочник."), name("Номенклатура")))
-        .otherwise(F.concat(F.lit("ВЫБРАТЬ * ИЗ "), name("Справочник.Номенклатура")))
-    )
+    named = F.nullif("object_name", F.lit(""))
+    out = F.lit(None).cast("string")
+    for words, query, default in reversed(R.QUERY_TEMPLATES):
+        text = F.lit(query) if default is None else F.concat(F.lit(query), F.coalesce(named, F.lit(default)))
+        out = F.when(T.has_any(F.lower("description"), words), text).otherwise(out) if words else text
     return requests.select("description", "object_name", out.alias("generated_query"))

@@ -23,6 +23,14 @@ QUERY_PATTERNS = (
 )
 EMPTY_QUERY, NO_SELECT, NO_FROM = "Пустой запрос", "Запрос должен начинаться с ВЫБРАТЬ или ВЫБРАТЬ РАЗЛИЧНЫЕ", "В запросе отсутствует секция ИЗ"
 
+# Query templates: words of the description, query text, and what stands behind it without an object name (None: nothing does).
+QUERY_TEMPLATES = (
+    (("остаток", "остатки"), "ВЫБРАТЬ * ИЗ Документ.уатПутевойЛист WHERE Дата >= ПОДСТАНОВКА('НачалоДня(ТекущаяДата()) - 1')", None),
+    (("счет", "количество"), "ВЫБРАТЬ РАЗЛИЧНЫЕ Счет ИЗ Справочник.уатТС", None),
+    (("список", "перечень"), "ВЫБРАТЬ ПЕРВЫЕ 100 * ИЗ Справочник.", "Номенклатура"),
+    ((), "ВЫБРАТЬ * ИЗ ", "Справочник.Номенклатура"),
+)
+
 # Line rules.
 DEPRECATED = (
     ("getformbyid", r"\.ПолучитьФорму\s*\(\s*\"?([\w]+)\"?\s*\)"),

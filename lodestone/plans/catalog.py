@@ -320,14 +320,10 @@ add(
       WHEN b AND NOT starts_with(up, 'ИЛИ') AND NOT starts_with(up, 'И ') THEN 'conditions' WHEN c THEN 'joins' WHEN d THEN 'group_by' WHEN e THEN 'order_by' END AS clause, text, first_n FROM r) WHERE clause IS NOT NULL""",
 )
 _ASK = "SELECT CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN 'Остатки на складе' WHEN 1 THEN 'количество счетов' WHEN 2 THEN 'список клиентов' ELSE 'прочее' END AS description, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('Объект', c_custkey % 5) END AS object_name FROM customer"
+_shown = lambda q, default: "'" + q.replace("'", "''") + "'" + (f" || coalesce(nullif(object_name, ''), '{default}')" if default else "")
+_FILLED = "CASE " + " ".join(f"WHEN {has(w, 'lower(description)')} THEN {_shown(q, d)}" for w, q, d in R.QUERY_TEMPLATES if w) + f" ELSE {_shown(*R.QUERY_TEMPLATES[-1][1:])} END"
 for _name in ("query_generate", "bsl_generate_query"):
-    add(
-        _name,
-        lambda s, d: query_lint.generate(A.sql(s, d, _ASK)),
-        f"""SELECT description, object_name, CASE WHEN contains(lower(description), 'остат') THEN 'ВЫБРАТЬ * ИЗ Документ.уатПутевойЛист WHERE Дата >= ПОДСТАНОВКА(''НачалоДня(ТекущаяДата()) - 1'')'
-        WHEN contains(lower(description), 'количество') THEN 'ВЫБРАТЬ РАЗЛИЧНЫЕ Счет ИЗ Справочник.уатТС' WHEN contains(lower(description), 'список') THEN 'ВЫБРАТЬ ПЕРВЫЕ 100 * ИЗ Справочник.' || coalesce(nullif(object_name, ''), 'Номенклатура')
-        ELSE 'ВЫБРАТЬ * ИЗ ' || coalesce(nullif(object_name, ''), 'Справочник.Номенклатура') END AS generated_query FROM ({_ASK})""",
-    )
+    add(_name, lambda s, d: query_lint.generate(A.sql(s, d, _ASK)), f"SELECT description, object_name, {_FILLED} AS generated_query FROM ({_ASK})")
 
 # Metadata
 
