@@ -1,6 +1,6 @@
 """Object graph: vertices, module owners, procedures, call and reference edges; calls, impact, search, statistics.
 
-Inputs: objects(type, name, description, ord) and modules(path, content). Where an order decides, it is (path, line_no,
+Inputs: objects(type, name, description, ord) and modules(path, content) or their lines(path, ord, text). Where an order decides, it is (path, line_no,
 pos) for code and ord for objects.
 """
 
@@ -52,21 +52,58 @@ def all_vertices(v: DataFrame, owners: DataFrame) -> DataFrame:
     return v.select("key", "type", "name", "description", "ord").unionByName(new)
 
 
-def scoped_lines(modules: DataFrame, owners: DataFrame) -> DataFrame:
-    """path, owner, line_no, text, is_header, name, scope (the procedure a line is in, null outside).
+#: A path, word or object is frequent with more than a 200th of all rows (and FREQUENT rows): there are fewer than 200 such.
+SHARE, FREQUENT = 200, 20_000
+#: Ranges that a frequent path's lines are dealt into.
+RANGES = 64
 
-    The window over a file carries flags and names; lines without anything to find in them are left out before it.
-    """
+
+def frequent(counts: DataFrame, n: str, total: int, least: int = FREQUENT) -> DataFrame:
+    """Rows of counts with more than a 200th of the total."""
+    return counts.filter(F.col(n) > max(least, total // SHARE))
+
+
+def marked_lines(lines: DataFrame) -> DataFrame:
+    """path, ord, text, name (of a procedure's header), is_end."""
     raw = F.col("text")
-    line = T.strip(raw)
-    name = F.nullif(T.extract(line, R.PROCEDURE, 1), F.lit(""))
-    worth = name.isNotNull() | T.matches(line, R.PROCEDURE_END) | raw.contains("(") | raw.contains(".")
-    marked = T.graph_lines(modules).filter(worth).select("path", "line_no", raw.alias("text"), name.alias("name"), (name.isNull() & T.matches(line, R.PROCEDURE_END)).alias("is_end"))
-    owned = marked.join(owners.select("path", "owner"), "path")
-    full = F.concat_ws("#", "owner", "name")
-    state = F.when(F.col("name").isNotNull(), full).when(F.col("is_end"), F.lit(""))
-    so_far = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return owned.withColumn("scope", F.nullif(F.last(state, True).over(so_far), F.lit(""))).withColumn("is_header", F.col("name").isNotNull())
+    name = F.nullif(T.extract(raw, R.PROCEDURE, 1), F.lit(""))
+    marked = lines.filter(raw.isNotNull()).select("path", F.col("ord").cast("long").alias("ord"), "text", name.alias("name"))
+    return marked.withColumn("is_end", F.col("name").isNull() & T.matches(raw, R.PROCEDURE_END))
+
+
+def long_paths(marked: DataFrame, counts: DataFrame, least: int = FREQUENT) -> DataFrame:
+    """path, ends: the frequent paths with the places where their lines are cut into ranges."""
+    long = frequent(counts, "n", marked.count(), least).select("path")
+    return marked.join(F.broadcast(long), "path").groupBy("path").agg(F.percentile_approx("ord", [i / RANGES for i in range(1, RANGES)]).alias("ends"))
+
+
+def scoped_lines(marked: DataFrame, owners: DataFrame, long: DataFrame) -> DataFrame:
+    """path, owner, line_no, text, name, is_end, is_header, scope (the procedure a line is in, null outside).
+
+    Lines are numbered and scoped by path or, of the long paths, by range; a range goes on with the number of lines and the state
+    that the ranges before it end with. The owner comes as a first row of each range. Lines without anything to find in them
+    are left out when they are counted.
+    """
+    state = F.when(F.col("name").isNotNull(), F.col("name")).when(F.col("is_end"), F.lit(""))
+    part = F.when(F.col("ends").isNull(), 0).otherwise(F.size(F.filter("ends", lambda e: e < F.col("ord"))))
+    held = marked.join(F.broadcast(long), "path").withColumn("part", part).withColumn("state", state).groupBy("path", "part")
+    held = held.agg(F.count("*").alias("n"), F.max(F.when(F.col("state").isNotNull(), F.struct("ord", "text", "state"))).alias("s"))
+    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = saved(held.select("path", "part", F.sum("n").over(before).alias("n_before"), F.last("s.state", True).over(before).alias("state_before")), "graph-ranges")
+    columns = ["path", "part", "ord", "text", "name", "is_end", "owner"]
+    code = marked.join(F.broadcast(long), "path", "left").withColumn("part", part).withColumn("owner", F.lit(None).cast("string")).select(*columns)
+    firsts = owners.join(F.broadcast(long), "path", "left").select("path", "owner", F.when(F.col("ends").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size("ends"))).alias("parts"))
+    firsts = firsts.select("path", F.explode("parts").alias("part"), "owner")
+    by = Window.partitionBy("path", "part").orderBy(F.col("ord").asc_nulls_first(), "text")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    every = code.unionByName(firsts, allowMissingColumns=True).select("path", "part", "ord", "text", "name", "is_end", F.first("owner", True).over(so_far).alias("owner"), F.last(state, True).over(so_far).alias("state"), (F.row_number().over(by) - 1).alias("n"))
+    text = F.col("text")
+    worth = F.col("name").isNotNull() | F.col("is_end") | text.contains("(") | text.contains(".")
+    found = every.filter(F.col("ord").isNotNull() & F.col("owner").isNotNull() & worth).join(F.broadcast(carried), ["path", "part"], "left")
+    procedure = F.nullif(F.coalesce("state", "state_before"), F.lit(""))
+    line_no = (F.col("n") + F.coalesce("n_before", F.lit(0))).cast("int")
+    scope = F.when(procedure.isNotNull(), F.concat_ws("#", "owner", procedure))
+    return found.select("path", "owner", line_no.alias("line_no"), "text", "name", "is_end", F.col("name").isNotNull().alias("is_header"), scope.alias("scope"))
 
 
 def procedures(scoped: DataFrame) -> DataFrame:
@@ -125,8 +162,10 @@ class Graph:
     """The graph's tables, built from objects and modules when they are asked for; those that others are built from are
     written to the shared folder once, so nothing stays in executors' memory and lost executors cost no new scan."""
 
-    def __init__(self, objects: DataFrame, modules: DataFrame):
+    def __init__(self, objects: DataFrame, modules: DataFrame | None = None, lines: DataFrame | None = None):
+        """Modules as modules(path, content) or, where one may be too long for a row, as lines(path, ord, text)."""
         self.objects, self.modules = objects, modules
+        self.lines = lines if modules is None else T.graph_lines(modules).withColumnRenamed("line_no", "ord")
 
     @cached_property
     def base(self) -> DataFrame:
@@ -134,7 +173,17 @@ class Graph:
 
     @cached_property
     def owners(self) -> DataFrame:
-        return saved(module_owners(self.modules.select("path"), self.base), "graph-owners")
+        paths = self.counts if self.modules is None else saved(self.modules.select("path"), "graph-paths")
+        return saved(module_owners(paths.select("path"), self.base), "graph-owners")
+
+    @cached_property
+    def marked(self) -> DataFrame:
+        return saved(marked_lines(self.lines), "graph-marked")
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """path, n: the lines of each."""
+        return saved(self.marked.groupBy("path").agg(F.count("*").alias("n")), "graph-counts")
 
     @cached_property
     def vertices(self) -> DataFrame:
@@ -142,7 +191,8 @@ class Graph:
 
     @cached_property
     def scoped(self) -> DataFrame:
-        return saved(scoped_lines(self.modules, self.owners), "graph-lines")
+        long = saved(long_paths(self.marked, self.counts), "graph-long")
+        return saved(scoped_lines(self.marked, self.owners, long), "graph-lines")
 
     @cached_property
     def procedures(self) -> DataFrame:

@@ -71,6 +71,11 @@ def modules_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(table(spark, sf_dir, "orders"), "o_custkey", ORDER_LINE, "o_orderkey", ORDER_PATH)
 
 
+def lines_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, ord, text: the lines of modules_from_orders as rows; ord is their order in a module."""
+    return table(spark, sf_dir, "orders").select(F.expr(ORDER_PATH).alias("path"), F.col("o_orderkey").alias("ord"), F.expr(ORDER_LINE).alias("text"))
+
+
 def modules_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".bsl"))).alias("path"), F.col("text").alias("content"))

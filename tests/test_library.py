@@ -150,6 +150,32 @@ def test_graph_without_limits(spark):
     assert {"graph_calls_all", "graph_search_all", "graph_impact_code_all"} <= set(catalog.QUERIES)
 
 
+def test_long_modules_are_scoped_by_ranges(spark):
+    rng = random.Random(5)
+    forms = ["Процедура А()", " функция Б(х)", "КонецПроцедуры", " Вызов(1);", " Имя.Поле", " слово", " слово"]
+    texts = {f"CommonModules/М{i}/Ext/Module.bsl": [rng.choice(forms) for _ in range(n)] for i, n in enumerate((700, 90, 1, 2, 4))}
+    texts["CommonModules/М0/Ext/Module.bsl"][100:400] = [" Вызов(2);"] * 300  # ranges without any header or end
+    expected = set()
+    for path, rows in texts.items():
+        owner, scope = f"Module:{path.split('/')[1]}", None
+        for n, x in enumerate(rows, 1):
+            head = re.match(r"\s*(?:Процедура|функция) (\w+)", x)
+            scope = f"{owner}#{head[1]}" if head else None if x == "КонецПроцедуры" else scope
+            if x != " слово":
+                expected.add((path, owner, n, x, scope, bool(head)))
+    modules = spark.createDataFrame([(p, "\n".join(rows)) for p, rows in texts.items()], "path string, content string")
+    lines = spark.createDataFrame([(p, 7 * n - 1000, x) for p, rows in texts.items() for n, x in enumerate(rows)], "path string, ord long, text string")
+    objects = spark.createDataFrame([], "type string, name string, description string, ord long")
+    for g in (graph.Graph(objects, modules), graph.Graph(objects, lines=lines)):
+        for least in (3, 10**6):
+            long = graph.long_paths(g.marked, g.counts, least)
+            assert long.count() == (3 if least == 3 else 0)
+            got = graph.scoped_lines(g.marked, g.owners, long).select("path", "owner", "line_no", "text", "scope", "is_header")
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+        assert g.procedures.count() == len({x[4] for x in expected if x[5]})
+    assert "collect_list" not in catalog._G(spark, "/root/testdata/sf0.001").lines._jdf.queryExecution().toString()
+
+
 def test_functions_end_at_the_next_header(spark):
     code = "вступление Если\nФункция А()\n Если х Тогда\n КонецЕсли\nКонецФункции\n // Для\nПроцедура Б()"
     got = [(r.name, r.type, r.start, r.complexity, r.lines) for r in metrics.functions(mods(spark, code)).orderBy("fn_no").collect()]
