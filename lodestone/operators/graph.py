@@ -56,6 +56,8 @@ def all_vertices(v: DataFrame, owners: DataFrame) -> DataFrame:
 SHARE, FREQUENT = 200, 20_000
 #: Ranges that a frequent path's lines are dealt into.
 RANGES = 64
+#: Rows of both sides of a join for each of its tasks.
+TASK_ROWS = 500_000
 
 
 def frequent(counts: DataFrame, n: str, total: int, least: int = FREQUENT) -> DataFrame:
@@ -112,50 +114,83 @@ def procedures(scoped: DataFrame) -> DataFrame:
     return heads.select("fq", "s.name", F.col("s.path").alias("module"), "s.owner", "s.line_no")
 
 
+COLLECTION = rf"\b({'|'.join(R.COLLECTIONS)})\.({R.NAME_PART}+)"
+
+
 def _code(scoped: DataFrame) -> DataFrame:
     return scoped.filter("NOT is_header AND NOT is_end")
 
 
-def _row() -> list:
-    return [F.col("scope").alias("from_proc"), F.col("path").alias("from_module"), F.col("owner").alias("from_owner"), "line_no", F.substring(T.strip(F.col("text")), 1, 200).alias("text")]
+def _shown(text: Column) -> Column:
+    return F.substring(T.strip(text), 1, 200).alias("text")
+
+
+def _row(text: Column) -> list:
+    return [F.col("scope").alias("from_proc"), F.col("path").alias("from_module"), F.col("owner").alias("from_owner"), "line_no", text]
+
+
+#: A name as the first of its run of name characters: what follows a name is none, so no later start in the run can match.
+RUN = rf"(?<!{R.NAME_PART})[0-9]*+({R.NAME}+)"
 
 
 def call_edges(scoped: DataFrame) -> DataFrame:
     """from_proc, from_module, from_owner, line_no, text, pos, callee."""
-    found = _code(scoped).select(*_row(), F.posexplode(T.extract_all(F.col("text"), rf"({R.NAME})\s*\(", 1)).alias("pos", "callee"))
+    found = _code(scoped).filter(F.col("text").contains("(")).select(*_row(_shown(F.col("text"))), F.posexplode(T.extract_all(F.col("text"), RUN + r"\s*+\(", 1)).alias("pos", "callee"))
     found = found.filter(~F.lower("callee").isin(*R.NOT_CALLS))
     return found.withColumn("from_proc", F.coalesce("from_proc", F.concat("from_module", F.lit("#(module)"))))
 
 
-def _pairs(column: str, pattern: str) -> list:
-    """posexplode of both groups of a pattern."""
+def _pairs(column: str, pattern: str) -> Column:
+    """Both groups of a pattern's matches."""
     text = F.col(column)
-    both = F.arrays_zip(T.extract_all(text, pattern, 1).alias("head"), T.extract_all(text, pattern, 2).alias("tail"))
-    return F.posexplode(both).alias("pos", "m")
+    return F.arrays_zip(T.extract_all(text, pattern, 1).alias("head"), T.extract_all(text, pattern, 2).alias("tail"))
 
 
-def ref_edges(scoped: DataFrame, v: DataFrame) -> DataFrame:
-    """from_proc, from_module, from_owner, line_no, text, pos, target, kind (null, collection, movement or query)."""
-    code = _code(scoped)
+def ref_lines(scoped: DataFrame) -> DataFrame:
+    """from_proc, from_module, from_owner, line_no, text, refs: of the lines with a dot, what may refer to a vertex.
+
+    refs(pos, kind, how, word): a word is looked up as a vertex's name in lower case (how: name), as the first vertex's of that
+    name (first) or as a key (key).
+    """
+    text = F.col("text")
+    words = F.create_map(*[F.lit(x) for k, t in R.COLLECTIONS.items() for x in (k.lower(), t)])
+    ref = lambda kind, how, word, pos: F.struct(pos.alias("pos"), F.lit(kind).cast("string").alias("kind"), F.lit(how).alias("how"), word.alias("word"))
     # Dotted names: the head is any vertex's name.
-    dotted = code.select(*_row(), T.extract_all(code["text"], rf"({R.NAME})\.({R.NAME_PART}*)", 1).alias("heads"))
-    dotted = dotted.select("from_proc", "from_module", "from_owner", "line_no", "text", F.posexplode("heads").alias("pos", "head"))
-    names = v.select(F.lower("name").alias("low"), F.col("key").alias("target"))
-    plain = dotted.withColumn("low", F.lower("head")).join(names, "low").filter("target <> from_owner").withColumn("kind", F.lit(None).cast("string"))
+    dotted = F.transform(T.extract_all(text, RUN + rf"\.({R.NAME_PART}*)", 1), lambda m, i: ref(None, "name", F.lower(m), i))
     # Collections and movements: the key is made of the word's type and the name as written.
-    words = F.create_map(*[F.lit(x) for k, t in R.COLLECTIONS.items() for x in (k.lower(), t)])
-    collection = code.select(*_row(), _pairs("text", rf"\b({'|'.join(R.COLLECTIONS)})\.({R.NAME_PART}+)"))
-    collection = collection.withColumn("target", F.concat_ws(":", F.try_element_at(words, F.lower("m.head")), "m.tail")).withColumn("kind", F.lit("collection"))
-    moved = code.select(*_row(), F.posexplode(T.extract_all(code["text"], rf"\bДвижения\.({R.NAME_PART}+)", 1)).alias("pos", "name"))
-    moved = moved.withColumn("target", F.concat(F.lit(R.MOVEMENT_TYPE + ":"), "name")).withColumn("kind", F.lit("movement"))
-    columns = ["from_proc", "from_module", "from_owner", "line_no", "text", "pos", "target", "kind"]
-    keyed = collection.select(*columns).unionByName(moved.select(*columns)).join(v.select(F.col("key").alias("target")), "target", "left_semi").filter("target <> from_owner")
+    collection = F.transform(_pairs("text", COLLECTION), lambda m, i: ref("collection", "key", F.concat_ws(":", F.try_element_at(words, F.lower(m["head"])), m["tail"]), i))
+    moved = F.transform(T.extract_all(text, rf"\bДвижения\.({R.NAME_PART}+)", 1), lambda m, i: ref("movement", "key", F.concat(F.lit(R.MOVEMENT_TYPE + ":"), m), i))
     # Query sources: the second segment, as the first vertex of that name.
     pattern = rf"\b(?:из|from|соединение|join)\s+((?:{'|'.join(R.QUERY_TABLES)})\.{R.NAME_PART}+(?:\.{R.NAME_PART}+)*)"
-    tables = code.select(*_row(), F.posexplode(T.extract_all(code["text"], pattern, 1)).alias("pos", "table")).withColumn("low", F.lower(F.element_at(F.split("table", r"\."), 2)))
-    firsts = v.groupBy(F.lower("name").alias("low")).agg(F.min(F.struct(F.col("ord").isNull().alias("late"), "ord", "key")).alias("f")).select("low", F.col("f.key").alias("target"))
-    sources = tables.join(firsts, "low").withColumn("kind", F.lit("query"))
-    return plain.select(*columns).unionByName(keyed.select(*columns)).unionByName(sources.select(*columns))
+    tables = F.transform(T.extract_all(text, pattern, 1), lambda m, i: ref("query", "first", F.lower(F.element_at(F.split(m, r"\."), 2)), i))
+    return _code(scoped).filter(text.contains(".")).select(*_row(text), F.concat(dotted, collection, moved, tables).alias("refs"))
+
+
+def ref_edges(scoped: DataFrame, v: DataFrame, least: int = FREQUENT) -> DataFrame:
+    """from_proc, from_module, from_owner, line_no, text, pos, target, kind (null, collection, movement or query)."""
+    lines = saved(ref_lines(scoped), "graph-refs")
+    refs = lines.select("from_proc", "from_module", "from_owner", "line_no", "text", F.explode("refs").alias("r")).select("*", "r.*").drop("r")
+    names = v.select(F.lower("name").alias("word"), F.lit("name").alias("how"), F.col("key").alias("target"))
+    firsts = v.groupBy(F.lower("name").alias("word")).agg(F.min(F.struct(F.col("ord").isNull().alias("late"), "ord", "key")).alias("f")).select("word", F.lit("first").alias("how"), F.col("f.key").alias("target"))
+    keys = v.select(F.col("key").alias("word"), F.lit("key").alias("how"), F.col("key").alias("target"))
+    found = spread_join(refs, names.unionByName(firsts).unionByName(keys), ["word", "how"], frequent_keys(refs, ["word", "how"], least), 2 * lines.count() + 3 * v.count())
+    columns = ["from_proc", "from_module", "from_owner", "line_no", _shown(F.col("text")), "pos", "target", "kind"]
+    return found.filter((F.col("how") == "first") | (F.col("target") != F.col("from_owner"))).select(*columns)
+
+
+def frequent_keys(df: DataFrame, keys: list[str], least: int = FREQUENT) -> DataFrame:
+    """The frequent keys of a written table."""
+    counts = saved(df.groupBy(*keys).agg(F.count("*").alias("n")), "key-counts")
+    return saved(frequent(counts, "n", counts.agg(F.sum("n")).first()[0] or 0, least).select(*keys), "frequent-keys")
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, rows: int, how: str = "inner") -> DataFrame:
+    """left JOIN right (how: inner or left). What right has for the left's frequent keys is broadcast, the rest is shuffled to
+    tasks whose number grows with the rows of both sides: no key and no merging of partitions makes a task's share grow."""
+    many = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), keys, "left_semi")), keys, how)
+    tasks = max(left.sparkSession.sparkContext.defaultParallelism, rows // TASK_ROWS)
+    few = left.join(F.broadcast(hot), keys, "left_anti").repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys, how)
+    return many.unionByName(few)
 
 
 class Graph:
@@ -268,7 +303,7 @@ def _first(df: DataFrame, limit: int | None, *order: Column | str) -> DataFrame:
     return df if limit is None else df.orderBy(*order).limit(limit)
 
 
-def impact(edges: DataFrame, v: DataFrame, start: str, depth: int = 2, limit: int | None = 100) -> DataFrame:
+def impact(edges: DataFrame, v: DataFrame, start: str, depth: int = 2, limit: int | None = 100, least: int = FREQUENT) -> DataFrame:
     """key, type, name, depth, reason_key of what refers to the start, directly or over other objects, up to a depth.
 
     One join per level against the levels before, which are written once made; the reason is the least key of the level before. Levels are complete, and
@@ -276,11 +311,12 @@ def impact(edges: DataFrame, v: DataFrame, start: str, depth: int = 2, limit: in
     """
     links = edges.filter("from_owner <> target").select(F.col("from_owner").alias("key"), F.col("target").alias("reason_key")).distinct()
     links = saved(links.join(v.select("key"), "key", "left_semi"), "impact-links")
+    hot, rows = frequent_keys(links, ["reason_key"], least), 2 * links.count()
     spark = edges.sparkSession
     seen = spark.createDataFrame([(start, 0, None)], "key string, depth int, reason_key string")
     level = seen
     for d in range(1, depth + 1):
-        near = links.join(level.select(F.col("key").alias("reason_key")), "reason_key").groupBy("key").agg(F.min("reason_key").alias("reason_key"))
+        near = spread_join(links, level.select(F.col("key").alias("reason_key")), ["reason_key"], hot, rows).groupBy("key").agg(F.min("reason_key").alias("reason_key"))
         level = saved(near.join(seen.select("key"), "key", "left_anti").select("key", F.lit(d).alias("depth"), "reason_key"), "impact-level")
         seen = seen.unionByName(level)
     found = seen.filter("depth > 0").join(v.select("key", "type", "name"), "key").select("key", "type", "name", "depth", "reason_key")
@@ -290,6 +326,6 @@ def impact(edges: DataFrame, v: DataFrame, start: str, depth: int = 2, limit: in
 def undefined_refs(scoped: DataFrame, v: DataFrame) -> DataFrame:
     """type, name, cnt of collection references to objects that do not exist."""
     words = F.create_map(*[F.lit(x) for k, t in R.COLLECTIONS.items() for x in (k.lower(), t)])
-    found = _code(scoped).select(_pairs("text", rf"\b({'|'.join(R.COLLECTIONS)})\.({R.NAME_PART}+)"))
+    found = _code(scoped).select(F.explode(_pairs("text", COLLECTION)).alias("m"))
     found = found.select(F.try_element_at(words, F.lower("m.head")).alias("type"), F.col("m.tail").alias("name")).groupBy("type", "name").agg(F.count("*").alias("cnt"))
     return found.join(v.select("type", "name"), ["type", "name"], "left_anti")

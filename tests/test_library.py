@@ -176,6 +176,27 @@ def test_long_modules_are_scoped_by_ranges(spark):
     assert "collect_list" not in catalog._G(spark, "/root/testdata/sf0.001").lines._jdf.queryExecution().toString()
 
 
+def test_frequent_words_and_objects_meet_theirs_without_a_shuffle(spark):
+    rng = random.Random(8)
+    objects = [("Catalog", f"Имя{i}", "", i) for i in range(12)] + [("Document", "имя1", "", 20), ("AccumulationRegister", "Имя3", "", 21)]
+    forms = ["Имя1.Метод(); Имя1.Поле", "Имя1.х", "9Имя2.у + слово.Имя4", "Движения.Имя3.Записать()", "Справочники.Имя5.Найти()", "Справочники.Нет.Найти()", "ВЫБРАТЬ * ИЗ Справочник.Имя1", "Имя7", "Имя6.Имя8.Имя9"]
+    modules = [(f"Catalogs/Имя{i}/Ext/Module.bsl", "\n".join(rng.choices(forms, [5, 5, 1, 1, 1, 1, 1, 1, 1], k=60))) for i in range(10)]
+    g = graph.Graph(spark.createDataFrame(objects, "type string, name string, description string, ord long"), spark.createDataFrame(modules, "path string, content string"))
+    heads = {"Имя1.Метод(); Имя1.Поле": ["имя1"] * 2, "Имя1.х": ["имя1"], "9Имя2.у + слово.Имя4": ["имя2"], "Имя6.Имя8.Имя9": ["имя6"]}
+    others = {"Движения.Имя3.Записать()": ("AccumulationRegister:Имя3", "movement"), "Справочники.Имя5.Найти()": ("Catalog:Имя5", "collection"), "ВЫБРАТЬ * ИЗ Справочник.Имя1": ("Catalog:Имя1", "query")}
+    expected = Counter()
+    for path, code in modules:
+        owner = "Catalog:" + path.split("/")[1]
+        for n, x in enumerate(code.split("\n"), 1):
+            found = [(f"{t}:{name}", None) for head in heads.get(x, []) for t, name, *_ in objects if name.lower() == head] + ([others[x]] if x in others else [])
+            expected.update((owner, n, *f) for f in found if f[0] != owner or f[1] == "query")
+    for least in (2, 10**6):
+        edges = graph.ref_edges(g.scoped, g.vertices, least)
+        assert Counter((r.from_owner, r.line_no, r.target, r.kind) for r in edges.collect()) == expected
+        assert {(r.key, r.depth) for r in graph.impact(edges, g.vertices, "Catalog:Имя1", 2, None, least).collect()} >= {(f"Catalog:Имя{i}", 1) for i in (0, 2, 3, 4)}
+    assert {r.word for r in graph.frequent_keys(spark.createDataFrame([("a",)] * 5 + [("b",)] * 2, "word string"), ["word"], 4).collect()} == {"a"}
+
+
 def test_functions_end_at_the_next_header(spark):
     code = "вступление Если\nФункция А()\n Если х Тогда\n КонецЕсли\nКонецФункции\n // Для\nПроцедура Б()"
     got = [(r.name, r.type, r.start, r.complexity, r.lines) for r in metrics.functions(mods(spark, code)).orderBy("fn_no").collect()]
