@@ -134,8 +134,10 @@ RUN = rf"(?<!{R.NAME_PART})[0-9]*+({R.NAME}+)"
 
 
 def call_edges(scoped: DataFrame) -> DataFrame:
-    """from_proc, from_module, from_owner, line_no, text, pos, callee."""
-    found = _code(scoped).filter(F.col("text").contains("(")).select(*_row(_shown(F.col("text"))), F.posexplode(T.extract_all(F.col("text"), RUN + r"\s*+\(", 1)).alias("pos", "callee"))
+    """from_proc, from_module, from_owner, line_no, text, pos, callee, is_first (of its callee in the line)."""
+    found = _code(scoped).filter(F.col("text").contains("(")).select(*_row(_shown(F.col("text"))), T.extract_all(F.col("text"), RUN + r"\s*+\(", 1).alias("callees"))
+    # The outer form: for the other, Spark adds a filter that evaluates the pattern again. Lines without a call go with NOT_CALLS.
+    found = found.select("*", F.posexplode_outer("callees").alias("pos", "callee")).withColumn("is_first", F.array_position("callees", F.col("callee")) == F.col("pos") + 1).drop("callees")
     found = found.filter(~F.lower("callee").isin(*R.NOT_CALLS))
     return found.withColumn("from_proc", F.coalesce("from_proc", F.concat("from_module", F.lit("#(module)"))))
 
@@ -231,7 +233,7 @@ class Graph:
 
     @cached_property
     def procedures(self) -> DataFrame:
-        return procedures(self.scoped)
+        return saved(procedures(self.scoped), "graph-procedures")
 
     @cached_property
     def call_edges(self) -> DataFrame:
@@ -251,28 +253,41 @@ class Graph:
             raise ValueError(f"object not found or ambiguous: {name}")
         return keys[0]
 
-    def resolved_calls(self) -> DataFrame:
-        """call_edges with `resolved`: a procedure of the same module first, else one of a common module, else null."""
+    def resolved_calls(self, owner: str | None = None, least: int = FREQUENT) -> DataFrame:
+        """call_edges (of one owner) with `resolved`: a procedure of the same module first, else one of a common module, else null.
+
+        Resolved are the different pairs of procedure and callee, not each call.
+        """
         p = self.procedures.select("fq", F.lower("name").alias("low"), "module", "line_no", "owner")
         order = F.struct("module", "line_no", "fq")
-        local = p.groupBy("module", "low").agg(F.min(order)["fq"].alias("here"))
+        local = p.groupBy(F.col("module").alias("home"), "low").agg(F.min(order)["fq"].alias("here")).withColumn("has_home", F.lit(True))
         common = p.filter(F.col("owner").startswith("CommonModule:")).groupBy("low").agg(F.min(order)["fq"].alias("there"))
-        home = self.procedures.select(F.col("fq").alias("from_proc"), F.col("module").alias("home"))
-        calls = self.call_edges.withColumn("low", F.lower("callee")).join(home, "from_proc", "left")
-        calls = calls.join(local.withColumnRenamed("module", "home"), ["home", "low"], "left").join(common, "low", "left")
-        return calls.select("from_proc", "from_module", "from_owner", "line_no", "text", "pos", "callee", F.coalesce("here", "there").alias("resolved"))
+        calls = self.call_edges if owner is None else call_edges(self.scoped.filter(F.col("owner") == owner))
+        calls = saved(calls.withColumn("low", F.lower("callee")), "graph-calls")
+        keys = ["from_proc", "low"]
+        pairs = saved(calls.groupBy(*keys).agg(F.count("*").alias("n")), "graph-called")
+        total, rows = calls.count(), pairs.count()
+        homes = p.select(F.col("fq").alias("from_proc"), F.col("module").alias("home"))
+        homed = pairs.join(homes, "from_proc", "left").withColumn("has_home", F.col("home").isNotNull()).withColumn("home", F.coalesce("home", "from_proc"))
+        homed = saved(homed.join(local, ["home", "has_home", "low"], "left").select(*keys, "here"), "graph-called-here")
+        resolved = spread_join(homed, common, ["low"], frequent_keys(homed, ["low"], least), 2 * rows, "left")
+        resolved = saved(resolved.select(*keys, F.coalesce("here", "there").alias("resolved")), "graph-resolved")
+        hot = saved(frequent(pairs, "n", total, least).select(*keys), "frequent-keys")
+        out = spread_join(calls, resolved, keys, hot, total + rows, "left")
+        return out.select("from_proc", "from_module", "from_owner", "line_no", "text", "pos", "callee", "resolved")
 
     def calls(self, name: str, direction: str = "both", object_type: str = "", limit: int | None = 50) -> DataFrame:
         """direction, proc, callee, resolved, caller_owner, caller_proc, module, line_no, text: the first calls per direction, or all (limit=None)."""
         key = self.one(name, object_type)
-        mine = self.procedures.filter(F.col("owner") == key)
-        calls = self.resolved_calls()
-        out = calls.join(mine.select(F.col("fq").alias("from_proc"), F.col("name").alias("proc")), "from_proc")
-        out = _first(out, limit, "from_module", "line_no", "pos").select(F.lit("out").alias("direction"), "proc", "callee", "resolved", F.lit(None).cast("string").alias("caller_owner"), F.lit(None).cast("string").alias("caller_proc"), F.col("from_module").alias("module"), "line_no", "text")
-        names = mine.select(F.lower("name").alias("low")).distinct()
-        into = self.call_edges.withColumn("low", F.lower("callee")).join(names, "low", "left_semi").groupBy("from_module", "callee", "line_no").agg(F.min(F.struct("pos", "from_owner", "from_proc", "text")).alias("s"))
-        into = _first(into, limit, "from_module", "line_no", "s.pos", "callee").select(F.lit("in").alias("direction"), F.lit(None).cast("string").alias("proc"), "callee", F.lit(None).cast("string").alias("resolved"), F.col("s.from_owner").alias("caller_owner"), F.col("s.from_proc").alias("caller_proc"), F.col("from_module").alias("module"), "line_no", F.col("s.text").alias("text"))
-        return {"out": out, "in": into}.get(direction) if direction in ("out", "in") else out.unionByName(into)
+        if direction != "in":
+            # A procedure's fq ends with its name, which has no #; a line outside is of path#(module).
+            out = self.resolved_calls(key).filter(~F.col("from_proc").endswith("#(module)")).withColumn("proc", F.substring_index("from_proc", "#", -1))
+            out = _first(out, limit, "from_module", "line_no", "pos").select(F.lit("out").alias("direction"), "proc", "callee", "resolved", F.lit(None).cast("string").alias("caller_owner"), F.lit(None).cast("string").alias("caller_proc"), F.col("from_module").alias("module"), "line_no", "text")
+        if direction != "out":
+            names = saved(self.procedures.filter(F.col("owner") == key).select(F.lower("name").alias("low")).distinct(), "graph-own")
+            into = self.call_edges.filter("is_first").withColumn("low", F.lower("callee")).join(names, "low", "left_semi")
+            into = _first(into, limit, "from_module", "line_no", "pos", "callee").select(F.lit("in").alias("direction"), F.lit(None).cast("string").alias("proc"), "callee", F.lit(None).cast("string").alias("resolved"), F.col("from_owner").alias("caller_owner"), F.col("from_proc").alias("caller_proc"), F.col("from_module").alias("module"), "line_no", "text")
+        return into if direction == "in" else out if direction == "out" else out.unionByName(into)
 
     def impact(self, name: str, object_type: str = "", depth: int = 2, limit: int | None = 100) -> DataFrame:
         return impact(self.ref_edges.select("from_owner", "target"), self.vertices, self.one(name, object_type), depth, limit)

@@ -197,6 +197,42 @@ def test_frequent_words_and_objects_meet_theirs_without_a_shuffle(spark):
     assert {r.word for r in graph.frequent_keys(spark.createDataFrame([("a",)] * 5 + [("b",)] * 2, "word string"), ["word"], 4).collect()} == {"a"}
 
 
+def test_calls_are_resolved_once_a_pair(spark):
+    rng = random.Random(9)
+    objects = [("CommonModule", f"М{i}", "", i) for i in range(3)] + [("Catalog", "К", "", 9)]
+    names = ["А", "Б", "В", "Г"]
+    modules, procs, calls, scope = [], {}, [], None
+    for path, owner in (("Catalogs/К/Ext/Module.bsl", "Catalog:К"), ("Catalogs/К/Forms/Ф/Module.bsl", "Catalog:К"), ("CommonModules/М1/Ext/Module.bsl", "CommonModule:М1"), ("CommonModules/М2/Ext/Module.bsl", "CommonModule:М2")):
+        scope, rows = None, []
+        for n in range(1, 81):
+            name, kind = rng.choice(names[: 2 if "К" in owner else 4]), rng.random()
+            if kind < 0.1:
+                scope = f"{owner}#{name}"
+                procs.setdefault(scope, (path, n, name, owner))
+                rows.append(f"Процедура {name}()")
+            elif kind < 0.2:
+                scope = None
+                rows.append("КонецПроцедуры")
+            else:
+                found = rng.choices(["а", "Б", "г", "Нет"], k=rng.choice([1, 2]))
+                rows.append("; ".join(f"{x}(1)" for x in found))
+                calls += [(scope or f"{path}#(module)", path, owner, n, i, x) for i, x in enumerate(found)]
+        modules.append((path, "\n".join(rows)))
+    def resolve(proc, callee):
+        order = sorted((module, n, fq, owner) for fq, (module, n, name, owner) in procs.items() if name.lower() == callee.lower())
+        here = [x[2] for x in order if proc in procs and x[0] == procs[proc][0]]
+        return (here + [x[2] for x in order if x[3].startswith("CommonModule:")] + [None])[0]
+    g = graph.Graph(spark.createDataFrame(objects, "type string, name string, description string, ord long"), spark.createDataFrame(modules, "path string, content string"))
+    for owner, least in ((None, 2), (None, 10**6), ("Catalog:К", 2)):
+        got = g.resolved_calls(owner, least).select("from_proc", "from_module", "from_owner", "line_no", "pos", "callee", "resolved").collect()
+        assert Counter(map(tuple, got)) == Counter((*c, resolve(c[0], c[5])) for c in calls if owner in (None, c[2]))
+    both = g.calls("К", limit=None).collect()
+    mine = {name.lower() for _, _, name, owner in procs.values() if owner == "Catalog:К"}
+    assert Counter((r.module, r.line_no, r.callee, r.proc) for r in both if r.direction == "out") == Counter((c[1], c[3], c[5], c[0].split("#")[1]) for c in calls if c[2] == "Catalog:К" and c[0] in procs)
+    assert Counter((r.module, r.line_no, r.callee, r.caller_proc) for r in both if r.direction == "in") == Counter({(c[1], c[3], c[5], c[0]) for c in calls if c[5].lower() in mine})
+    assert g.stats().first().call_edges == len(calls)
+
+
 def test_functions_end_at_the_next_header(spark):
     code = "вступление Если\nФункция А()\n Если х Тогда\n КонецЕсли\nКонецФункции\n // Для\nПроцедура Б()"
     got = [(r.name, r.type, r.start, r.complexity, r.lines) for r in metrics.functions(mods(spark, code)).orderBy("fn_no").collect()]
