@@ -1,9 +1,12 @@
-"""Shared helpers: the shared work folder, cutting lineage, batches of bytes, block-wise sums of bounded arrays."""
+"""Shared helpers: the shared work folder, cutting lineage, batches of bytes, workers' memory, block-wise sums of bounded
+arrays."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +42,60 @@ def to_bytes(column) -> list[bytes | None]:
 
 
 def pieces(batches, limit: int = 4 << 20, column: str = "text") -> Iterator:
-    """Batches cut so that a piece holds about `limit` bytes of the column: memory stays bounded when texts are long."""
+    """Batches cut so that a piece holds about `limit` bytes of the column: memory stays bounded when texts are long. What a
+    piece took is given back before the next one."""
     for batch in batches:
         table = pa.Table.from_batches([batch])
         if not table.num_rows:
             continue
-        sizes = np.array([0 if x is None else len(x) for x in to_bytes(table[column])], dtype=np.int64)
-        part = np.cumsum(sizes) // limit
+        sizes = pc.fill_null(pc.binary_length(table[column].combine_chunks()), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // limit
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
         for a, b in zip(edges, edges[1:]):
             yield table.slice(a, b - a)
+            give_back()
+
+
+_arrows_own = pa.default_memory_pool()
+#: Bytes from which the C library maps an array by itself, so that freeing it returns it. mallopt's names are glibc's.
+MAPPED, _M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD = 1 << 20, -1, -3
+
+
+@functools.cache
+def _libc() -> ctypes.CDLL:
+    return ctypes.CDLL(None)
+
+
+@functools.cache
+def _plain_memory() -> None:
+    """From now on this process keeps little of what it frees: Arrow asks the C library, whose thresholds no longer grow."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if hasattr(_libc(), "mallopt"):
+        _libc().mallopt(_M_MMAP_THRESHOLD, MAPPED)
+        _libc().mallopt(_M_TRIM_THRESHOLD, MAPPED)
+
+
+def give_back() -> None:
+    """Hand this process's free memory back to the system: Arrow's and the C library's, where that can be asked for it."""
+    for pool in (_arrows_own, pa.default_memory_pool()):
+        pool.release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a task's function from batches to batches, after which the worker gives its memory back: Spark keeps workers for
+    later tasks, and what the largest one took would stand beside the executor's heap for good."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        _plain_memory()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
 
 
 def split_words(texts) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -96,11 +143,11 @@ class Remembered:
         fresh = self.of(new)
         place = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         place[np.asarray(pc.is_null(at))] = len(self.words) + np.arange(len(new))
-        found = pa.concat_arrays([self.values, fresh]).take(pa.array(place))
+        if len(new):
+            self.words, self.values = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.values, fresh])
+        found = self.values.take(pa.array(place))
         if self.size > self.limit:
             self.words, self.values = words, found
-        elif len(new):
-            self.words, self.values = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.values, fresh])
         return found
 
 

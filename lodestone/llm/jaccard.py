@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCKS, blocks_batch, packed_blocks, pieces, saved, saved_alone, split_words, summed_arrays, to_bytes
+from .common import BLOCKS, blocks_batch, packed_blocks, pieces, saved, saved_alone, split_words, summed_arrays, tidy, to_bytes
 from .graph import components
 from .shards import batch_of
 
@@ -80,11 +80,12 @@ def _signed(h: np.ndarray) -> np.ndarray:
 def shingle_counts(docs: DataFrame, size: int) -> np.ndarray:
     """How many shingles of all documents fall in each bucket."""
 
+    @tidy
     def count(batches):
         total, some = np.zeros(COUNTS, np.int64), False
         for table in pieces(batches):
             sets = list(shingle_sets(table["text"], size))
-            total += np.bincount((np.concatenate(sets) % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
+            np.add.at(total, (np.concatenate(sets) % np.uint64(COUNTS)).astype(np.int64), 1)
             some = True
         if some:
             yield blocks_batch(list(packed_blocks(total)))
@@ -136,6 +137,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int, hot_r
     buckets (empty if there are none), and the set's outline."""
     counts = np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
 
+    @tidy
     def prepare(batches):
         for table in pieces(batches):
             rows = []
@@ -182,6 +184,7 @@ def bucket_members(nodes: DataFrame, percent: int, pivots: int) -> DataFrame:
     )
     dealt = each.repartition(F.col("key")).sortWithinPartitions("key", F.desc(F.greatest(F.col("mark"), -1 - F.col("mark"))), "node")
 
+    @tidy
     def stream(batches):
         key, first, waiting, rank = None, [], None, 0
         for b in batches:
@@ -226,8 +229,9 @@ def _places(ids: np.ndarray) -> np.ndarray:
 def id_filter(ids: DataFrame) -> np.ndarray:
     """A filter of fixed size that lets all these ids (first column) through, and others rarely while it is not full."""
 
+    @tidy
     def mark(batches):
-        seen, some = np.zeros(FILTER, np.int64), False
+        seen, some = np.zeros(FILTER, np.uint8), False
         for b in batches:
             if b.num_rows:
                 seen[_places(b.column(0).to_numpy(zero_copy_only=False)).ravel()] = 1
@@ -247,6 +251,7 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """node, hashes (sorted, 8 bytes each) of these nodes, and of a few other documents that pass the filter."""
     bits = id_filter(nodes)
 
+    @tidy
     def pick(batches):
         for table in pieces(batches):
             ids = np.array([x if x is not None else 0 for x in table["doc_id"].to_pylist()], np.int64)
@@ -264,6 +269,7 @@ def outlines_fit(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     The outlines' gap is at most the sets' Hamming distance.
     """
 
+    @tidy
     def check(batches):
         for b in batches:
             x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
@@ -315,6 +321,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, hot_rows: int = HO
     sent = sets.join(dealt.unionByName(own), "node").select("b", "part", "side", "node", "hashes")
     met = sent.repartition("b", "part").sortWithinPartitions("b", "part", "side", "node")
 
+    @tidy
     def check(batches):
         at, mine = None, []
         for batch in batches:
@@ -463,6 +470,7 @@ def with_partners(open_: DataFrame, outlines: DataFrame, percent: int, block_row
     """hot, token, slice, node, size, comp of the members that may have a link to another class. Members of buckets that only
     share a passage have none, so their sets are never sent."""
 
+    @tidy
     def run(batches):
         for table in _blocks(batches):
             keep = table.filter(pa.array(partners(table, percent)))
@@ -491,6 +499,7 @@ def counted(named: DataFrame) -> DataFrame:
 def remaining_links(open_: DataFrame, sets: DataFrame, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Links between classes of the open buckets, in blocks of members: those outside the largest class against all."""
 
+    @tidy
     def run(batches):
         for table in _blocks(batches):
             yield batch_of(_block_links(table, percent), ["a", "b"], [pa.int64(), pa.int64()])

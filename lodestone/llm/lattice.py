@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, pieces
+from .common import Remembered, pieces, tidy
 
 MARK = "▁"
 #: Bytes of words and of their ids that a task remembers, about.
@@ -433,6 +433,7 @@ def encode(docs: DataFrame, model: Pieces, read_back: bool = False) -> DataFrame
     """doc_id, n_pieces, ids; and decodes_back as in digest, if they are to be read back."""
     lattice = Lattice(model)
 
+    @tidy
     def run(batches):
         c = Coder(lattice)
         for table in pieces(batches, 4 << 20):
@@ -450,6 +451,7 @@ def decode(encoded: DataFrame, model: Pieces) -> DataFrame:
     """doc_id, text from doc_id, ids. Null ids decode to the empty text."""
     lattice = Lattice(model)
 
+    @tidy
     def run(batches):
         c = Coder(lattice)
         for b in batches:
@@ -469,6 +471,7 @@ def digest(docs: DataFrame, model: Pieces) -> DataFrame:
     text is the text (U+2581 as a space)."""
     lattice = Lattice(model)
 
+    @tidy
     def run(batches):
         c = Coder(lattice)
         is_byte = np.zeros(len(lattice.table), bool)

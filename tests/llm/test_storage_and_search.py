@@ -4,8 +4,11 @@ import base64
 import gzip
 import hashlib
 import math
+import os
 import pathlib
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from dataclasses import replace
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import graph, jaccard, lattice, tokenbin, topk, warc
-from lodestone.llm.common import work_path
+from lodestone.llm.common import pieces, work_path
 from lodestone.llm.eliasfano import EliasFano
 
 DOCS = "doc_id long, text string, source string, sig string, n string"
@@ -415,3 +418,48 @@ def test_pipeline_runs_on_awkward_tables(spark):
         got = corpus_pipeline.run(spark, path).collect()
         assert sorted(p.name.split("-")[1] for p in set(folder.iterdir()) - before) == sorted(n.split(" ")[0].split("-")[0] for n, _ in corpus_pipeline.STAGES)
         assert all(r.decodes_back for r in got) and {r.doc_id for r in got} <= {*range(0, 30, 2), None} and bool(got) == bool(table)
+
+
+# memory of workers
+
+_WORKER = """
+import re, sys
+import numpy as np, pyarrow as pa, public_tokenizers
+from lodestone.llm import jaccard, lattice
+
+class Docs:
+    def select(self, *columns):
+        return self
+    def mapInArrow(self, run, schema):
+        self.run = run
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) >> 10
+
+docs, rng = Docs(), np.random.default_rng(3)
+if sys.argv[1] == "lattice":
+    lattice.encode(docs, lattice.load_pieces(public_tokenizers.path("piece_bpe_32k.model")), read_back=True)
+else:
+    jaccard.prefixes(docs, np.zeros(jaccard.COUNTS, np.int64), 5, 80, 100_000)
+texts = [" ".join(f"{w:x}ab" for w in rng.integers(0, 200_000, 500)) for _ in range(8000)]
+batches = [pa.record_batch({"doc_id": pa.array(range(4000)), "text": pa.array(texts[k : k + 4000])}) for k in (0, 4000)]
+before = held()
+rows = sum(b.num_rows for batch in batches for b in docs.run(iter([batch])))
+print(rows, held() - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="reads Linux's own figures")
+@pytest.mark.parametrize("step", ["lattice", "jaccard"])
+def test_a_worker_gives_its_memory_back_after_a_task(step):
+    rows, left = subprocess.run([sys.executable, "-c", _WORKER, step], capture_output=True, text=True, check=True, cwd=pathlib.Path(__file__).parents[2]).stdout.split()[-2:]
+    assert int(rows) == 8000 and int(left) < 30
+
+
+def test_pieces_keep_every_row_in_order():
+    texts = [None, "", "x" * 10, "é" * 7, "y" * 300, None, "z"]
+    batches = [pa.record_batch({"k": pa.array(range(7)), "text": pa.array(texts, kind)}) for kind in (pa.string(), pa.large_string())]
+    for batch in [*batches, batches[0].slice(2, 4), batches[0].slice(0, 0)]:
+        tables = list(pieces([batch], 20))
+        assert [r for t in tables for r in t.to_pylist()] == batch.to_pylist()
+        assert all(sum(len((x or "").encode()) for x in t["text"].to_pylist()[1:]) <= 20 for t in tables)
